@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import line_dedup, quality
+from scanframe.llm import decontam, line_dedup, mixing, quality, secrets
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": op7, "op10_line_dedup": line_dedup.op10}
+    return {
+        "op5_secret_scan": secrets.op5,
+        "op7_quality_rules": op7,
+        "op8_decontaminate": decontam.op8,
+        "op9_mix_sources": mixing.op9,
+        "op10_line_dedup": line_dedup.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
