@@ -100,9 +100,9 @@ def thresholds(m: DataFrame, min_group: int = 100, spread: float = 6.0) -> DataF
     bounds = [f"{p}_{c}" for c in RATIOS for p in ("low", "high")]
     own = _fences(s, spread)
     by_lang = _fences(_merged(s, "lang"), spread).select(F.col("lang").alias("l"), F.col("n").alias("l_n"), *[F.col(b).alias(f"l_{b}") for b in bounds])
-    every = _fences(_merged(s.withColumn("all", F.lit(0)), "all"), spread).select("all", *[F.col(b).alias(f"a_{b}") for b in bounds])
-    j = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"]), "left").withColumn("all", F.lit(0)).join(every, "all", "left")
-    pick = lambda b: F.when(F.col("n") >= min_group, F.col(b)).when(F.col("l_n") >= min_group, F.col(f"l_{b}")).otherwise(F.col(f"a_{b}"))
+    every = _fences(_merged(s), spread).first()  # one row of bounds
+    j = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"]), "left")
+    pick = lambda b: F.when(F.col("n") >= min_group, F.col(b)).when(F.col("l_n") >= min_group, F.col(f"l_{b}")).otherwise(F.lit(every[b]))
     return j.select("lang", "source", *[pick(b).alias(b) for b in bounds])
 
 

@@ -51,9 +51,11 @@ def word_ids(texts: list[str | None], fold: Callable[[str], str] = lambda t: t)
 
 def per_text(values: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of values (one row per word) over each text's words."""
-    ends = np.cumsum(n)
-    sums = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
-    return sums[ends] - sums[ends - n]
+    out = np.zeros((len(n), *values.shape[1:]), values.dtype)
+    some = n > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(n) - n)[some], axis=0)
+    return out
 
 
 def token_counts(docs: DataFrame, vocabulary: str = lattice.VOCABULARY) -> DataFrame:
