@@ -184,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2) -> DataFrame:
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("lists", lambda s: F.transform(F.filter(s, lambda _, i: i % 2 == 0), lambda a, i: F.struct(a.alias("a"), F.get(s, 2 * i + 1).alias("b"))))), lambda x: F.sequence(x["a"], x["b"] - 1)))))
     ends = F.filter(F.transform("at", lambda x, i: F.when(F.coalesce(F.get(F.col("at"), i - 1) != x - 1, F.lit(True)), x)), lambda x: x.isNotNull())
     tails = F.filter(F.transform("at", lambda x, i: F.when(F.coalesce(F.get(F.col("at"), i + 1) != x + 1, F.lit(True)), x + 1)), lambda x: x.isNotNull())
-    return merged.withColumn("at", covered).select("doc_id", "key", "n_words", F.flatten(F.zip_with(ends, tails, F.array)).alias("spans"), F.array_sort("items").alias("items"), F.array_sort("near").alias("near"))
+    return merged.withColumn("at", covered).select("doc_id", "key", "n_words", F.flatten(F.zip_with(ends, tails, lambda a, b: F.array(a, b))).alias("spans"), F.array_sort("items").alias("items"), F.array_sort("near").alias("near"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 2) -> DataFrame:

@@ -91,9 +91,7 @@ class Lattice:
         self.longest = min(LONG, max(map(len, vocab)))
         self.map = U64Map(np.array([_hash(p) for p in vocab], np.uint64))
         self.ids = {p: i for i, p in enumerate(vocab)}
-        self.power = np.ones(LONG + 1, np.uint64)
-        for k in range(LONG):
-            self.power[k + 1] = self.power[k] * _P
+        self.power = np.array([pow(int(_P), k, 1 << 64) for k in range(LONG + 1)], np.uint64)
 
     def __getstate__(self) -> tuple:
         return self.vocab, self.logp

@@ -166,7 +166,7 @@ def _scorer(total: int, distinct: int):
     return score
 
 
-_OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
+_OUT = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
 
 
 def lm_scores(docs: DataFrame, held: Column) -> DataFrame:
@@ -174,7 +174,7 @@ def lm_scores(docs: DataFrame, held: Column) -> DataFrame:
     spark = docs.sparkSession
     chunks = bucket_count(docs, CHUNK_BYTES, F.octet_length("text"))
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(F.pmod(F.xxhash64(doc_id, "text"), F.lit(chunks)).cast("int").alias("chunk"), doc_id.alias("doc_id"), held.alias("held_out"), "text")
+    rows = docs.select(F.pmod(F.xxhash64(doc_id, "text"), F.lit(chunks)).cast("int").alias("chunk"), doc_id.cast("string").alias("doc_id"), held.alias("held_out"), "text")
     asked = rows.groupBy("chunk").applyInPandas(_ask, "chunk int, kind tinyint, key bigint, n bigint")
     total = F.sum("n").over(Window.partitionBy("kind", "key"))
     asked = materialize(asked.select("chunk", "kind", "key", total.alias("n")), "lm-keys")
@@ -184,7 +184,7 @@ def lm_scores(docs: DataFrame, held: Column) -> DataFrame:
     costs = code_lengths(distinct.where(F.col("kind") == GRAM).select("key", "n"))
     answers = asked.where(F.col("kind") == WORD).select("chunk", "kind", "key", F.col("n").cast("double").alias("value"))
     answers = answers.unionByName(asked.where(F.col("kind") == GRAM).select("chunk", "kind", "key").join(costs, "key"))
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scorer(words[0] or 0, words[1]), _OUT)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scorer(words[0] or 0, words[1]), _OUT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import decontam, langid, line_dedup, lm_score, mixing, quality, secrets, token_counts
+from scanframe.llm import decontam, langid, line_dedup, lm_score, mixing, quality, secrets, token_counts, warc
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": lm_score.op1,
         "op2_token_counts": token_counts.op2,
+        "op3_warc_index": warc.op3,
         "op5_secret_scan": secrets.op5,
         "op6_language_id": langid.op6,
         "op7_quality_rules": op7,
