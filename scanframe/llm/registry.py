@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanframe.llm import decontam, langid, line_dedup, lm_score, mixing, quality, secrets, token_counts, warc
+from scanframe.llm import decontam, langid, line_dedup, lm_score, mixing, ngram_join, quality, secrets, token_counts, warc
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_score": lm_score.op1,
         "op2_token_counts": token_counts.op2,
         "op3_warc_index": warc.op3,
+        "op4_ngram_join": ngram_join.op4,
         "op5_secret_scan": secrets.op5,
         "op6_language_id": langid.op6,
         "op7_quality_rules": op7,
