@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from scanframe.llm import lattice
 from scanframe.llm.common import batch_rows, held_out
@@ -74,7 +75,7 @@ def predict(docs: DataFrame, model: tuple[list[str], lattice.Lattice], extra: di
     extra = extra or {}
     rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in extra.items()]).alias("id"), "text")
     fields = rows.schema["id"].dataType
-    head = [f"{f.name} {f.dataType.simpleString()}" for f in fields]
+    out = StructType([*fields.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, lat = shared.value
@@ -99,7 +100,7 @@ def predict(docs: DataFrame, model: tuple[list[str], lattice.Lattice], extra: di
             cols = [ids.field(k) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score)], names=[*fields.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, ", ".join([*head, "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, out)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
