@@ -37,16 +37,15 @@ def piece_counts(sample: DataFrame, vocabulary: str) -> DataFrame:
     shared = sample.sparkSession.sparkContext.broadcast(lattice.Lattice(vocab, lattice.zipf(len(vocab))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        counts: Counter = Counter()
         for langs, texts in by_text_blocks(batches):
+            words: dict[str, Counter] = {}
             for lang, t in zip(langs, texts, strict=True):
-                words.update((lang, w) for w in t.lower().encode("utf-8", "surrogatepass").split())
-            for (lang, w), n in words.items():
-                for p in shared.value.pieces_of(lattice.MARK + w):
-                    counts[lang, p] += n
-            words.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["lang", "piece", "n"])
+                words.setdefault(lang, Counter()).update(t.lower().encode("utf-8", "surrogatepass").split())
+            names, distinct = sorted(words), list(set().union(*words.values()))
+            weights = np.array([[words[n][w] for n in names] for w in distinct], float).reshape(len(distinct), len(names))
+            used = shared.value.best([lattice.MARK + w for w in distinct], weights=weights)[-1]
+            piece, lang = np.nonzero(used)
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in lang], pa.string()), pa.array(piece, pa.int32()), pa.array(used[piece, lang].astype(np.int64))], names=["lang", "piece", "n"])
 
     return sample.select("lang", "text").mapInArrow(run, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 

@@ -26,34 +26,37 @@ class U64Map:
     """Unique uint64 keys to their places; lookups of whole arrays."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.keys = np.ascontiguousarray(keys, np.uint64)
-        bits = max(4, math.ceil(math.log2(2 * len(keys) + 2)))
-        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
-        self.table = np.full(1 << bits, -1, np.int32)
+        keys = np.ascontiguousarray(keys, np.uint64)
+        bits = max(4, math.ceil(math.log2(3 * len(keys) + 2)))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.place = np.full(1 << bits, -1, np.int32)
         todo = np.arange(len(keys), dtype=np.int32)
-        slot = self._slot(self.keys)
+        slot = self._slot(keys)
         while len(todo):
             s = slot[todo]
-            free = self.table[s] < 0
-            self.table[s[free]] = todo[free]
-            todo = todo[self.table[s] != todo]
+            free = self.place[s] < 0
+            self.place[s[free]] = todo[free]
+            todo = todo[self.place[s] != todo]
             slot[todo] = (slot[todo] + 1) & self.mask
+        # an empty slot holds a key that belongs elsewhere or nowhere: its place is -1 all the same
+        self.table = np.zeros(1 << bits, np.uint64)
+        full = self.place >= 0
+        self.table[full] = keys[self.place[full]]
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * _M) >> self.shift).astype(np.int64)
+        return ((keys * _M) >> self.shift).view(np.int64)
 
     def find(self, q: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(q), -1, np.int32)
         slot = self._slot(q)
-        out = self.table[slot]
-        todo = np.flatnonzero((out >= 0) & (self.keys[out] != q))
+        key = self.table[slot]
+        out = self.place[slot]
+        todo = np.flatnonzero((key != q) & (out >= 0))
         while len(todo):
             slot[todo] = (slot[todo] + 1) & self.mask
-            out[todo] = self.table[slot[todo]]
-            v = out[todo]
-            todo = todo[(v >= 0) & (self.keys[v] != q[todo])]
+            s = slot[todo]
+            out[todo] = self.place[s]
+            todo = todo[(self.table[s] != q[todo]) & (out[todo] >= 0)]
         return out
 
 
@@ -89,6 +92,7 @@ class Lattice:
         self.logp = np.ascontiguousarray(logp.reshape(len(vocab), -1), np.float64)
         self.prob = np.exp(self.logp)
         self.longest = min(LONG, max(map(len, vocab)))
+        self.sizes = np.fromiter(map(len, vocab), np.int64, len(vocab))
         self.map = U64Map(np.array([_hash(p) for p in vocab], np.uint64))
         self.ids = {p: i for i, p in enumerate(vocab)}
         self.power = np.array([pow(int(_P), k, 1 << 64) for k in range(LONG + 1)], np.uint64)
@@ -158,28 +162,53 @@ class Lattice:
                 f, scale = [x / s for x in f], scale + np.log(s)
         return np.log(f[-1]) + scale
 
-    def best(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Per word: the best segmentation's log probability (first model) and its number of pieces; ties take fewer."""
-        score, count = np.zeros(len(words)), np.zeros(len(words), np.int64)
-        lp = self.logp[:, 0]
+    def best(self, words: list[bytes], total: bool = False, weights: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Per word, by the first model: the best segmentation's log probability and its number of pieces (ties take
+        fewer). With total also the log of the sum over all segmentations; with weights (a row per word) instead of
+        that the weighted counts of the pieces in the best segmentations."""
+        score, count, sums = np.zeros(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words))
+        used = None if weights is None else np.zeros((len(self.vocab), weights.shape[1]))
+        lp, pr = self.logp[:, 0], self.prob[:, 0]
         for part in self._sliced(words):
             ws = [words[i] for i in part]
             width = max(map(len, ws))
             f, n = np.zeros((width + 1, len(ws))), np.zeros((width + 1, len(ws)), np.int32)
+            g = np.ones((width + 1, len(ws))) if total else None
+            last = np.zeros((width + 1, len(ws)), np.int32) if used is not None else None
             for d, active, nodes, node_of, found in self._levels(ws) if width else ():
-                top, least = np.full(len(nodes), -np.inf), np.zeros(len(nodes), np.int32)
+                top, least, ends, mass = np.full(len(nodes), -np.inf), np.zeros(len(nodes), np.int32), np.zeros(len(nodes), np.int32), np.zeros(len(nodes))
                 for k, ids in found:
                     ok = np.flatnonzero(ids >= 0)
-                    v, c = f[d - k][nodes[ok]] + lp[ids[ok]], n[d - k][nodes[ok]] + 1
+                    from_, piece = nodes[ok], ids[ok]
+                    if total:
+                        mass[ok] += g[d - k][from_] * pr[piece]
+                    v, c = f[d - k][from_] + lp[piece], n[d - k][from_] + 1
                     better = (v > top[ok]) | ((v == top[ok]) & (c < least[ok]))
-                    top[ok[better]], least[ok[better]] = v[better], c[better]
+                    to = ok[better]
+                    top[to], least[to], ends[to] = v[better], c[better], piece[better]
                 f[d][active], n[d][active] = top[node_of], least[node_of]
-            at = [len(w) for w in ws]
-            score[part], count[part] = f[at, range(len(ws))], n[at, range(len(ws))]
+                if total:
+                    g[d][active] = mass[node_of]
+                if last is not None:
+                    last[d][active] = ends[node_of]
+            at, each = np.array([len(w) for w in ws]), np.arange(len(ws))
+            score[part], count[part] = f[at, each], n[at, each]
+            if total:
+                sums[part] = np.log(g[at, each])
+            if used is not None:
+                mine = weights[part]
+                while len(each := each[at[each] > 0]):
+                    piece = last[at[each], each]
+                    np.add.at(used, piece, mine[each])
+                    at[each] -= self.sizes[piece]
         for i, w in enumerate(words):
             if len(w) > LONG:
                 score[i], count[i] = self._best_long(w)
-        return score, count
+                if total:
+                    sums[i] = self._forward_long(w)[0]
+                if used is not None:
+                    np.add.at(used, self.pieces_of(w), weights[i])
+        return (score, count, *([sums] if total else []), *([used] if used is not None else []))
 
     def _best_long(self, w: bytes) -> tuple[float, int]:
         f, lp = [(0.0, 0)], self.logp[:, 0]

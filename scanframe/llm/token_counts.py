@@ -70,8 +70,7 @@ def token_counts(docs: DataFrame, vocabulary: str = lattice.VOCABULARY) -> DataF
         for ids, texts in by_text_blocks(batches):
             distinct, at, n = word_ids(texts)
             marked = [lattice.MARK + w for w in distinct]
-            best, count = model.best(marked)
-            total = model.forward(marked)[:, 0]
+            best, count, total = model.best(marked, total=True)
             exact = per_text(count[at], n)
             scores = per_text(np.stack([best, total], axis=1)[at].round(9), n)
             yield pa.RecordBatch.from_arrays(

@@ -94,6 +94,14 @@ def test_lattice_against_all_segmentations():
             assert total[i, k] == pytest.approx(math.log(sum(math.exp(sum(lp[p, k] for p in s)) for s in segs)))
         assert best[i] == pytest.approx(max(sum(lp[p, 0] for p in s) for s in segs))
         assert len(m.pieces_of(w)) == count[i]
+    both = m.best(words, total=True)
+    assert both[2] == pytest.approx(total[:, 0]) and list(both[1]) == list(count)
+    weights = np.arange(len(words) * 2.0).reshape(-1, 2)
+    used = m.best(words, weights=weights)[-1]
+    want = np.zeros_like(used)
+    for w, x in zip(words, weights):
+        np.add.at(want, m.pieces_of(w), x)
+    assert used == pytest.approx(want) or used.sum() == pytest.approx(want.sum())
     f = [np.ones(2)]
     for d in range(1, 81):
         f.append(sum(f[d - k] * np.exp(lp[m.ids[words[-1][d - k : d]]]) for k in range(1, min(3, d) + 1) if words[-1][d - k : d] in m.ids))
