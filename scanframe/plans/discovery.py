@@ -181,7 +181,7 @@ def feature_cols(part):
 @query("feature_filter", "part", f"SELECT {_FEATURE_NAME} AS name, NOT (p_partkey % 5 = 2 OR p_partkey IN (10, 11)) AS kept FROM part")
 def feature_filter(part):
     f = _features(part)
-    return f.select("name", ~((N.feature_family(F.col("name")) == "shape") | F.col("name").rlike(r"\D1[01]$")).alias("kept"))
+    return f.select("name", (~((N.feature_family(F.col("name")) == "shape") | F.col("name").rlike(r"\D1[01]$"))).alias("kept"))
 
 
 @query("feature_log", "part", "SELECT CASE p_partkey % 5 WHEN 0 THEN 'firstorder' WHEN 1 THEN 'glcm' WHEN 2 THEN 'shape' ELSE 'other' END AS family, count(*) FILTER (WHERE p_partkey % 5 <> 2) AS kept, count(*) FILTER (WHERE p_partkey % 5 = 2) AS excluded FROM part GROUP BY 1")
