@@ -62,8 +62,9 @@ def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(SHINGLE, len(words))
     s = np.full(len(h) - size + 1, size, np.uint64)
@@ -72,17 +73,25 @@ def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(s)
 
 
-def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20240229)
-    return r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
+class MinHash:
+    """Least values of so many multiply-add permutations of the upper 32 bits of shingle hashes."""
 
+    def __init__(self, n: int, width: int = 1024) -> None:
+        r = np.random.default_rng(20240229)
+        self.a, self.b = (r.integers(0, 1 << 32, (n, 1), dtype=np.uint32) for _ in range(2))
+        self.a |= np.uint32(1)
+        self.room = np.empty((n, width), np.uint32)  # stays in the cache
 
-def minhash(s: np.ndarray, perms: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    a, b = perms
-    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(s), 8192):
-        out = np.minimum(out, (s[k : k + 8192, None] * a + b).min(axis=0))
-    return out
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        s, width = (s >> np.uint64(32)).astype(np.uint32), self.room.shape[1]
+        out = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
+        for k in range(0, len(s), width):
+            part = s[k : k + width]
+            v = self.room[:, : len(part)]
+            np.multiply(self.a, part, out=v)
+            np.add(v, self.b, out=v)
+            np.minimum(out, v.min(axis=1), out=out)
+        return out
 
 
 def _trim(known: dict[bytes, int]) -> None:
@@ -97,14 +106,14 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        perms = _permutations(bands * rows)
+        minhash = MinHash(bands * rows)
         for b in batches:
             cls, n, band = [], [], []
             for t in b.column(2):
                 s = shingles(t.as_py(), known)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                m = minhash(s, perms).reshape(bands, rows) if len(s) else None
+                m = minhash(s).reshape(bands, rows) if len(s) else None
                 band.append(None if m is None else np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(m)], np.uint64).view(np.int64))
                 _trim(known)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary()), pa.array(n, pa.int32()), pa.array(band, pa.list_(pa.int64()))], names=names)
