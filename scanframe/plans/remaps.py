@@ -1 +1,402 @@
-"""Queries of this family."""
+"""Queries on intensity remaps and target generators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scanframe.functions import rng
+from scanframe.operators import remap as R
+from scanframe.operators import windows as Wn
+from scanframe.plans.catalog import query
+from scanframe.plans.volumes import _filtered
+
+r6 = lambda c: F.round(c, 6)
+
+
+def u(tag: str, *ids: str, seed: int = 42) -> str:
+    """The same draw in DuckDB."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', '{tag}'{''.join(f', ({i})::VARCHAR' for i in ids)})), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+def pick(options, tag: str, *ids: str, seed: int = 42) -> str:
+    return f"([{', '.join(map(str, options))}])[floor({u(tag, *ids, seed=seed)} * {len(options)})::INT + 1]"
+
+
+def normal(tag: str, *ids: str, seed: int = 42) -> str:
+    return f"(sqrt(-2 * ln(greatest({u(tag + 'a', *ids, seed=seed)}, pow(2, -33)))) * cos(2 * pi() * {u(tag + 'b', *ids, seed=seed)}))"
+
+
+def _signed(tag: str, *ids: str, seed: int = 42) -> str:
+    return f"((0.5 + 1.5 * {u(tag, *ids, seed=seed)}) * CASE WHEN {u(tag + 's', *ids, seed=seed)} > 0.5 THEN 1 ELSE -1 END)"
+
+
+FG = "v > 0.01"
+
+
+def minmax(source: str) -> str:
+    """source has vol, i, v, g."""
+    return f"""SELECT s.vol, i, v, CASE WHEN {FG} THEN (g - lo) / (hi - lo + 1e-6) ELSE 0 END AS g FROM ({source}) s
+JOIN (SELECT vol, min(CASE WHEN {FG} THEN g ELSE 0 END) AS lo, max(CASE WHEN {FG} THEN g ELSE 0 END) AS hi FROM ({source}) GROUP BY vol) m ON s.vol = m.vol"""
+
+
+def affine(source: str, mu: str, alpha: str) -> str:
+    """source has vol, i, v, region."""
+    return f"""SELECT s.vol, i, v, CASE WHEN {FG} THEN {mu} + {alpha} * (v - m) ELSE 0 END AS g FROM ({source}) s
+JOIN (SELECT vol AS mv, region AS mr, sum(CASE WHEN {FG} THEN v ELSE 0 END) / greatest(count(*) FILTER (WHERE {FG}), 1) AS m FROM ({source}) GROUP BY vol, region) q ON s.vol = mv AND s.region = mr"""
+
+
+def edges(ks: list[int], how: str) -> str:
+    """vol, k, e (edges)."""
+    k = pick(ks, "K", "vol")
+    if how == "uniform":
+        return f"SELECT vol, k, list_transform(range(0, k + 1), lambda j: j / k) AS e FROM (SELECT DISTINCT vol, {k} AS k FROM {{vox}})"
+    case = " ".join(f"WHEN {n} THEN list_concat([0.0], quantile_cont(v, [{', '.join(f'{j} / {n}.0' for j in range(1, n))}]), [1.0])" for n in sorted(set(ks)))
+    return f"SELECT vol, any_value(k) AS k, CASE any_value(k) {case} END AS e FROM (SELECT vol, v, {k} AS k FROM {{vox}} WHERE {FG}) GROUP BY vol"
+
+
+def chunks(ks: list[int], how: str) -> str:
+    """vol, i, v, k, e, region."""
+    return f"SELECT a.vol, i, v, k, e, greatest(0, least(len(list_filter(e, lambda b: b < v)) - 1, len(e) - 2))::INT AS region FROM {{vox}} a JOIN ({edges(ks, how)}) d ON a.vol = d.vol"
+
+
+def out(body: str) -> str:
+    return f"SELECT vol, i, round(g, 6) AS g FROM ({body})"
+
+
+def show(d):
+    return d.select("vol", "i", r6("g").alias("g"))
+
+
+_K7 = [2, 3, 4, 6, 8, 12, 16]
+_MU, _AL = u("mu", "s.vol", "s.region"), f"(0.5 + 1.5 * {u('alpha', 's.vol', 's.region')})"
+
+
+@query("tg_v23_random_k", "vox", out(minmax(affine(chunks(_K7, "uniform"), _MU, _AL))))
+def tg_v23_random_k(vox):
+    return show(R.generate(vox, "v23"))
+
+
+@query("tg_v24_fg_quantile", "vox", out(minmax(affine(chunks(_K7, "quantile"), _MU, _AL))))
+def tg_v24_fg_quantile(vox):
+    return show(R.generate(vox, "v24"))
+
+
+@query("tg_v24_t2w", "vox", out(minmax(affine(chunks([3], "quantile"), f"(0.1 + 0.8 * {_MU})", _AL))))
+def tg_v24_t2w(vox):
+    return show(R.generate(vox, "v24_t2w"))
+
+
+@query("tg_v24_pdw", "vox", out(minmax(affine(chunks([3], "quantile"), f"(0.4 + 0.4 * {_MU})", f"(1.2 + 0.6 * {u('alpha', 's.vol', 's.region')})"))))
+def tg_v24_pdw(vox):
+    return show(R.generate(vox, "v24_pdw"))
+
+
+_RANKED = f"list_sort(list_transform(range(0, k), lambda j: {{'u': {u('mu', 'vol', 'j')}, 'j': j}}), '%s')"
+
+
+@query("tg_v24_desc", "vox", out(minmax(affine(chunks([2, 3, 4], "quantile").replace("SELECT a.vol, i, v, k, e,", f"SELECT a.vol, i, v, {_RANKED.replace('vol', 'a.vol') % 'DESC'} AS r,"), "r[s.region + 1].u", _AL))))
+def tg_v24_desc(vox):
+    return show(R.generate(vox, "v24_desc"))
+
+
+@query("tg_v24_inv", "vox", f"SELECT vol, i, round(CASE WHEN NOT ({FG}) THEN 0 WHEN {u('inv', 'vol')} < 0.5 THEN 1 - v ELSE g END, 6) AS g FROM ({minmax(affine(chunks([2, 3, 4, 6, 8], 'quantile'), _MU, _AL))})")
+def tg_v24_inv(vox):
+    return show(R.generate(vox, "v24_inv"))
+
+
+@query("tg_legacy", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN e[t + 1] + CASE WHEN e[region + 2] > e[region + 1] THEN (v - e[region + 1]) / (e[region + 2] - e[region + 1]) ELSE 0 END * (e[t + 2] - e[t + 1]) ELSE 0 END, 6) AS g FROM (SELECT *, ({_RANKED % 'ASC'})[region + 1].j AS t FROM ({chunks([8], 'quantile')}))")
+def tg_legacy(vox):
+    return show(R.generate(vox, "legacy"))
+
+
+@query("dispatch_targets", "vox", f"SELECT vol, round(avg(g), 6) AS mean FROM ({minmax(affine(chunks(_K7, 'uniform'), _MU, _AL))}) GROUP BY vol")
+def dispatch_targets(vox):
+    return R.generate(vox, "v23").groupBy("vol").agg(r6(F.avg("g")).alias("mean"))
+
+
+def _interp(x: str, xs: list[str], ys: list[str]) -> str:
+    body = " ".join(f"WHEN {x} <= {xs[k]} THEN {ys[k - 1]} + coalesce(({x} - {xs[k - 1]}) / nullif({xs[k]} - {xs[k - 1]}, 0), 0) * ({ys[k]} - {ys[k - 1]})" for k in range(1, len(xs)))
+    return f"CASE WHEN {x} <= {xs[0]} THEN {ys[0]} {body} ELSE {ys[-1]} END"
+
+
+_KNOTS = [u(f"knot{k}", "vol") for k in range(4)]
+
+
+@query("tg_v24_nm", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN {_interp('v', [f'({k} / 3.0)' for k in range(4)], _KNOTS)} ELSE 0 END, 6) AS g FROM {{vox}}")
+def tg_v24_nm(vox):
+    return show(R.generate(vox, "v24_nm"))
+
+
+@query("tg_v24_nm2", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN {_interp('v', [f'q[{k}]' for k in range(1, 5)], _KNOTS)} ELSE 0 END, 6) AS g FROM {{vox}} JOIN (SELECT vol AS w, quantile_cont(v, [0, 1.0 / 3, 2.0 / 3, 1]) AS q FROM {{vox}} WHERE {FG} GROUP BY vol) ON vol = w")
+def tg_v24_nm2(vox):
+    return show(R.generate(vox, "v24_nm2"))
+
+
+@query("fn_interp1d", "vox", f"SELECT vol, i, round({_interp('v', ['0.0', '0.2', '0.9'], ['0.5', '1.0', '0.0'])}, 6) AS g FROM {{vox}}")
+def fn_interp1d(vox):
+    return show(vox.withColumn("g", R.interp(F.col("v"), [F.lit(x) for x in (0.0, 0.2, 0.9)], [F.lit(x) for x in (0.5, 1.0, 0.0)])))
+
+
+@query("fn_bezier", "vox", f"SELECT vol, i, round(CASE WHEN {u('bz', 'vol')} < 0.5 THEN 3 * (1 - v) * (1 - v) * v * {u('b1', 'vol')} + 3 * (1 - v) * v * v * {u('b2', 'vol')} + v * v * v ELSE v END, 6) AS g FROM {{vox}}")
+def fn_bezier(vox):
+    return show(vox.withColumn("g", R.bezier(F.col("v"), 42)))
+
+
+@query("fn_clamp", "vox", "SELECT vol, i, round(least(greatest(v * 4 - 1, 0), 1), 6) AS g FROM {vox}")
+def fn_clamp(vox):
+    return show(vox.withColumn("g", R.clamp01(F.col("v") * 4 - 1)))
+
+
+@query("fn_minmax", "vox", out(minmax("SELECT vol, i, v, v * 3 - 0.5 AS g FROM {vox}")))
+def fn_minmax(vox):
+    return show(R.minmax(vox.withColumn("g", F.col("v") * 3 - 0.5)))
+
+
+@query("fn_zscore_fg", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN (v - m) / sqrt(s + 1e-7) ELSE 0 END, 6) AS g FROM {{vox}} JOIN (SELECT vol AS w, avg(v) AS m, var_pop(v) AS s FROM {{vox}} WHERE {FG} GROUP BY vol) ON vol = w")
+def fn_zscore_fg(vox):
+    return show(R.zscore_foreground(vox.withColumn("g", F.col("v")), "g"))
+
+
+@query("fg_filter", "vox", f"SELECT vol, count(*) AS n FROM {{vox}} WHERE {FG} GROUP BY vol")
+def fg_filter(vox):
+    return vox.where(R.foreground()).groupBy("vol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join_range_bucket", "vox", "SELECT vol, greatest(0, least((v > 0)::INT + (v > 0.1)::INT + (v > 0.4)::INT + (v > 1)::INT - 1, 2)) AS bin, count(*) AS n FROM {vox} GROUP BY ALL")
+def join_range_bucket(vox):
+    return vox.groupBy("vol", R.chunk_of(F.col("v"), F.array(*map(F.lit, (0.0, 0.1, 0.4, 1.0)))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join_region_params", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN {u('mu', 'vol', 'label')} + (0.5 + 1.5 * {u('alpha', 'vol', 'label')}) * (v - m) ELSE 0 END, 6) AS g FROM {{vox}} JOIN (SELECT vol AS w, label AS l, avg(v) FILTER (WHERE {FG}) AS m FROM {{vox}} GROUP BY ALL) ON vol = w AND label = l")
+def join_region_params(vox):
+    d = vox.withColumn("region", F.col("label"))
+    return show(R.affine_by_region(d, rng.uniform(42, "mu", "vol", "region"), rng.between(0.5, 2.0, 42, "alpha", "vol", "region")))
+
+
+def _kmeans(cs, seed: int = 42) -> str:
+    """CTEs k0 .. k10 with vol, c, j, m (centroid j)."""
+    s = f"""smp AS (SELECT vol, v, {pick(cs, 'C', 'vol', seed=seed)} AS c FROM (SELECT vol, i, v, row_number() OVER (PARTITION BY vol ORDER BY md5(concat_ws(':', '{seed}', 'km', vol::VARCHAR, i::VARCHAR)), vol, i) AS n FROM {{vox}} WHERE {FG}) WHERE n <= 10000),
+k0 AS (SELECT vol, c, j, lo + (hi - lo) * j / greatest(c - 1, 1) AS m FROM (SELECT vol, any_value(c) AS c, min(v) AS lo, max(v) AS hi FROM smp GROUP BY vol), LATERAL (SELECT unnest(range(0, c)) AS j))"""
+    for n in range(1, 11):
+        s += f""",
+k{n} AS (SELECT k.vol, k.c, k.j, coalesce(a.m, k.m) AS m FROM k{n - 1} k LEFT JOIN (SELECT vol, j, avg(v) AS m FROM (SELECT s.vol, s.v, s.rid, arg_min(k.j, (abs(s.v - k.m), k.j)) AS j FROM (SELECT *, row_number() OVER () AS rid FROM smp) s JOIN k{n - 1} k ON s.vol = k.vol GROUP BY s.vol, s.v, s.rid) GROUP BY vol, j) a ON a.vol = k.vol AND a.j = k.j)"""
+    return s
+
+
+@query("kmeans_1d", "vox", f"WITH {_kmeans([2, 3, 4, 5, 6])} SELECT vol, j::INT AS j, round(m, 6) AS m FROM k10")
+def kmeans_1d(vox):
+    k = R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)
+    return k.select("vol", F.posexplode("centroids").alias("j", "m")).withColumn("m", r6("m"))
+
+
+@query("centroids_once", "vox", f"WITH {_kmeans([4])} SELECT vol, count(*) AS n, round(sum(m), 6) AS total FROM k10 GROUP BY vol")
+def centroids_once(vox):
+    k = R.kmeans_1d(vox, [4], 42)
+    return k.select("vol", F.size("centroids").cast("long").alias("n"), r6(F.aggregate("centroids", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+def _parcels(o: R.Version, seed: int = 42) -> str:
+    """CTEs up to reg: vol, i, v, z, y, x, c, cluster, region."""
+    ss, cl = list(o.ss), "vol, cluster"
+    s = f"""WITH {_kmeans(list(o.cs), seed)},
+cent AS (SELECT vol AS cv, any_value(c) AS c, list(m ORDER BY j) AS ms FROM k10 GROUP BY vol),
+clu AS (SELECT vol, i, z, y, x, v, label, c, len(list_filter(range(1, len(ms)), lambda q: (ms[q] + ms[q + 1]) / 2 < v))::INT AS cluster FROM {{vox}} JOIN cent ON vol = cv)"""
+    if o.cells:
+        s += f""",
+seeds AS (SELECT {cl}, i AS si, z AS sz, y AS sy, x AS sx FROM (SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY md5(concat_ws(':', '{seed}', 'seed', vol::VARCHAR, i::VARCHAR)), vol, i) AS n, {pick(ss, 'S', 'vol', 'cluster', seed=seed)} AS s FROM clu WHERE {FG}) WHERE n <= s),
+sn AS (SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY si) - 1 AS k, count(*) OVER (PARTITION BY {cl}) AS many FROM seeds),
+near AS (SELECT a.vol, a.i, arg_min(k, ((a.z - sz) ** 2 + (a.y - sy) ** 2 + (a.x - sx) ** 2, k)) AS cell, any_value(many) AS many FROM clu a JOIN sn ON sn.vol = a.vol AND sn.cluster = a.cluster GROUP BY a.vol, a.i),
+cel AS (SELECT clu.*, CASE WHEN {u('skip', 'clu.vol', 'clu.cluster', seed=seed)} < {o.skip_cells} OR many IS NULL OR many < 2 THEN 0 ELSE cell END AS cell FROM clu LEFT JOIN near ON near.vol = clu.vol AND near.i = clu.i)"""
+    else:
+        s += ",\ncel AS (SELECT *, 0 AS cell FROM clu)"
+    return s + f""",
+reg AS (SELECT *, CASE WHEN {u('all', 'vol', seed=seed)} < {o.skip_all} THEN 0 ELSE (cluster * 100 + cell)::INT END AS region FROM cel)"""
+
+
+def _parcel_sql(o: R.Version) -> str:
+    mu = u("mu", "s.vol", "s.region")
+    if o.mu == "ordered":
+        mu = f"((CASE WHEN {u('anti', 's.vol')} < 0.5 THEN c - 1 - cluster ELSE cluster END + {u('mu', 's.vol', 's.cluster')}) / c)"
+    elif o.mu == "stratified":
+        mu = f"(((list_sort(list_transform(range(0, c), lambda q: {{'u': {u('band', 's.vol', 'q')}, 'q': q}})))[cluster + 1].q + {u('mu', 's.vol', 's.cluster')}) / c)"
+    al = _signed("alpha", "s.vol", "s.region") if o.sign else f"(0.5 + 1.5 * {u('alpha', 's.vol', 's.region')})"
+    if o.constant:
+        al = f"CASE WHEN {u('const', 's.vol', 's.cluster')} < {o.constant} THEN 0 ELSE {al} END"
+    body = affine("SELECT * FROM reg", mu, al)
+    body = minmax(body) if o.normalise else body
+    post = {
+        "invert": f"CASE WHEN {u('inv', 'vol')} < 0.5 THEN 1 - g ELSE g END",
+        "gamma": f"pow(g, exp(ln(0.25) + (ln(4.0) - ln(0.25)) * {u('gamma', 'vol')}))",
+        "noise": f"least(greatest(g + (0.05 + 0.2 * {u('sd', 'vol')}) * {normal('n', 'vol', 'i')}, 0), 1)",
+    }.get(o.post)
+    if post:
+        body = f"SELECT vol, i, v, CASE WHEN {FG} THEN {post} ELSE 0 END AS g FROM ({body})"
+    if o.post == "rician":
+        sd = f"(0.12 * {u('sd', 'vol')})"
+        body = minmax(f"SELECT vol, i, v, CASE WHEN {FG} THEN sqrt((g + {sd} * {normal('n1', 'vol', 'i')}) ** 2 + ({sd} * {normal('n2', 'vol', 'i')}) ** 2) ELSE 0 END AS g FROM ({body})")
+    return f"{_parcels(o)}\nSELECT vol, i, round(g, 5) AS g FROM ({body})"
+
+
+def _register(version: str, with_sql: bool = True) -> None:
+    def f(vox):
+        return R.generate(vox, version).select("vol", "i", F.round("g", 5).alias("g"))
+
+    query(f"tg_{version}", "vox", _parcel_sql(R.VERSIONS[version]) if with_sql else None)(f)
+
+
+for _v in R.VERSIONS:
+    if _v != "raw":
+        _register(_v, R.VERSIONS[_v].passes == 1 and R.VERSIONS[_v].post != "dropout")
+
+
+@query("join_voronoi", "vox", _parcels(R.Version(skip_all=0.0, skip_cells=0.0)) + " SELECT vol, i, cluster, cell::INT AS cell FROM cel")
+def join_voronoi(vox):
+    j = vox.join(F.broadcast(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
+    return R.voronoi(j, list(range(2, 11)), 42, 0.0).select("vol", "i", "cluster", F.col("cell").cast("int").alias("cell"))
+
+
+@query("voronoi_ids", "vox", _parcels(R.Version(skip_all=0.0)) + " SELECT vol, region, count(*) AS n FROM reg GROUP BY ALL")
+def voronoi_ids(vox):
+    j = vox.join(F.broadcast(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
+    j = R.voronoi(j, list(range(2, 11)), 42, 0.4)
+    return j.groupBy("vol", (F.col("cluster") * 100 + F.col("cell")).cast("int").alias("region")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sample_seeds", "vox", f"SELECT vol, label, i FROM (SELECT *, row_number() OVER (PARTITION BY vol, label ORDER BY md5(concat_ws(':', '42', 'seed', vol::VARCHAR, i::VARCHAR)), vol, i) AS n FROM {{vox}} WHERE {FG}) WHERE n <= {pick(range(2, 11), 'S', 'vol', 'label')}")
+def sample_seeds(vox):
+    from scanframe.operators.sampling import hash_sample
+
+    n = rng.choice(list(range(2, 11)), 42, "S", "vol", "label")
+    return hash_sample(vox.where(R.foreground()), ["vol", "label"], n, 42, "seed", "vol", "i").select("vol", "label", "i")
+
+
+@query("vol_fast", "vox")
+def vol_fast(vox):
+    return R.synthesise(vox).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
+
+
+@query("vol_fast_v2", "vox")
+def vol_fast_v2(vox):
+    return R.synthesise_labels(vox).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
+
+
+@query("vol_debug_v2", "vox", _parcels(R.Version(skip_all=0.0, skip_cells=0.0)) + " SELECT vol, cluster, count(*) AS voxels, count(DISTINCT cell) AS cells FROM cel GROUP BY ALL")
+def vol_debug_v2(vox):
+    j = vox.join(F.broadcast(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
+    return R.voronoi(j, list(range(2, 11)), 42, 0.0).groupBy("vol", "cluster").agg(F.count(F.lit(1)).alias("voxels"), F.count_distinct("cell").alias("cells"))
+
+
+@query("tg_v17_anchor", "vox")
+def tg_v17_anchor(vox):
+    return show(R.generate(vox, "v17"))
+
+
+@query("tg_v19_label", "vox")
+def tg_v19_label(vox):
+    return show(R.generate(vox, "v19"))
+
+
+@query("tg_v25_blobs", "vox")
+def tg_v25_blobs(vox):
+    return show(R.generate(vox, "v25"))
+
+
+@query("tg_synthseg", "vox", f"SELECT vol, i, round(CASE WHEN NOT ({FG}) THEN 0 WHEN label IN (1, 2, 3) THEN least(greatest({u('gm', 'vol', 'label')} + (0.02 + 0.13 * {u('gs', 'vol', 'label')}) * {normal('gn', 'vol', 'i')}, 0), 1) ELSE v END, 6) AS g FROM {{vox}}")
+def tg_synthseg(vox):
+    return show(R.generate(vox, "synthseg"))
+
+
+@query("tg_v27a", "vox", f"""WITH q AS (SELECT vol, label, quantile_cont(v, [0, 0.25, 0.5, 0.75, 1]) AS e, count(*) AS n FROM {{vox}} WHERE {FG} AND label > 0 GROUP BY ALL),
+j AS (SELECT a.vol, a.i, a.v, coalesce({FG} AND a.label > 0 AND n >= 100, false) AS use, CASE WHEN coalesce({FG} AND a.label > 0 AND n >= 100, false) THEN a.label * 100 + greatest(0, least(len(list_filter(e, lambda b: b < v)) - 1, 3)) ELSE -1 END::INT AS region FROM {{vox}} a LEFT JOIN q ON q.vol = a.vol AND q.label = a.label),
+g AS (SELECT p.vol, p.i, p.v, CASE WHEN use THEN g WHEN p.v > 0.01 THEN p.v ELSE 0 END AS g FROM ({affine('SELECT vol, i, v, region FROM j', _MU, _AL)}) p JOIN j ON j.vol = p.vol AND j.i = p.i)
+{out(minmax('SELECT * FROM g'))}""")
+def tg_v27a(vox):
+    return show(R.generate(vox, "v27a"))
+
+
+@query("tg_v27a_bis", "vox")
+def tg_v27a_bis(vox):
+    return R.generate(vox, "v27a_bis").select("vol", "i", F.round("g", 5).alias("g"))
+
+
+@query("fn_unsharp", "vox", f"SELECT vol, i, round(least(greatest(o + 0.7 * (o - v), 0), 1), 6) AS g FROM ({_filtered(Wn.gaussian(3, 1.0), 'SELECT *, v AS o FROM {vox}')})")
+def fn_unsharp(vox):
+    return show(R.unsharp(vox, 0.7, 1.0))
+
+
+@query("fn_lpci", "vox")
+def fn_lpci(vox):
+    return show(R.pyramid(vox, 42))
+
+
+@query("fn_fractal_noise", "vox")
+def fn_fractal_noise(vox):
+    return R.fractal_noise(vox, 42).select("vol", "i", F.round("noise", 6).alias("noise"))
+
+
+@query("fn_noise", "vox", f"SELECT vol, i, round(least(greatest(v + {u('sd', 'vol')} * 0.1 * {normal('an', 'vol', 'i')}, 0), 1), 6) AS g FROM {{vox}}")
+def fn_noise(vox):
+    return show(R.add_noise(vox, 42, 0.1))
+
+
+@query("fn_anisotropic", "vox", """WITH b AS (SELECT vol, y, x, z // 4 AS b, avg(v) AS a FROM {vox} GROUP BY ALL), l AS (SELECT vol, y, x, max(b) AS last FROM b GROUP BY ALL),
+p AS (SELECT a.vol, a.i, a.y, a.x, greatest(0, least((z + 0.5) / 4 - 0.5, last)) AS p, last FROM {vox} a JOIN l USING (vol, y, x))
+SELECT p.vol, p.i, round(lo.a * (1 - (p - floor(p))) + hi.a * (p - floor(p)), 6) AS out FROM p JOIN b lo ON lo.vol = p.vol AND lo.y = p.y AND lo.x = p.x AND lo.b = floor(p) JOIN b hi ON hi.vol = p.vol AND hi.y = p.y AND hi.x = p.x AND hi.b = least(floor(p) + 1, last)""")
+def fn_anisotropic(vox):
+    return R.anisotropic(vox, 4).select("vol", "i", r6("out").alias("out"))
+
+
+@query("fn_lowres", "vox", "SELECT a.vol, a.i, round(m, 6) AS out FROM {vox} a JOIN (SELECT vol, z // 2 AS z, y // 2 AS y, x // 2 AS x, avg(v) AS m FROM {vox} GROUP BY ALL) b ON a.vol = b.vol AND a.z // 2 = b.z AND a.y // 2 = b.y AND a.x // 2 = b.x")
+def fn_lowres(vox):
+    half = {f"h{a}": F.floor(F.col(a) / 2) for a in Wn.AXES}
+    d = vox.withColumns(half)
+    return d.join(d.groupBy("vol", *half).agg(F.avg("v").alias("m")), ["vol", *half]).select("vol", "i", r6("m").alias("out"))
+
+
+@query("fn_smooth", "vox", f"SELECT vol, i, round(v, 6) AS g FROM ({_filtered(Wn.gaussian(2, 0.8))})")
+def fn_smooth(vox):
+    return show(Wn.blur(vox, 0.8).withColumn("g", F.col("v")))
+
+
+@query("fn_soft_quantile", "vox")
+def fn_soft_quantile(vox):
+    c = vox.where(R.foreground()).groupBy("vol").agg(F.percentile("v", F.array(*[F.lit((k + 0.5) / 6) for k in range(6)])).alias("centres"))
+    return show(R.rbf_targets(vox, 42, c, 0.005, 0.02))
+
+
+@query("fn_bigaug_gamma", "vox", f"SELECT vol, i, round(CASE WHEN {u('gg', 'vol')} < 0.5 THEN pow(v, exp(ln(0.7) + (ln(1.5) - ln(0.7)) * {u('gamma', 'vol')})) ELSE v END, 6) AS g FROM {{vox}}")
+def fn_bigaug_gamma(vox):
+    return show(R.gamma(vox, 42))
+
+
+@query("fn_perturb_identity", "vox", "SELECT vol, i, round(v, 6) AS g FROM {vox}")
+def fn_perturb_identity(vox):
+    return show(R.PERTURBERS["identity"](vox, 42))
+
+
+@query("fn_perturb_bezier", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN 3 * (1 - v) * (1 - v) * v * {u('b1', 'vol')} + 3 * (1 - v) * v * v * {u('b2', 'vol')} + v * v * v ELSE 0 END, 6) AS g FROM {{vox}}")
+def fn_perturb_bezier(vox):
+    return show(R.PERTURBERS["bezier"](vox, 42))
+
+
+@query("fn_perturb_noise", "vox")
+def fn_perturb_noise(vox):
+    return show(R.PERTURBERS["procedural_noise"](vox, 42))
+
+
+@query("fn_perturb_mild", "vox")
+def fn_perturb_mild(vox):
+    return show(R.PERTURBERS["mild_gaussian"](vox, 42))
+
+
+@query("fn_perturb_heavy", "vox")
+def fn_perturb_heavy(vox):
+    return show(R.PERTURBERS["heavy_gaussian"](vox, 42))
+
+
+@query("chunk_sim", "vox", f"SELECT s, round(avg(g) FILTER (WHERE v >= 0.1) - avg(g) FILTER (WHERE v < 0.1), 6) AS score FROM (SELECT s, v, {u('sim', 's', 'least(floor(v * 8), 7)::INT')} AS g FROM {{vox}}, range(0, 50) t(s) WHERE vol = 0) GROUP BY s")
+def chunk_sim(vox):
+    d = vox.where("vol = 0").select("v", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("s"))
+    g = rng.uniform(42, "sim", F.col("s"), F.least(F.floor(F.col("v") * 8), F.lit(7)))
+    d = d.withColumn("g", g)
+    return d.groupBy(F.col("s").cast("long").alias("s")).agg(r6(F.avg(F.when(F.col("v") >= 0.1, F.col("g"))) - F.avg(F.when(F.col("v") < 0.1, F.col("g")))).alias("score"))
