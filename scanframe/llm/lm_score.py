@@ -141,29 +141,33 @@ def code_lengths(grams: DataFrame) -> DataFrame:
 
 
 def _scorer(total: int, distinct: int):
-    def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def answer(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         known = {}
         for kind in (WORD, GRAM):
             part = answers[answers["kind"] == kind]
             known[kind] = U64Map(part["key"].to_numpy(np.int64).view(np.uint64)), part["value"].to_numpy(np.float64)
         texts = [lowered(t) for t in docs["text"]]
-        each = [[*t.split(), b""] for t in texts]
-        n = np.fromiter(map(len, each), np.int64, len(each))
-        flat = [w for ws in each for w in ws]
-        words = list(set(flat))
-        place = {w: k for k, w in enumerate(words)}
-        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        found, value = known[WORD]
-        c = value[found.find(word_keys(words))]
-        base = np.log10((c + 1) / (total + distinct + 1))
-        found, value = known[GRAM]
-        score = [per_text(value[found.find(gram_codes(part))], np.fromiter((len(t) + 1 for t in part), np.int64, len(part))) for part in _slices(texts)]
+        n, hits, base, score = [], [], [], []
+        for part in _slices(texts):  # words of some texts at a time
+            each = [[*t.split(), b""] for t in part]
+            size = np.fromiter(map(len, each), np.int64, len(each))
+            flat = [w for ws in each for w in ws]
+            words = list(set(flat))
+            place = {w: k for k, w in enumerate(words)}
+            at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+            found, value = known[WORD]
+            c = value[found.find(word_keys(words))]
+            n.append(size)
+            hits.append(per_text((c > 0)[at].astype(np.int64), size))
+            base.append(per_text(np.log10((c + 1) / (total + distinct + 1))[at], size))
+            found, value = known[GRAM]
+            score.append(per_text(value[found.find(gram_codes(part))], np.fromiter((len(t) + 1 for t in part), np.int64, len(part))))
         return pd.DataFrame({
-            "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": n, "n_known": per_text((c > 0)[at].astype(np.int64), n), "train_tokens": total,
-            "base_score": per_text(base[at], n), "score": np.concatenate(score), "n_bytes": [len(t) for t in texts],
+            "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": np.concatenate(n), "n_known": np.concatenate(hits), "train_tokens": total,
+            "base_score": np.concatenate(base), "score": np.concatenate(score), "n_bytes": [len(t) for t in texts],
         })
 
-    return score
+    return answer
 
 
 _OUT = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint"
