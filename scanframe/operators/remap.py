@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from scanframe.functions import rng
 from scanframe.operators import windows as Wn
 from scanframe.operators.sampling import hash_sample
+from scanframe.session import materialize
 
 DARK = 0.01
 EPS = 1e-6
@@ -128,14 +129,18 @@ def kmeans_1d(d: DataFrame, cs: list[int], seed: int, iterations: int = 10, samp
     some = hash_sample(d.where(foreground(dark)), ["vol"], sample, seed, "km", "vol", "i").select("vol", "v")
     a = some.groupBy("vol").agg(F.array_sort(F.collect_list("v")).alias("vals")).withColumn("c", rng.choice(cs, seed, "C", "vol"))
     lo, hi = F.get("vals", F.lit(0)), F.element_at("vals", -1)
-    a = a.withColumn("m", F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: lo + (hi - lo) * i / F.greatest(F.col("c") - 1, F.lit(1))))
-    for _ in range(iterations):
+    start = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: lo + (hi - lo) * i / F.greatest(F.col("c") - 1, F.lit(1))).cast("array<double>")
+
+    def step(m: Column, _: Column) -> Column:
         # centroids stay in order, so a cluster is what lies between the midpoints; ties go to the lower one
-        mid = F.transform(F.slice("m", 2, F.size("m")), lambda x, i: (x + F.get(F.col("m"), i)) / 2)
-        a = a.withColumn("mid", mid)
-        inside = lambda x, j: F.coalesce(x <= F.get(F.col("mid"), j), F.lit(True)) & F.coalesce(x > F.get(F.col("mid"), j - 1), F.lit(True))
-        sums = F.transform("m", lambda old, j: F.aggregate(F.filter("vals", lambda x: inside(x, j)), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda t, x: F.struct((t["s"] + x).alias("s"), (t["n"] + 1).alias("n")), lambda t: F.when(t["n"] > 0, t["s"] / t["n"]).otherwise(old)))  # noqa: B023
-        a = a.withColumn("m", sums)
+        half = lambda a, b: (F.get(m, a) + F.get(m, b)) / 2
+        inside = lambda x, j: F.coalesce(x <= half(j, j + 1), F.lit(True)) & F.coalesce(x > half(j - 1, j), F.lit(True))
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+        add = lambda t, x: F.struct((t["s"] + x).alias("s"), (t["n"] + 1).alias("n"))
+        mean = lambda old, j: F.aggregate(F.filter("vals", lambda x: inside(x, j)), zero, add, lambda t: F.when(t["n"] > 0, t["s"] / t["n"]).otherwise(old))
+        return F.transform(m, mean).cast("array<double>")
+
+    a = a.withColumn("m", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, step))
     return a.select("vol", "c", F.col("m").alias("centroids"))
 
 
@@ -227,6 +232,7 @@ def parcellation_remap(d: DataFrame, version: str, seed: int = 42, dark: float =
         j = d.join(F.broadcast(kmeans_1d(d, list(o.cs), s, dark=dark)), "vol").withColumn("cluster", cluster_of(F.col("v"), F.col("centroids")))
         j = voronoi(j, list(o.ss), s, o.skip_cells, dark) if o.cells else j.withColumn("cell", F.lit(0))
         j = j.withColumn("region", F.when(rng.gate(o.skip_all, s, "all", "vol"), 0).otherwise(F.col("cluster") * 100 + F.col("cell")))
+        j = materialize(j, "regions")  # read several times below
         mu = rng.uniform(s, "mu", "vol", "region")
         if o.mu == "ordered":  # clusters share a value; it falls with the centroid in half of the volumes
             rank = F.when(rng.gate(0.5, s, "anti", "vol"), F.col("c") - 1 - F.col("cluster")).otherwise(F.col("cluster"))
@@ -237,7 +243,7 @@ def parcellation_remap(d: DataFrame, version: str, seed: int = 42, dark: float =
         alpha = signed(s, "alpha", "vol", "region") if o.sign else rng.between(0.5, 2.0, s, "alpha", "vol", "region")
         if o.constant:
             alpha = F.when(rng.gate(o.constant, s, "const", "vol", "cluster"), 0.0).otherwise(alpha)
-        j = affine_by_region(j, mu, alpha, dark)
+        j = materialize(affine_by_region(j, mu, alpha, dark), "remapped")
         j = minmax(j, "g", dark) if o.normalise else j
         j = j.drop("c", "centroids", "cluster", "cell", "region")
         d = j if p == o.passes - 1 else j.withColumn("v0", F.coalesce(F.col("v0") if "v0" in j.columns else F.col("v"), F.col("v"))).withColumn("v", F.when(foreground(dark), F.greatest(F.col("g"), F.lit(dark * 1.01))).otherwise(0.0)).drop("g")
@@ -415,7 +421,7 @@ def synthesise(d: DataFrame, seed: int = 42, sigmas: tuple[float, ...] = (0.0, 0
         part = o.where(sigma == s)
         part = Wn.blur(part, s, value="g").select(*o.columns) if s else part
         out = part if out is None else out.unionByName(part)
-    return zscore_foreground(out.withColumn("zed", F.col("g")), "zed", dark)
+    return zscore_foreground(materialize(out.withColumn("zed", F.col("g")), "synthesised"), "zed", dark)
 
 
 def synthesise_labels(d: DataFrame, seed: int = 42, dark: float = DARK) -> DataFrame:
