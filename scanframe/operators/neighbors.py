@@ -60,7 +60,7 @@ def knn(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int, b
 
 
 def within(queries: DataFrame, base: DataFrame, id_col: str, vector: str, radius: str, by: list[str]) -> DataFrame:
-    """by, q, inside: number of base rows whose own radius (a column of base) reaches the query."""
+    """by, q, inside: number of base rows nearer to the query than their own radius (a column of base)."""
     q = pack(queries, id_col, vector, by, "q")
     b = pack(base.withColumn("_vr", F.concat(F.col(vector).cast("array<double>"), F.array(radius))), id_col, "_vr", by, "b")
     pairs = q.join(b, by)
@@ -72,7 +72,7 @@ def within(queries: DataFrame, base: DataFrame, id_col: str, vector: str, radius
                 qi, n = np.asarray(r["q_ids"], np.int64), len(r["b_ids"])
                 x, y = np.asarray(r["q_vecs"], float).reshape(len(qi), -1), np.asarray(r["b_vecs"], float).reshape(n, -1)
                 dist = np.sqrt(np.stack([((y[:, :-1] - row) ** 2).sum(axis=1) for row in x]))
-                yield pd.DataFrame({**{c: [r[c]] * len(qi) for c in by}, "q": qi, "inside": (dist <= y[None, :, -1]).sum(axis=1)})
+                yield pd.DataFrame({**{c: [r[c]] * len(qi) for c in by}, "q": qi, "inside": (dist < y[None, :, -1]).sum(axis=1)})
 
     schema = ", ".join([f"{c} {types[c]}" for c in by] + ["q bigint", "inside bigint"])
     return pairs.mapInPandas(run, schema).groupBy(*by, "q").agg(F.sum("inside").alias("inside"))
