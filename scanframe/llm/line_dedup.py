@@ -11,7 +11,7 @@ stay; all other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.llm.common import WS, row_key
@@ -19,20 +19,23 @@ from scanframe.llm.common import WS, row_key
 WINDOW = 3
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """row: the document as it came; full: its (position, trimmed line) that are not blank."""
-    d = docs.select(F.struct("*").alias("row"))
-    text = F.col("row.text")
-    full = F.filter(
+def _full(text: Column) -> Column:
+    """(position, trimmed line) of the lines that are not blank."""
+    return F.filter(
         F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(WS)).alias("s"))),
         lambda x: x["s"] != "",
     )
-    return d.select("row", F.col("row.doc_id").cast("string").alias("id"), row_key(F.col("row.doc_id"), text).alias("key"), full.alias("full"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row: the document as it came, with the id and key that name it."""
+    d = docs.select(F.struct("*").alias("row"))
+    return d.select("row", F.col("row.doc_id").cast("string").alias("id"), row_key(F.col("row.doc_id"), F.col("row.text")).alias("key"))
 
 
 def windows(docs: DataFrame) -> DataFrame:
     """One row per window: its digest, its document and the place of its first line among the non-blank ones."""
-    d = _lines(docs)
+    d = _keyed(docs).withColumn("full", _full(F.col("row.text")))
     line = lambda i, k: F.get(F.col("full"), i + k)["s"]
     digests = F.transform(
         F.sequence(F.lit(0), F.size("full") - WINDOW),
@@ -54,7 +57,8 @@ def covered_lines(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents with row (as it came), new text, n_lines (non-blank) and n_removed."""
     cover = covered_lines(docs).withColumnsRenamed({"id": "c_id", "key": "c_key"})
-    d = _lines(docs).join(cover, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")), "left")
+    d = _keyed(docs).join(cover, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")), "left")
+    d = d.withColumn("full", _full(F.col("row.text")))  # behind the shuffle, which so moves each text once
     gone = F.array_distinct(F.flatten(F.transform("later", lambda w: F.transform(F.sequence(w, w + WINDOW - 1), lambda k: F.get(F.col("full"), k)["i"]))))
     d = d.withColumn("gone", gone)
     kept = F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
