@@ -299,7 +299,7 @@ def elastic_places(shape: tuple, seed: int, amount: float = 2.0, passes: int = 8
 
 def hog2d(image: np.ndarray, cells: int, orientations: int = 9) -> np.ndarray:
     """Orientation histograms of cells, each L2-normalised."""
-    gy, gx = np.gradient(image)
+    gy, gx = (np.gradient(image, axis=k) if image.shape[k] > 1 else np.zeros(image.shape) for k in range(2))
     mag, ang = np.hypot(gy, gx), np.mod(np.arctan2(gy, gx), np.pi)
     o = np.minimum((ang / np.pi * orientations).astype(int), orientations - 1)
     h = np.zeros((cells, cells, orientations))

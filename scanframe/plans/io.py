@@ -46,12 +46,11 @@ def src_inline(region):
     return tables.inline_models(region.sparkSession, ["a,segmenter,t1w,/x", "b, v8, t2w, /y"]).select("model_id", "source_contrast")
 
 
-@query("src_json_nested", "lineitem", "SELECT 'v26_6_r' || (l_suppkey % 5) AS run_id, 'case' || l_orderkey || '_' || l_linenumber AS case_id, 'Dice' AS metric, l_linenumber % 4 AS class, 'v26' AS method, l_discount AS value FROM lineitem WHERE l_linenumber % 4 IN (1, 2)")
-def src_json_nested(lineitem):
-    leaf = F.create_map((F.col("l_linenumber") % 4).cast("string"), F.col("l_discount"), F.lit("mean"), F.col("l_tax"))
-    case = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("case"), "l_orderkey", F.lit("_"), "l_linenumber"), F.create_map(F.lit("Dice"), leaf, F.lit("Recall"), leaf))))
-    rows = lineitem
-    docs = rows.groupBy((F.col("l_suppkey") % 5).alias("r"), (F.col("l_orderkey") % 64).alias("part")).agg(F.to_json(F.struct(case.alias("metric_per_case"))).alias("json"))
+@query("src_json_nested", "events", "SELECT 'v26_6_r' || (user_id % 5) AS run_id, 'case' || event_id AS case_id, 'Dice' AS metric, (user_id % 4)::INT AS class, 'v26' AS method, value FROM events WHERE user_id % 4 IN (1, 2)")
+def src_json_nested(events):
+    leaf = F.create_map((F.col("user_id") % 4).cast("string"), F.col("value"), F.lit("mean"), F.lit(0.5))
+    case = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("case"), "event_id"), F.create_map(F.lit("Dice"), leaf, F.lit("Recall"), leaf))))
+    docs = events.groupBy((F.col("user_id") % 5).alias("r"), (F.col("event_id") % 64).alias("part")).agg(F.to_json(F.struct(case.alias("metric_per_case"))).alias("json"))
     docs = docs.select(F.concat(F.lit("v26_6_r"), "r").alias("run_id"), F.lit("t1w").alias("contrast"), "json")
     return tables.metrics_json(docs, {1: "liver", 2: "spleen"}).select("run_id", "case_id", "metric", "class", "method", "value")
 

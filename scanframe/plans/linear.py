@@ -107,7 +107,7 @@ def _over_graph(feats, fn, schema):
         n, e = f[f["kind"] == 0], f[f["kind"] == 1][["src", "dst", "w"]].sort_values(["src", "dst"]).astype({"src": "int64", "dst": "int64"})
         return fn(e, pd.DataFrame({"id": n["src"].astype("int64"), "real": n["cohort"] == "real", "grp": n["grp"]}).sort_values("id"))
 
-    return _tagged(feats).groupBy(F.lit(0)).applyInPandas(run, schema)  # a sample of bounded size
+    return _tagged(feats).withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, schema)  # a sample of bounded size
 
 
 @query("graph_filtration", "feats")
