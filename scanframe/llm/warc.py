@@ -1,13 +1,14 @@
 """WARC archives with a two-level capture index.
 
-Captures are sorted by their URL key (host reversed) over range partitions. Each task writes one archive (every
-record a gzip member) and one index file: blocks of lines in key order, compressed, and behind them a sparse
-directory with each block's first key, place and size. The table of parts (first and last key, files, place of
-the directory) is the first level; it has one row per file. A lookup finds the part, then the block, then the
+Each task writes its pages to one archive, every record a gzip member, and returns one line per capture: URL key (host
+reversed), page, archive, offset and length. Payloads move once at most. The lines alone are sorted by key over range
+partitions and written as index files: compressed blocks of lines in key order, and behind them a sparse
+directory with each block's first key, place and size. The table of parts (first and last key, file, place of
+the directory) is the first level; it has one row per index file. A lookup finds the part, then the block, then the
 line by binary search, and reads only those ranges.
 
 Files go to the shared folder through Arrow's file systems (local, HDFS, S3, GCS); each task attempt writes
-files of its own name, and only those named in the committed table of parts are ever read.
+files of its own name, and only those named in the committed tables of lines and parts are ever read.
 
 Defined results: null html is an empty payload; null urls have the empty key; of equal payloads the largest page id
 is the response, captures without an id revisit it; captures that share page id and payload are all responses if it is the largest
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 from scanframe.llm.common import batch_rows, bucket_count, materialize, shared_dir
 
 BLOCK_LINES = 300
-PART_BYTES = 32 << 20
+#: Captures of one index file.
+PART_LINES = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_PARTS = "warc string, idx string, at bigint, size bigint, first string, last string, n bigint"
+_LINES = "key string, capture string, url string, warc string, at bigint, size bigint"
+_PARTS = "idx string, at bigint, size bigint, first string, last string, n bigint"
 _ROWS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
@@ -113,62 +116,81 @@ def plan_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     return j.select("page_id", "url", "payload", url_key(F.col("url")).alias("key"), of.cast("string").alias("revisit_of"), F.col("page_id").cast("string").alias("capture"))  # texts: pandas has no null integers
 
 
+def _write_records(root_uri: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _file_system(root_uri)
+        name, place, out = f"{root}/archive-{uuid.uuid4().hex}.warc.gz", 0, None
+        for f in frames:
+            if f.empty:
+                continue
+            if out is None:
+                store.create_dir(root, recursive=True)
+                out = store.open_output_stream(name, compression=None)
+            at, size = [], []
+            for page_id, url, payload, of in zip(f["capture"], f["url"], f["payload"], f["revisit_of"], strict=True):
+                raw = record(None if page_id is None else int(page_id), url, bytes(payload), None if of is None else int(of))
+                out.write(raw)
+                at.append(place)
+                size.append(len(raw))
+                place += len(raw)
+            yield f[["key", "capture", "url"]].assign(warc=name, at=at, size=size)
+        if out is not None:
+            out.close()
+
+    return run
+
+
+def _write_index(root_uri: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = _file_system(root_uri)
+        name, idx, at, n, lines, blocks, first, last = f"{root}/part-{uuid.uuid4().hex}.cdx", None, 0, 0, [], [], None, None
+
+        def close() -> None:
+            nonlocal at
+            raw = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
+            idx.write(raw)
+            blocks.append((lines[0][0], at, len(raw)))
+            at += len(raw)
+            lines.clear()
+
+        for f in frames:
+            if f.empty:
+                continue
+            if idx is None:
+                idx, first = store.open_output_stream(name, compression=None), f["key"].iloc[0]
+            for x in f[["key", "capture", "url", "warc", "at", "size"]].itertuples(index=False):
+                lines.append([*x[:4], int(x[4]), int(x[5])])
+                last, n = x[0], n + 1
+                if len(lines) == BLOCK_LINES:
+                    close()
+        if idx is None:
+            return
+        if lines:
+            close()
+        directory = zlib.compress(json.dumps(blocks).encode())
+        idx.write(directory)
+        idx.close()
+        yield pd.DataFrame([(name, at, len(directory), first, last, n)], columns=[c.split()[0] for c in _PARTS.split(", ")])
+
+    return run
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Write all pages as archives with their index; returns the table of parts, written to the shared folder."""
     spark = pages.sparkSession
     batch_rows(spark)
     folder = folder or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
-    n = bucket_count(pages, PART_BYTES, F.coalesce(F.octet_length("html"), F.lit(0)) + 1000)
-    rows = plan_revisits(pages, least).repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id").drop("page_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = _file_system(folder)
-        store.create_dir(root, recursive=True)
-        name = f"{root}/part-{uuid.uuid4().hex}"
-        entries = []
-        frame = next(frames, None)
-        while frame is not None and frame.empty:
-            frame = next(frames, None)
-        if frame is None:
-            return
-        count, first, last, at, lines, blocks = 0, frame["key"].iloc[0], None, 0, [], []
-        with store.open_output_stream(name + ".warc.gz", compression=None) as warc, store.open_output_stream(name + ".cdx", compression=None) as idx:
-            place = 0
-
-            def close() -> None:
-                nonlocal at
-                raw = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
-                idx.write(raw)
-                blocks.append((lines[0][0], at, len(raw)))
-                at += len(raw)
-                lines.clear()
-
-            while frame is not None:
-                for page_id, url, payload, key, of in zip(frame["capture"], frame["url"], frame["payload"], frame["key"], frame["revisit_of"], strict=True):
-                    page_id, of = (None if x is None else int(x) for x in (page_id, of))
-                    raw = record(page_id, url, bytes(payload), of)
-                    warc.write(raw)
-                    lines.append((key, page_id, url, place, len(raw)))
-                    place += len(raw)
-                    last, count = key, count + 1
-                    if len(lines) == BLOCK_LINES:
-                        close()
-                frame = next(frames, None)
-            if lines:
-                close()
-            directory = zlib.compress(json.dumps(blocks).encode())
-            idx.write(directory)
-        entries.append((name + ".warc.gz", name + ".cdx", at, len(directory), first, last, count))
-        yield pd.DataFrame(entries, columns=[c.split()[0] for c in _PARTS.split(", ")])
-
-    return materialize(rows.mapInPandas(run, _PARTS), "captures")
+    rows = plan_revisits(pages, least).select("key", "capture", "url", "payload", "revisit_of")
+    lines = materialize(rows.mapInPandas(_write_records(folder), _LINES), "captures")
+    by_key = lines.repartitionByRange(bucket_count(lines, PART_LINES), "key", "capture").sortWithinPartitions("key", "capture")
+    return materialize(by_key.mapInPandas(_write_index(folder), _PARTS), "parts")
 
 
 class _Part:
-    """Range reads of one part's files."""
+    """Range reads of one part and of the archives it names, of which some stay open."""
 
     def __init__(self, store, row: dict) -> None:
-        self.warc, self.idx = (store.open_input_file(row[k]) for k in ("warc", "idx"))
+        self.store, self.open, self.idx = store, {}, store.open_input_file(row["idx"])
         self.blocks = json.loads(zlib.decompress(self.read(self.idx, row["at"], row["size"])))
         self.firsts = [b[0] for b in self.blocks]
 
@@ -182,7 +204,11 @@ class _Part:
         return [json.loads(x) for x in zlib.decompress(self.read(self.idx, at, size)).decode().split("\n")]
 
     def capture(self, line: list) -> dict:
-        return parse(self.read(self.warc, line[3], line[4])) | {"url": line[2]}
+        if line[3] not in self.open:
+            if len(self.open) >= 64:
+                self.open.pop(next(iter(self.open))).close()
+            self.open[line[3]] = self.store.open_input_file(line[3])
+        return parse(self.read(self.open[line[3]], line[4], line[5])) | {"url": line[2]}
 
     def find(self, key: str) -> Iterator[list]:
         k = max(0, bisect_right(self.firsts, key) - 1)
@@ -195,8 +221,8 @@ class _Part:
             k += 1
 
     def close(self) -> None:
-        self.warc.close()
-        self.idx.close()
+        for f in (*self.open.values(), self.idx):
+            f.close()
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -221,7 +247,7 @@ def read_archives(parts: DataFrame, folder: str | None = None, payloads: bool =
                     yield _frame(rows if payloads else [r | {"payload": None} for r in rows])
                 part.close()
 
-    return parts.repartition(n, "warc").mapInPandas(run, _ROWS)
+    return parts.repartition(n, "idx").mapInPandas(run, _ROWS)
 
 
 def lookup(parts: DataFrame, urls: DataFrame, folder: str | None = None) -> DataFrame:
