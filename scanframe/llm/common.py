@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe.session import materialize, shared_dir
 
-__all__ = ["WS", "batch_rows", "bucket_count", "held_out", "materialize", "read_table", "row_key", "shared_dir"]
+__all__ = ["WS", "batch_rows", "bucket_count", "held_out", "materialize", "read_table", "release", "row_key", "shared_dir"]
 
 #: White space as the contracts define it: \x20 and \x09-\x0D.
 WS = " \t\n\x0b\x0c\r"
@@ -38,3 +40,12 @@ def bucket_count(df: DataFrame, per_bucket: int, size: Column | None = None) ->
 def batch_rows(spark: SparkSession, n: int = 500) -> None:
     """Rows an Arrow batch holds at most, so that a batch of whole texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs whose result is a table by now: they go once neither Python
+    nor the JVM refers to the plans, which the driver's collector would notice at some later time only."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import bucket_count, held_out, materialize
+from scanframe.llm.common import bucket_count, held_out, materialize, release
 from scanframe.llm.lattice import U64Map
 from scanframe.llm.token_counts import per_text
 
 ORDER = 4
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 _SLICE_BYTES = 1 << 20
 _END = b"\xff"
 WORD, GRAM = 0, 1
@@ -182,7 +182,7 @@ def lm_scores(docs: DataFrame, held: Column) -> DataFrame:
     asked = rows.groupBy("chunk").applyInPandas(_ask, "chunk int, kind tinyint, key bigint, n bigint")
     total = F.sum("n").over(Window.partitionBy("kind", "key"))
     asked = materialize(asked.select("chunk", "kind", "key", total.alias("n")), "lm-keys")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now a table
+    release(spark)
     distinct = asked.groupBy("kind", "key").agg(F.max("n").alias("n"))
     words = distinct.where(F.col("kind") == WORD).agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     costs = code_lengths(distinct.where(F.col("kind") == GRAM).select("key", "n"))
