@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanframe.operators.neighbors import euclidean, knn, within
+from scanframe.session import materialize
 
 FRACTIONS = (0.25, 0.5, 1.0, 2.0, 4.0)
 MIN_REAL, MIN_IND, MAX_K = 4, 5, 3
@@ -83,22 +84,23 @@ def against_groups(d: DataFrame, by: list[str]) -> DataFrame:
 
 def prdc(d: DataFrame, by: list[str]) -> DataFrame:
     """Per group: counts, precision, recall, density and coverage of the generated rows that are in distribution."""
+    d = materialize(d.select("vec_id", "cohort", "vec", *by), "vectors")
     real, synth = split(d)
-    a = against_groups(d, by)
+    a = materialize(against_groups(d, by), "against")  # read by what follows several times
     counts = a.groupBy(*by).agg(
         F.first("n_real").alias("n_real"), F.first("median_nn").alias("median_nn"), F.first("p95_nn").alias("p95_nn"), F.count_if("ind").alias("n_ind"), F.count_if(~F.col("ind")).alias("n_ood"),
         F.avg(F.when(~F.col("ind"), F.col("norm"))).alias("ood_mean"), F.var_pop(F.when(~F.col("ind"), F.col("norm"))).alias("ood_var"),
     )
-    counts = counts.withColumn("k", F.when(F.col("n_ind") > 1, F.least(F.lit(MAX_K), F.col("n_real") - 1, F.col("n_ind") - 2)).otherwise(0))
+    counts = materialize(counts.withColumn("k", F.when(F.col("n_ind") > 1, F.least(F.lit(MAX_K), F.col("n_real") - 1, F.col("n_ind") - 2)).otherwise(0)), "counts")
     usable = counts.where((F.col("n_real") >= MIN_REAL) & (F.col("n_ind") >= MIN_IND) & (F.col("k") >= 1)).select(*by, "k", "n_ind")
-    fake = a.where("ind").select(*by, "vec_id").join(synth.select("vec_id", "vec"), "vec_id").join(usable, by)
-    r = real.join(usable, by)
+    fake = materialize(a.where("ind").select(*by, "vec_id").join(synth.select("vec_id", "vec"), "vec_id").join(usable, by), "fake")
+    r = materialize(real.join(usable, by), "real")
 
     def radius(x: DataFrame) -> DataFrame:
         near = knn(x, x, "vec_id", "vec", MAX_K, by, exclude_self=True).join(usable, by).where(F.col("rank") == F.col("k"))
         return x.select(*by, "vec_id", "vec").join(near.select(*by, F.col("q").alias("vec_id"), F.col("dist").alias("radius")), [*by, "vec_id"])
 
-    rr, fr = radius(r), radius(fake)
+    rr, fr = materialize(radius(r), "radii"), materialize(radius(fake), "radii")
     inside = within(fake, rr, "vec_id", "vec", "radius", by).groupBy(*by).agg(F.avg((F.col("inside") > 0).cast("double")).alias("precision"), F.avg("inside").alias("_dense"))
     recall = within(r, fr, "vec_id", "vec", "radius", by).groupBy(*by).agg(F.avg((F.col("inside") > 0).cast("double")).alias("recall"))
     near = knn(r, fake, "vec_id", "vec", 1, by).select(*by, F.col("q").alias("vec_id"), "dist")
