@@ -1,7 +1,8 @@
 """Quality rules with thresholds learned from mergeable quantile sketches (DataFrame functions only).
 
-Each document's ratios are summarised by KLL sketches per (lang, source). Sketches merge, so those of small
-groups fall back to their language's merged sketch, then to the sketch of all. Documents are joined to the
+The ratios of the documents that pass the base rule are summarised by KLL sketches per (lang, source). Sketches merge, so
+those of small groups fall back to their language's merged sketch, then to the sketch of all. A fence lies a few spreads
+outside the quartiles; the spread is read from the quartiles and from the outer tenth, for ratios that are mostly zero. Documents are joined to the
 thresholds of their group and judged in one pass. Only numbers are shuffled, never texts.
 
 Defined results: a null text has no words (base_failed); empty tables give empty results; null lang and null
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from scanframe.llm.common import WS, materialize
 
-#: Ratios judged, with the least spread (q75 - q25) that a group is taken to have.
-RATIOS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.10, "repeat_ratio": 0.04, "mean_word": 1.0}
+#: Ratios judged, with the least spread that a group is taken to have.
+RATIOS = {"symbol_ratio": 0.01, "dup_line_ratio": 0.03, "repeat_ratio": 0.02, "mean_word": 0.25}
 SYMBOLS = "#*$%&|<>"
 _WORD_SPLIT = r"[\x20\x09-\x0D]+"
 _HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -84,19 +85,20 @@ def _merged(s: DataFrame, *by: str) -> DataFrame:
 
 
 def _fences(s: DataFrame, spread: float) -> DataFrame:
-    """low_<ratio> and high_<ratio>: quartiles of the sketch, moved outwards by spread times their distance."""
+    """low_<ratio> and high_<ratio>: quartiles of the sketch, moved outwards by spread times the larger of their distance
+    and the median's distance to the outer tenth; never below half of the first quartile. Null for an empty sketch."""
     out = {}
     for c, least in RATIOS.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.75))
-        wide = F.greatest(q3 - q1, F.lit(least)) * spread
-        out |= {f"low_{c}": q1 - wide, f"high_{c}": q3 + wide}
+        q10, q1, q2, q3, q90 = (F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(c), F.lit(q))) for q in (0.10, 0.25, 0.50, 0.75, 0.90))
+        wide = lambda tail: F.greatest(q3 - q1, tail, F.lit(least)) * spread  # noqa: B023, E731
+        out |= {f"low_{c}": F.greatest(q1 - wide(q2 - q10), q1 / 2), f"high_{c}": q3 + wide(q90 - q2)}
     keep = [c for c in s.columns if c not in RATIOS]
     return s.select(*keep, *[v.alias(k) for k, v in out.items()])
 
 
-def thresholds(m: DataFrame, min_group: int = 100, spread: float = 6.0) -> DataFrame:
-    """Fences per (lang, source); a group under min_group documents takes its language's, then everyone's."""
-    s = sketches(with_ratios(m))
+def thresholds(m: DataFrame, min_group: int = 100, spread: float = 4.0) -> DataFrame:
+    """Fences per (lang, source), of documents passing the base rule; a group under min_group documents takes its language's, then everyone's."""
+    s = sketches(with_ratios(m.where(~base_failed())))
     bounds = [f"{p}_{c}" for c in RATIOS for p in ("low", "high")]
     own = _fences(s, spread)
     by_lang = _fences(_merged(s, "lang"), spread).select(F.col("lang").alias("l"), F.col("n").alias("l_n"), *[F.col(b).alias(f"l_{b}") for b in bounds])
@@ -118,7 +120,7 @@ def judge(m: DataFrame, fences: DataFrame) -> DataFrame:
     return j.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
-def quality_rules(docs: DataFrame, min_group: int = 100, spread: float = 6.0) -> DataFrame:
+def quality_rules(docs: DataFrame, min_group: int = 100, spread: float = 4.0) -> DataFrame:
     """Counts, the base rule and the adaptive verdict of every document."""
     m = materialize(quality_metrics(docs), "quality")
     out = judge(m, thresholds(m, min_group, spread))

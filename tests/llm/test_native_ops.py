@@ -53,6 +53,28 @@ def test_quality_adapts(spark):
     assert quality.quality_rules(table(spark, [])).count() == 0
 
 
+def test_quality_rules_all_bind(spark):
+    plain = lambda i, n=40: [f"word{(i * 7 + k * k) % 97}" for k in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[k : k + 4]) for k in range(0, len(w), 4))
+    clean = [(i, lines(plain(i)), "en", "a") for i in range(300)]
+    odd = {
+        "symbol_ratio": lines(["#" + x for x in plain(1)]),
+        "dup_line_ratio": "\n".join(x + "\nx y" * (k % 2) for k, x in enumerate(lines(plain(2)).split("\n"))),
+        "repeat_ratio": lines([*plain(3, 80), *plain(3, 6)]),
+        "high mean_word": lines([x + "long" for x in plain(4)]),
+        "low mean_word": lines([x[-3:] for x in plain(5)]),
+    }
+    rows = clean + [(1000 + i, t, "en", "a") for i, t in enumerate(odd.values())] + [(2000 + i, "z " * 50, "en", "a") for i in range(60)]
+    m = quality.quality_metrics(table(spark, rows))
+    fences = quality.thresholds(m).first()
+    got = {r.doc_id: r for r in quality.judge(m, quality.thresholds(m)).collect()}
+    assert all(got[i].kept for i, *_ in clean)
+    for i, name in enumerate(odd):
+        r, c = got[1000 + i], name.split()[-1]
+        outside = [x for x in quality.RATIOS if r[x] > fences[f"high_{x}"] or (x == "mean_word" and r[x] < fences["low_mean_word"])]
+        assert not r.base_failed and not r.kept and outside == [c], (name, outside)
+
+
 def dedup(rows):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
