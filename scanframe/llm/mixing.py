@@ -1,28 +1,39 @@
-"""Mixing sources to target weights by Pfair scheduling (DataFrame functions only).
+"""Mixing sources to target weights by Pfair scheduling (no Python on executors).
 
 Documents of a source form blocks. Time is cut into slots of one block; a source of weight w gives its i-th block
 (from 0) the release time floor(i / w) and the deadline ceil((i + 1) / w), and every slot takes the released block of
-the earliest deadline. Weights are whole numbers of units per period, so the schedule repeats after one period
-and only that is computed: a table of ``units`` rows. At any time before the first source runs out, a source
-is less than one block away from its share.
+the earliest deadline. Weights are exact fractions, so at any time before the first source runs out, a source is less
+than one block away from its share, however long the input. The driver computes the schedule in one pass over the blocks
+(a slot takes some microseconds and ten bytes) and sends it out as a table.
 
 Documents of a source are ordered by a hash, in hash-range buckets that are counted first, so that a source
-with a third of all rows is ranked in many tasks. Sources under one unit share one pool.
+with a third of all rows is ranked in many tasks. Sources with a share under one of ``units`` share one pool, which is
+scheduled by the sum of their weights. In it the i-th document of a source has the place of (i + 1/2) / w, so a source is at most
+1/2 + S * w / (2 * pool's weight) documents away from its share of the pool's, with S sources in it.
 
 Defined results: every document comes out once; null sources form a source of their own; null texts are
 documents like any other; equal rows get places one after another; an empty table gives an empty result;
-once a source has run out its slots stay empty, and in_target is false from there on.
+once a source has run out in_target is false, and what is left follows by deadline without empty slots; sources
+without weight come after all others, in proportion to their rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+from array import array
+from fractions import Fraction
+from math import lcm
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanframe.llm.common import bucket_count
 
 POOL = "\0pool"
+REST = "\0rest"
 NULL = "\0null"
 
 
@@ -35,63 +46,101 @@ def _sources(d: DataFrame, weights: dict[str, float] | None, power: float) -> Da
     return s.join(F.broadcast(w), "s", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
 
 
+def _keyed(sources: DataFrame, units: int) -> DataFrame:
+    """Adds k: the source itself, the pool, or the rest (without weight); v: weight inside a shared k."""
+    total = sources.agg(F.sum(F.greatest("w", F.lit(0.0)))).first()[0] or 1.0
+    k = F.when(F.col("w") / total * units >= 1 - 1e-9, F.col("s")).when(F.col("w") > 0, POOL).otherwise(REST)
+    return sources.withColumn("k", k).withColumn("v", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("n")))
+
+
 def quotas(sources: DataFrame, units: int) -> DataFrame:
-    """k (scheduled source or pool), q: whole units that add up to units; largest remainders get the rest."""
-    total = sources.agg(F.sum("w")).first()[0] or 1.0
-    share = sources.withColumn("x", F.col("w") / total * units).withColumn("k", F.when(F.col("x") >= 1, F.col("s")).otherwise(POOL))
-    big = share.groupBy("k").agg(F.sum("x").alias("x"))  # at most units + 1 rows
-    one = big.agg(F.array_sort(F.collect_list(F.struct((-(F.col("x") - F.floor("x"))).alias("r"), "k", "x"))).alias("a"))
-    floor = lambda e: F.greatest(F.floor(e["x"]), F.lit(1))
-    left = units - F.aggregate("a", F.lit(0).cast("long"), lambda t, e: t + floor(e))
-    one = one.withColumn("left", left)
-    q = lambda e, i: floor(e) + F.floor(F.col("left") / F.size("a")) + (i < F.pmod(F.col("left"), F.size("a"))).cast("long")
-    return one.select(F.explode(F.transform("a", lambda e, i: F.struct(e["k"].alias("k"), F.greatest(q(e, i), F.lit(1)).alias("q")))).alias("e")).select("e.*")
-
-
-def schedule(q: DataFrame) -> DataFrame:
-    """k, q, j, slot, period: the place of the j-th block of each period; earliest deadline first among those released."""
-    one = q.agg(F.array_sort(F.collect_list(F.struct("k", "q"))).alias("s"), F.sum("q").alias("period")).where("period > 0")
-    start = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("next"), F.array().cast("array<int>").alias("picked"))
-
-    def step(acc: Column, t: Column) -> Column:
-        def offer(e: Column, i: Column) -> Column:
-            n = F.get(acc["next"], i)
-            open_ = (n < e["q"]) & (F.floor(n * F.col("period") / e["q"]) <= t)
-            return F.when(open_, F.struct(F.ceil((n + 1) * F.col("period") / e["q"]).alias("deadline"), (-e["q"]).alias("q"), i.alias("i")))
-
-        best = F.array_min(F.transform("s", offer))["i"]
-        with_best = F.struct(acc["next"].alias("next"), acc["picked"].alias("picked"), best.alias("b"))
-        return F.element_at(F.transform(F.array(with_best), lambda x: F.struct(
-            F.transform(x["next"], lambda n, i: n + (i == x["b"]).cast("long")).alias("next"), F.concat(x["picked"], F.array(x["b"])).alias("picked"))), 1)
-
-    picks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("period") - 1), start, step, lambda a: a["picked"])
-    rows = one.select("s", "period", F.posexplode(picks).alias("slot", "i")).where("i IS NOT NULL")
-    rows = rows.select(F.get("s", F.col("i"))["k"].alias("k"), F.get("s", F.col("i"))["q"].alias("q"), F.col("slot").cast("long").alias("slot"), "period")
-    return rows.withColumn("j", (F.row_number().over(W.partitionBy("k").orderBy("slot")) - 1).cast("long"))
+    """k (scheduled source, pool or rest), q: its target weight, n: its documents; at most units + 2 rows."""
+    q = F.sum(F.when(F.col("k") != REST, F.col("w")).otherwise(0.0))
+    return _keyed(sources, units).groupBy("k").agg(q.alias("q"), F.sum("n").alias("n"))
+
+
+def schedule(weights: list[float], sizes: list[int], block: int) -> tuple[np.ndarray, int]:
+    """The source of each slot until all blocks are placed, and the slot in which a source first lacks a full block."""
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*[w.denominator for w in exact])
+    share = [int(w * unit) for w in exact]
+    total = sum(share)
+    full, blocks = [n // block for n in sizes], [-(-n // block) for n in sizes]
+    at, horizon, picks = [0] * len(share), None if total else 0, array("h")
+    ready: list[tuple[int, int, int]] = []
+    waiting = [(0, i) for i, w in enumerate(share) if w]
+    while ready or waiting:
+        while waiting and (waiting[0][0] <= len(picks) or not ready):
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(at[i] + 1) * total // share[i]), -share[i], i))
+        i = heapq.heappop(ready)[2]
+        if horizon is None and at[i] == full[i]:
+            horizon = len(picks)
+        if at[i] < blocks[i]:
+            picks.append(i)
+            at[i] += 1
+        if at[i] < blocks[i] or horizon is None:
+            heapq.heappush(waiting, (at[i] * total // share[i], i))
+    for i, w in enumerate(share):
+        picks.extend([i] * (0 if w else blocks[i]))
+    return np.frombuffer(picks, np.int16), horizon or 0
+
+
+def _slots(spark: SparkSession, picks: np.ndarray) -> DataFrame:
+    """k_no, block_no, slot: one row per block."""
+    slot = np.argsort(picks, kind="stable")
+    of = picks[slot]
+    no = np.arange(len(of)) - np.searchsorted(of, of)
+    return spark.createDataFrame(pa.table({"k_no": of, "block_no": no.astype(np.int64), "slot": slot.astype(np.int64)}))
+
+
+def _counted(d: DataFrame, *by: str) -> DataFrame:
+    """by, bucket, c and before: the rows of each bucket and those of the buckets before it."""
+    counts = d.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"))
+    return counts.withColumn("before", F.sum("c").over(W.partitionBy(*by).orderBy("bucket")) - F.col("c"))
+
+
+def _with_slots(buckets: DataFrame, slots: DataFrame, block: int, by: str) -> DataFrame:
+    """Adds the slots of the blocks that a bucket reaches into; a bucket has a bounded number."""
+    reach = F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("c") - 1) / block))
+    each = buckets.select(by, "bucket", "k_no", F.explode(reach).alias("block_no")).join(slots, ["k_no", "block_no"])
+    return buckets.join(each.groupBy(by, "bucket").agg(F.array_sort(F.collect_list(F.struct("block_no", "slot"))).alias("slots")), [by, "bucket"])
+
+
+def _placed(d: DataFrame, block: int) -> DataFrame:
+    at = F.floor(F.col("nth") / block)
+    slot = F.get(F.col("slots"), (at - F.col("slots")[0]["block_no"]).cast("int"))["slot"]
+    return d.select("row", "k", at.alias("block_no"), slot.alias("slot"), F.pmod("nth", F.lit(block)).alias("place"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, units: int = 1000, power: float = 0.5, per_bucket: int = 2000) -> DataFrame:
     """row (the document), block_no, slot, place (in the block), in_target. Ordered by (slot, place) it is the mix."""
+    spark = docs.sparkSession
     d = docs.select(F.struct("*").alias("row"))
     d = d.select("row", F.coalesce(F.col("row.source").cast("string"), F.lit(NULL)).alias("s"), F.md5(F.concat_ws("\0", F.coalesce(F.col("row.doc_id").cast("string"), F.lit(NULL)), F.col("row.text")).cast("binary")).alias("h"))
     sources = _sources(d, weights, power)
-    sched = schedule(quotas(sources, units)).cache()
-    known = F.broadcast(sched.select(F.col("k").alias("known")).distinct())  # at most units rows
-    named = lambda x: x.join(known, F.col("s") == F.col("known"), "left").withColumn("k", F.coalesce("known", F.lit(POOL))).drop("known")
+    # The sum of the pool's weights is rounded, as it depends on the order of adding.
+    ks = sorted((r["k"], float(f"{r['q']:.12g}") if r["k"] == POOL else r["q"], r["n"]) for r in quotas(sources, units).collect())
+    picks, horizon = schedule([q for _, q, _ in ks], [n for *_, n in ks], block)
+    slots = _slots(spark, picks)
+    keys = F.broadcast(spark.createDataFrame(pa.table({"k": pa.array([k for k, *_ in ks], pa.string()), "k_no": np.arange(len(ks), dtype=np.int16)})))  # at most units + 2 rows
     n = bucket_count(docs.select("source"), per_bucket)
-    d = named(d).withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("long"))
-    counts = d.groupBy("k", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    before = counts.select("k", "bucket", (F.sum("c").over(W.partitionBy("k").orderBy("bucket")) - F.col("c")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("k", "bucket").orderBy("h")) - 1
-    d = d.withColumn("rank", rank).join(before, ["k", "bucket"]).withColumn("place", F.col("before") + F.col("rank"))
-    d = d.withColumn("block_no", F.floor(F.col("place") / block)).withColumn("place", F.pmod("place", F.lit(block)))
-    first = F.broadcast(sched.select(F.col("k").alias("k0"), F.col("q").alias("q0"), "period").distinct())
-    d = d.join(first, F.col("k") == F.col("k0")).withColumn("j", F.pmod("block_no", "q0")).drop("k0")
-    d = d.join(F.broadcast(sched.select("k", "j", "slot")), ["k", "j"]).withColumn("slot", F.floor(F.col("block_no") / F.col("q0")) * F.col("period") + F.col("slot"))
-    ended = named(sources).groupBy("k").agg(F.floor(F.sum("n") / block).alias("full")).join(first, F.col("k") == F.col("k0"))
-    ended = ended.withColumn("j", F.pmod("full", "q0")).join(F.broadcast(sched.select("k", "j", "slot")), ["k", "j"])
-    horizon = ended.agg(F.min(F.floor(F.col("full") / F.col("q0")) * F.col("period") + F.col("slot"))).first()[0]
-    return d.select("row", "k", "block_no", "slot", "place", (F.col("slot") < F.lit(horizon)).alias("in_target"))
+    d = d.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("long"))
+    buckets = _counted(d, "s").join(_keyed(sources, units).select("s", "k", "v"), "s").join(keys, "k")
+    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("s", "bucket").orderBy("h")) - 1)
+    nth = F.col("before") + F.col("rank")
+    own = _with_slots(buckets.where(~F.col("k").isin(POOL, REST)), slots, block, "s")
+    out = _placed(ranked.join(own, ["s", "bucket"]).withColumn("nth", nth), block)
+    if any(k in (POOL, REST) for k, *_ in ks):
+        sums = _keyed(sources, units).groupBy("k").agg(F.sum("v").alias("k_v"))
+        shared = buckets.where(F.col("k").isin(POOL, REST)).join(F.broadcast(sums), "k")
+        p = ranked.join(shared, ["s", "bucket"]).withColumn("due", (nth + 0.5) / F.col("v"))
+        # At any time the documents due in a span are at most in proportion to it, so no bucket is large.
+        p = p.select("row", "k", "k_no", "due", "h", F.floor(F.col("due") * F.col("k_v") / per_bucket).alias("bucket"))
+        own = _with_slots(_counted(p, "k", "k_no"), slots, block, "k").drop("k_no")
+        p = p.withColumn("rank", F.row_number().over(W.partitionBy("k", "bucket").orderBy("due", "h")) - 1)
+        out = out.unionByName(_placed(p.join(own, ["k", "bucket"]).withColumn("nth", nth), block))
+    return out.withColumn("in_target", F.col("slot") < F.lit(horizon))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,31 @@ def test_mix_stays_within_a_block(spark, weights):
         for k, n in q.items():
             assert abs(done[k] - (t + 1) * n / total) < 1
     assert mixing.mix(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n, weights", [({"a": 16000, "b": 16000, "c": 16000}, None), ({"a": 6000, "b": 5000, "c": 4000, "d": 300}, {"a": 0.7, "b": 0.53, "c": 0.31, "d": 0.002})])
+def test_mix_follows_raw_weights_over_a_long_input(spark, n, weights):
+    rows = [(i, None, "en", s) for i, s in enumerate(x for s, k in n.items() for x in s * k)]
+    got = mixing.mix(table(spark, rows), weights, block=2).where("in_target").select("k", "slot").distinct().collect()
+    w = weights or {s: k**0.5 for s, k in n.items()}
+    total, done = sum(w.values()), Counter()
+    assert len(got) > 3000
+    for t, r in enumerate(sorted(got, key=lambda r: r.slot)):
+        done[r.k] += 1
+        assert r.slot == t and all(abs(done[k] - (t + 1) * x / total) < 1 + 1e-9 for k, x in w.items())
+
+
+def test_mix_pool_follows_its_own_weights(spark):
+    n = {"a": 900, "b": 300, "c": 300, "d": 20, "e": 9}
+    w = {"a": 1.0, "b": 0.01, "c": 0.002, "d": 0.004}  # b, c and d share the pool; e has no weight
+    rows = [(i, None, "en", s) for i, s in enumerate(x for s, k in n.items() for x in s * k)]
+    got = mixing.mix(table(spark, rows), w, block=4, units=50, per_bucket=64).select("row.doc_id", "row.source", "k", "slot", "place").collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, *_ in rows) and len({(r.slot, r.place) for r in got}) == len(got)
+    pool = [r.source for r in sorted(got, key=lambda r: (r.slot, r.place)) if r.k == mixing.POOL]
+    total, done = w["b"] + w["c"] + w["d"], Counter()
+    assert set(pool) == {"b", "c", "d"}
+    for t, s in enumerate(pool[:79]):  # until d has run out
+        done[s] += 1
+        assert all(abs(done[k] - (t + 1) * w[k] / total) <= 0.5 + 1.5 * w[k] / total for k in "bcd")
+    last = max(r.slot for r in got if r.source != "e")
+    assert all(r.slot > last for r in got if r.source == "e")
