@@ -133,16 +133,47 @@ def filtration(f: pd.DataFrame, nodes: pd.DataFrame, steps: int = 60) -> pd.Data
 
 
 def fiedler(edges: pd.DataFrame, nodes: list) -> float:
-    """Second least eigenvalue of the Laplacian; NaN under four nodes."""
+    """Second least eigenvalue of the Laplacian; NaN under four nodes. Large graphs are not made dense."""
     if len(nodes) < 4:
         return float("nan")
     at = {n: i for i, n in enumerate(nodes)}
+    if len(nodes) > 500:
+        return _fiedler_sparse(edges["src"].map(at).to_numpy(), edges["dst"].map(at).to_numpy(), edges["w"].to_numpy(), len(nodes))
     g = np.zeros((len(nodes), len(nodes)))
     for a, b, w in edges[["src", "dst", "w"]].itertuples(index=False):
         g[at[a], at[b]] = g[at[b], at[a]] = w
     return float(np.linalg.eigvalsh(np.diag(g.sum(1)) - g)[1])
 
 
+def _fiedler_sparse(a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int, steps: int = 200) -> float:
+    """0 for an unconnected graph, else by Lanczos steps beside the constant vector, restarted from the best vector."""
+    u, parts = Union(range(n)), n
+    for x, y in zip(a[w > 0].tolist(), b[w > 0].tolist(), strict=True):
+        parts -= u.join(x, y)
+    if parts > 1:
+        return 0.0
+    degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+    v = np.random.default_rng(0).normal(size=n)
+    while True:
+        q, alpha, beta = np.zeros((min(steps, n - 1), n)), [], []
+        v -= v.mean()
+        for k in range(len(q)):
+            q[k] = v / np.linalg.norm(v)
+            v = degree * q[k] - np.bincount(a, w * q[k][b], n) - np.bincount(b, w * q[k][a], n)
+            alpha.append(q[k] @ v)
+            for _ in range(2):
+                v -= v.mean()
+                v -= q[: k + 1].T @ (q[: k + 1] @ v)
+            beta.append(np.linalg.norm(v))
+            if beta[-1] < 1e-10:
+                break
+        m = len(alpha)
+        value, s = np.linalg.eigh(np.diag(alpha) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1))
+        if beta[-1] * abs(s[-1, 0]) < 1e-7:
+            return float(value[0])
+        v = s[:, 0] @ q[:m]
+
+
 def bottlenecks(edges: pd.DataFrame, reps: dict[str, int]) -> pd.DataFrame:
     """Between each two representatives: the least weight and the hops of their path in the maximum spanning tree; 0 and -1 without one."""
     nodes = set(edges["src"]) | set(edges["dst"]) | set(reps.values())

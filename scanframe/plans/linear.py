@@ -90,8 +90,8 @@ def cov_hull(feats):
 
 
 def _graph(feats):
-    """Nearest-neighbour edges with weights that fall with the distance: of one run's sample, a few hundred nodes."""
-    d = hash_sample(_vec(feats), ["cohort"], 400, 42, "graph", "vec_id")
+    """Nearest-neighbour edges with weights that fall with the distance."""
+    d = _vec(feats)
     e = knn(d, d, "vec_id", "vec", 8, exclude_self=True).select(F.col("q").alias("src"), F.col("b").alias("dst"), F.exp(-F.col("dist") / 4).alias("w"))
     return d, M.symmetric(e).where("src < dst")
 
@@ -107,7 +107,7 @@ def _over_graph(feats, fn, schema):
         n, e = f[f["kind"] == 0], f[f["kind"] == 1][["src", "dst", "w"]].sort_values(["src", "dst"]).astype({"src": "int64", "dst": "int64"})
         return fn(e, pd.DataFrame({"id": n["src"].astype("int64"), "real": n["cohort"] == "real", "grp": n["grp"]}).sort_values("id"))
 
-    return _tagged(feats).withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, schema)  # a sample of bounded size
+    return _tagged(feats).withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, schema)  # one task: all nodes, up to 8 edges each
 
 
 @query("graph_filtration", "feats")

@@ -194,3 +194,23 @@ def test_against_duckdb(spark, name):
 def test_registry():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 200
+
+
+def test_graphs_hold_every_vector(spark):
+    run = lambda n: catalog.queries()[n](spark, "/root/testdata/sf0.1").toPandas()
+    n = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 4 <> 0").count()
+    assert run("graph_islands")["size"].sum() == n
+    assert n - 5 < run("graph_filtration")["n_comp_real"].max() <= n
+
+
+def test_fiedler_of_large_graphs():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 700, (2, 4000))
+    e = pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b), "w": rng.uniform(0.1, 1, 4000)}).query("src < dst").drop_duplicates(["src", "dst"])
+    ring = pd.DataFrame({"src": range(700), "dst": [*range(1, 700), 0], "w": 1e-3})
+    e = pd.concat([e, ring]).drop_duplicates(["src", "dst"])
+    g = np.zeros((700, 700))
+    g[e["src"], e["dst"]] = e["w"]
+    g += g.T
+    assert L.fiedler(e, list(range(700))) == pytest.approx(np.linalg.eigvalsh(np.diag(g.sum(1)) - g)[1], abs=1e-6)
+    assert L.fiedler(e, list(range(701))) == 0
