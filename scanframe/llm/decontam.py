@@ -4,7 +4,8 @@ The index is partitioned by document: a shard holds some MB of whole texts, and
 benchmark vocabulary its sorted positions in the shard (documents are kept apart by a gap). A window of an item
 is found by intersecting the position lists of its terms, each shifted back by the term's place in the window,
 from the rarest term of the shard on. Shards are written as a table; nothing is shuffled by term, so frequent
-words cost no skew. The benchmark is the query set: it goes to the shards in blocks of bounded size.
+words cost no skew. The benchmark is the query set: it goes to the shards in blocks of bounded size. The index is built anew
+for each block and holds postings of that block's terms only.
 
 Defined results: null and empty texts have no words and no hits; items without words match nothing; items with a
 null id are left out; item ids that repeat count once; equal rows get equal results; other columns are not read.
@@ -180,11 +181,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 2) -> DataFrame:
         found = part if found is None else found.unionByName(part)
     if n == 1:
         return found
-    merged = found.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("lists"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    # Every block returns every input row once, so rows equal in doc_id and text come back n times their number.
+    merged = found.groupBy("doc_id", "key").agg((F.count(F.lit(1)) / n).cast("int").alias("copies"), F.max("n_words").alias("n_words"), F.collect_list("spans").alias("lists"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("lists", lambda s: F.transform(F.filter(s, lambda _, i: i % 2 == 0), lambda a, i: F.struct(a.alias("a"), F.get(s, 2 * i + 1).alias("b"))))), lambda x: F.sequence(x["a"], x["b"] - 1)))))
     ends = F.filter(F.transform("at", lambda x, i: F.when(F.coalesce(F.get(F.col("at"), i - 1) != x - 1, F.lit(True)), x)), lambda x: x.isNotNull())
     tails = F.filter(F.transform("at", lambda x, i: F.when(F.coalesce(F.get(F.col("at"), i + 1) != x + 1, F.lit(True)), x + 1)), lambda x: x.isNotNull())
-    return merged.withColumn("at", covered).select("doc_id", "key", "n_words", F.flatten(F.zip_with(ends, tails, lambda a, b: F.array(a, b))).alias("spans"), F.array_sort("items").alias("items"), F.array_sort("near").alias("near"))
+    out = merged.withColumn("at", covered).select("copies", "doc_id", "key", "n_words", F.flatten(F.zip_with(ends, tails, lambda a, b: F.array(a, b))).alias("spans"), F.array_sort("items").alias("items"), F.array_sort("near").alias("near"))
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, slop: int = 2) -> DataFrame:

@@ -164,3 +164,12 @@ def test_decontamination(spark, monkeypatch):
     monkeypatch.setattr(decontam, "_blocks", lambda b: 3)
     rows = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in run().collect()}
     assert rows == set(want)
+
+
+def test_decontamination_keeps_repeated_rows_in_blocks(spark, monkeypatch):
+    docs = table(spark, [(1, "a b c", "en")] * 3 + [(1, "c b a", "en"), (2, None, "en"), (2, None, "en"), (None, "a b c", "en"), (None, "a b c", "en")])
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b c", "c b a", "x"])], "item_id long, text string")
+    run = lambda: Counter(map(tuple, decontam.contamination(docs, items).drop("n_near_items").collect()))
+    one = run()
+    monkeypatch.setattr(decontam, "_blocks", lambda b: 3)
+    assert run() == one and sum(one.values()) == 8
