@@ -14,61 +14,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import WS, row_key
+from scanframe.llm.common import WS, join_salted, materialize, once, row_key
 
 WINDOW = 3
 
 
-def _full(text: Column) -> Column:
-    """(position, trimmed line) of the lines that are not blank."""
-    return F.filter(
-        F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(WS)).alias("s"))),
-        lambda x: x["s"] != "",
-    )
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """row: the document as it came, with the id and key that name it."""
     d = docs.select(F.struct("*").alias("row"))
     return d.select("row", F.col("row.doc_id").cast("string").alias("id"), row_key(F.col("row.doc_id"), F.col("row.text")).alias("key"))
 
 
+def _full(lines: Column) -> Column:
+    """(position, trimmed line) of the lines that are not blank."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(WS)).alias("s"))), lambda x: x["s"] != "")
+
+
 def windows(docs: DataFrame) -> DataFrame:
-    """One row per window: its digest, its document and the place of its first line among the non-blank ones."""
-    d = _keyed(docs).withColumn("full", _full(F.col("row.text")))
-    line = lambda i, k: F.get(F.col("full"), i + k)["s"]
-    digests = F.transform(
+    """One row per window: its digest h, its place at (document, number of the window) and the positions of its lines."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key"))
+    d = docs.select(F.col("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), "text").select(order.alias("doc"), "text")
+    d = once(d, "full", _full(F.split("text", "\n"))).where(F.size("full") >= WINDOW)
+    part = lambda i, field: [F.get(F.col("full"), i + k)[field] for k in range(WINDOW)]
+    each = F.transform(
         F.sequence(F.lit(0), F.size("full") - WINDOW),
-        lambda i: F.unhex(F.md5(F.concat_ws("\n", *[line(i, k) for k in range(WINDOW)]))),
+        lambda i: F.struct(F.unhex(F.md5(F.concat_ws("\n", *part(i, "s")))).alias("h"), i.alias("w"), F.array(*part(i, "i")).alias("lines")),
     )
-    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.col("key"))
-    d = d.where(F.size("full") >= WINDOW).select(order.alias("doc"), F.posexplode(digests).alias("w", "h"))
-    return d.select("h", F.struct(F.col("doc"), F.col("w")).alias("at"))
+    d = d.select("doc", F.explode(each).alias("x"))
+    return d.select(F.col("x.h").alias("h"), F.struct(F.col("doc"), F.col("x.w").alias("w")).alias("at"), F.col("x.lines").alias("lines"))
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, key): the windows that are later occurrences."""
-    w = windows(docs)
-    first = w.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first")
-    later = w.join(first, "h").where(F.col("at") != F.col("first"))
-    return later.groupBy(F.col("at.doc.doc_id").cast("string").alias("id"), F.col("at.doc.key").alias("key")).agg(F.collect_set("at.w").alias("later"))
+    """Per document (id, key): the positions of the lines that later occurrences cover, overlaps merged."""
+    w = materialize(windows(docs), "windows")
+    first = materialize(w.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    later = join_salted(w, first, "h", F.col("at")).where(F.col("at") != F.col("first"))
+    doc = [F.col("at.doc.doc_id").cast("string").alias("id"), F.col("at.doc.key").alias("key")]
+    return later.groupBy(*doc).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The documents with row (as it came), new text, n_lines (non-blank) and n_removed."""
     cover = covered_lines(docs).withColumnsRenamed({"id": "c_id", "key": "c_key"})
     d = _keyed(docs).join(cover, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")), "left")
-    d = d.withColumn("full", _full(F.col("row.text")))  # behind the shuffle, which so moves each text once
-    gone = F.array_distinct(F.flatten(F.transform("later", lambda w: F.transform(F.sequence(w, w + WINDOW - 1), lambda k: F.get(F.col("full"), k)["i"]))))
-    d = d.withColumn("gone", gone)
-    kept = F.filter(F.split(F.col("row.text"), "\n"), lambda x, i: ~F.array_contains(F.col("gone"), i))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    return d.select("row", text.alias("text"), F.coalesce(F.size("full"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
+    d = once(d, "lines", F.split(F.col("row.text"), "\n"))  # behind the shuffle, which so moves each text once
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # set difference: linear in the lines
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
+    full = F.filter("lines", lambda x: F.btrim(x, F.lit(WS)) != "")
+    d = once(d, "new", F.struct(text.alias("text"), F.greatest(F.size(full), F.lit(0)).alias("n_lines"), F.greatest(F.size("gone"), F.lit(0)).alias("n_removed")))
+    return d.select("row", "new.text", "new.n_lines", "new.n_removed")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return line_dedup(docs).select("row.doc_id", "text", F.greatest(F.col("n_lines"), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    return line_dedup(docs).select("row.doc_id", "text", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"))
 
 
 #: The ids of the tables are unique and not null.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import bucket_count, held_out, materialize, release
+from scanframe.llm.common import bucket_count, held_out, materialize
 from scanframe.llm.lattice import U64Map
 from scanframe.llm.token_counts import per_text
 
@@ -175,19 +175,17 @@ _OUT = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_
 
 def lm_scores(docs: DataFrame, held: Column) -> DataFrame:
     """Scores of all rows by a model of the rows where held is false."""
-    spark = docs.sparkSession
     chunks = bucket_count(docs, CHUNK_BYTES, F.octet_length("text"))
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(F.pmod(F.xxhash64(doc_id, "text"), F.lit(chunks)).cast("int").alias("chunk"), doc_id.cast("string").alias("doc_id"), held.alias("held_out"), "text")
-    asked = rows.groupBy("chunk").applyInPandas(_ask, "chunk int, kind tinyint, key bigint, n bigint")
-    total = F.sum("n").over(Window.partitionBy("kind", "key"))
-    asked = materialize(asked.select("chunk", "kind", "key", total.alias("n")), "lm-keys")
-    release(spark)
-    distinct = asked.groupBy("kind", "key").agg(F.max("n").alias("n"))
-    words = distinct.where(F.col("kind") == WORD).agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
-    costs = code_lengths(distinct.where(F.col("kind") == GRAM).select("key", "n"))
-    answers = asked.where(F.col("kind") == WORD).select("chunk", "kind", "key", F.col("n").cast("double").alias("value"))
-    answers = answers.unionByName(asked.where(F.col("kind") == GRAM).select("chunk", "kind", "key").join(costs, "key"))
+    asked = materialize(rows.groupBy("chunk").applyInPandas(_ask, "chunk int, kind tinyint, key bigint, n bigint"), "lm-keys")
+    # A chunk has a key once, so the rows of the most frequent key are no more than the chunks.
+    total = materialize(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "lm-totals")
+    known = total.where(F.col("kind") == WORD)
+    words = known.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
+    costs = code_lengths(total.where(F.col("kind") == GRAM).select("key", "n"))
+    values = known.select("kind", "key", F.col("n").cast("double").alias("value")).unionByName(costs.select(F.lit(GRAM).cast("tinyint").alias("kind"), "key", "value"))
+    answers = asked.select("chunk", "kind", "key").join(values, ["kind", "key"]).select("chunk", "kind", "key", "value")
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scorer(words[0] or 0, words[1]), _OUT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -3,8 +3,8 @@
 Documents of a source form blocks. Time is cut into slots of one block; a source of weight w gives its i-th block
 (from 0) the release time floor(i / w) and the deadline ceil((i + 1) / w), and every slot takes the released block of
 the earliest deadline. Weights are exact fractions, so at any time before the first source runs out, a source is less
-than one block away from its share, however long the input. The driver computes the schedule in one pass over the blocks
-(a slot takes some microseconds and ten bytes) and sends it out as a table.
+than one block away from its share, however long the input. The driver computes the schedule in one pass over the blocks,
+whose number is bounded, and sends it out as a table of ten bytes a block.
 
 Documents of a source are ordered by a hash, in hash-range buckets that are counted first, so that a source
 with a third of all rows is ranked in many tasks. Sources with a share under one of ``units`` share one pool, which is
@@ -15,6 +15,9 @@ Defined results: every document comes out once; null sources form a source of th
 documents like any other; equal rows get places one after another; an empty table gives an empty result;
 once a source has run out in_target is false, and what is left follows by deadline without empty slots; sources
 without weight come after all others, in proportion to their rows.
+
+The schedule is bounded: a block holds ``block`` documents, or as many as it takes for the input to have at most
+``max_blocks`` blocks (a deviation of one block then stays under a millionth of the input).
 """
 
 from __future__ import annotations
@@ -113,7 +116,7 @@ def _placed(d: DataFrame, block: int) -> DataFrame:
     return d.select("row", "k", at.alias("block_no"), slot.alias("slot"), F.pmod("nth", F.lit(block)).alias("place"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, units: int = 1000, power: float = 0.5, per_bucket: int = 2000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, units: int = 1000, power: float = 0.5, per_bucket: int = 2000, max_blocks: int = 1 << 20) -> DataFrame:
     """row (the document), block_no, slot, place (in the block), in_target. Ordered by (slot, place) it is the mix."""
     spark = docs.sparkSession
     d = docs.select(F.struct("*").alias("row"))
@@ -121,6 +124,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 1
     sources = _sources(d, weights, power)
     # The sum of the pool's weights is rounded, as it depends on the order of adding.
     ks = sorted((r["k"], float(f"{r['q']:.12g}") if r["k"] == POOL else r["q"], r["n"]) for r in quotas(sources, units).collect())
+    block = max(block, -(-sum(n for *_, n in ks) // max_blocks))
     picks, horizon = schedule([q for _, q, _ in ks], [n for *_, n in ks], block)
     slots = _slots(spark, picks)
     keys = F.broadcast(spark.createDataFrame(pa.table({"k": pa.array([k for k, *_ in ks], pa.string()), "k_no": np.arange(len(ks), dtype=np.int16)})))  # at most units + 2 rows
@@ -144,6 +148,5 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 1
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    docs = docs.withColumn("text", F.lit(None).cast("string"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("row.doc_id", "row.source", "block_no", "slot", "place", "in_target")

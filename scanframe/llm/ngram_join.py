@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import batch_rows, materialize, row_key
+from scanframe.llm.common import materialize, row_key
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -101,7 +101,6 @@ def _trim(known: dict[bytes, int]) -> None:
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, key, cls (digest of the shingle set, null without shingles), n (its size), bands (their hashes)."""
-    batch_rows(docs.sparkSession)
     names = ["doc_id", "key", "cls", "n", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

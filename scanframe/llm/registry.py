@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from scanframe.llm import decontam, langid, line_dedup, lm_score, mixing, ngram_join, quality, secrets, token_counts, warc
 
 
-def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": lm_score.op1,
@@ -21,7 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_join": ngram_join.op4,
         "op5_secret_scan": secrets.op5,
         "op6_language_id": langid.op6,
-        "op7_quality_rules": op7,
+        "op7_quality_rules": quality.op7,
         "op8_decontaminate": decontam.op8,
         "op9_mix_sources": mixing.op9,
         "op10_line_dedup": line_dedup.op10,
@@ -29,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op7_quality_rules": quality.sql(), "op8_decontaminate": decontam.OP8_SQL, "op10_line_dedup": line_dedup.OP10_SQL}

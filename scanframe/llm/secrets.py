@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import batch_rows
 
 KINDS = ("assign", "access", "hex", "guess")
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -156,7 +155,6 @@ _OUT = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha2
 def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, least: float = 10.0) -> DataFrame:
     """One row per document with its counts and spans; no shuffle."""
     spark = docs.sparkSession
-    batch_rows(spark)
     ranks = spark.sparkContext.broadcast(word_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe.llm import lattice
-from scanframe.llm.common import batch_rows
 
 #: UTF-8 bytes of text whose pre-tokens share a trie.
 SHARE_BYTES = 4 << 20
@@ -61,7 +60,6 @@ def per_text(values: np.ndarray, n: np.ndarray) -> np.ndarray:
 def token_counts(docs: DataFrame, vocabulary: str = lattice.VOCABULARY) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, best_score and forward_score (natural logs) of every document."""
     spark = docs.sparkSession
-    batch_rows(spark)
     vocab = lattice.pieces(vocabulary)
     shared = spark.sparkContext.broadcast(lattice.Lattice(vocab, lattice.zipf(len(vocab))))
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import batch_rows, bucket_count, materialize, shared_dir
+from scanframe.llm.common import bucket_count, materialize, shared_dir
 
 BLOCK_LINES = 300
 #: Captures of one index file.
@@ -178,7 +178,6 @@ def _write_index(root_uri: str):
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
     """Write all pages as archives with their index; returns the table of parts, written to the shared folder."""
     spark = pages.sparkSession
-    batch_rows(spark)
     folder = folder or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     rows = plan_revisits(pages, least).select("key", "capture", "url", "payload", "revisit_of")
     lines = materialize(rows.mapInPandas(_write_records(folder), _LINES), "captures")

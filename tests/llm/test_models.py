@@ -151,25 +151,36 @@ def test_secret_scan(spark):
 def test_decontamination(spark, monkeypatch):
     w = [f"w{i}" for i in range(40)]
     items = [(1, " ".join(w[:15])), (2, "Short item é"), (3, ""), (4, None), (10, " ".join(w[5:16]).upper()), (None, "w1 w2")]
-    docs = [(1, "x " + " ".join(w[:15]) + " y"), (2, "a short, ITEM É b short item"), (3, None), (4, ""), (5, " ".join(w[:9])), (6, "z z z"), (7, " ".join(w[2:13] + ["q"] + w[2:13])), (None, "short item é"), (None, "short item é")]
+    near = w[:3] + ["q"] + w[3:6] + [w[7], w[6]] + w[8:12]
+    docs = [(8, " ".join(near)), (9, "w0 w1 w2"), (9, "w3 w4 w5 w6 w7 w8 w9 w10"), (1, "x " + " ".join(w[:15]) + " y"), (2, "a short, ITEM É b short item"), (3, None), (4, ""), (5, " ".join(w[:9])), (6, "z z z"), (7, " ".join(w[2:13] + ["q"] + w[2:13])), (None, "short item é"), (None, "short item é")]
     d = table(spark, [(i, t, "en") for i, t in docs])
     b = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, words string")
-    want = Counter(decontam.brute_force(docs, [x for x in items if x[0] is not None]))
-    run = lambda: decontam.contamination(d, b)
-    one = run().collect()
-    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in one) == want
-    assert all(r.n_near_items >= r.n_items for r in one)
+    want = Counter(decontam.brute_force(docs, items))
+    run = lambda: Counter(map(tuple, decontam.contamination(d, b).drop("key").collect()))
+    assert run() == want
     assert decontam.contamination(table(spark, []), b).count() == 0
     assert not decontam.contamination(d, b.limit(0)).where("contaminated").count()
     monkeypatch.setattr(decontam, "_blocks", lambda b: 3)
-    rows = {(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in run().collect()}
-    assert rows == set(want)
+    assert run() == want
+    monkeypatch.setattr(decontam, "SHARD_DOCS", 2)
+    monkeypatch.setattr(decontam, "_STEP", 3)
+    monkeypatch.setattr(decontam, "_SLICE", 7)
+    assert run() == want
 
 
 def test_decontamination_keeps_repeated_rows_in_blocks(spark, monkeypatch):
     docs = table(spark, [(1, "a b c", "en")] * 3 + [(1, "c b a", "en"), (2, None, "en"), (2, None, "en"), (None, "a b c", "en"), (None, "a b c", "en")])
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "b c", "c b a", "x"])], "item_id long, text string")
-    run = lambda: Counter(map(tuple, decontam.contamination(docs, items).drop("n_near_items").collect()))
+    run = lambda: Counter(map(tuple, decontam.contamination(docs, items).collect()))
     one = run()
     monkeypatch.setattr(decontam, "_blocks", lambda b: 3)
     assert run() == one and sum(one.values()) == 8
+
+
+def test_decontamination_of_a_long_text(spark):
+    r = np.random.default_rng(3)
+    text = " ".join(f"v{k}" for k in r.integers(0, 3000, 400_000))  # over 2 MB
+    ws = text.split()
+    items = [(1, " ".join(ws[200_000:200_012])), (2, " ".join(ws[-10:])), (3, "v1 v1 v1 v1 v1 v1 v1 v1 v1 v1"), (4, "v7")]
+    got = decontam.contamination(table(spark, [(1, text, "en")]), spark.createDataFrame(items, "item_id long, text string")).first()
+    assert (got.n_words, got.n_items, got.n_hit) == (400_000, 3, 22 + ws.count("v7") - (ws[200_000:200_012] + ws[-10:]).count("v7"))

@@ -1,12 +1,15 @@
 """Quality rules, line dedup and mixing against plain Python on small tables, with nulls, ties and clashing names."""
 
+import math
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from scanframe.llm import line_dedup, mixing, quality
+from scanframe.llm import common, line_dedup, mixing, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, words string, h string, key string"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -75,6 +78,40 @@ def test_quality_rules_all_bind(spark):
         assert not r.base_failed and not r.kept and outside == [c], (name, outside)
 
 
+def test_quality_sketch_against_exact_quantiles(spark):
+    r = random.Random(5)
+    groups = {("en", "a"): 700, ("en", "b"): 150, ("fr", "a"): 40, (None, None): 130}
+    m = [(l, s, r.choice([0.0, r.random() ** 3]), r.random(), r.lognormvariate(1, 2), 4 + r.random()) for (l, s), n in groups.items() for _ in range(n)]
+    names = list(quality.RATIOS)
+    d = spark.createDataFrame(m, "lang string, source string, " + ", ".join(f"{c} double" for c in names))
+    at = (0.10, 0.25, 0.50, 0.75, 0.90)
+    for part in (1, 3):
+        got = quality.quantiles(quality.sketches(d.repartition(part)), at, "lang", "source").collect()
+        assert len(got) == 4 * len(groups)
+        for x in got:
+            v = sorted(y[2 + names.index(x.ratio)] for y in m if y[:2] == (x.lang, x.source))
+            assert x.n == len(v)
+            for k, q in enumerate(at):
+                exact = v[math.floor((len(v) - 1) * q)]
+                assert abs(x[f"q{k}"] - exact) <= quality.ACCURACY * exact + 1e-12
+    merged = quality.quantiles(quality._merged(quality.sketches(d), "lang"), at, "lang").collect()
+    assert {(x.lang, x.n) for x in merged} == {("en", 850), ("fr", 40), (None, 130)}
+
+
+def test_quality_groups(spark):
+    """Own fences from 100 documents on, the language's below, everyone's below that; verdicts by plain comparison."""
+    base = lambda i, mark="": " ".join(f"{mark}word{(i * 7 + k * k) % 97}" for k in range(40))
+    rows = [(i, base(i), "en", "a") for i in range(150)] + [(1000 + i, base(i, "##"), "en", "b") for i in range(150)] + [(2000 + i, base(i), "en", "c") for i in range(20)] + [(3000 + i, base(i, "#####"), "xx", None) for i in range(5)]
+    m = quality.quality_metrics(table(spark, rows))
+    f = {(x.lang, x.source): x for x in quality.thresholds(m).collect()}
+    assert f["en", "a"].high_symbol_ratio < f["en", "b"].high_symbol_ratio and f["en", "a"].n == 150
+    assert f["en", "c"].high_symbol_ratio not in (f["en", "a"].high_symbol_ratio, f["xx", None].high_symbol_ratio) or f["en", "c"].high_symbol_ratio >= f["en", "b"].high_symbol_ratio
+    for x in quality.judge(m, quality.thresholds(m)).collect():
+        g = f[x.lang, x.source]
+        inside = x.mean_word >= g.low_mean_word and all(x[c] <= g[f"high_{c}"] for c in quality.RATIOS)
+        assert x.kept == (not x.base_failed and inside)
+
+
 def dedup(rows):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -103,6 +140,28 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
+def test_line_dedup_of_many_lines(spark):
+    rows = [(1, "\n".join(f"a{k % 50000}" for k in range(100_000))), (2, "\n".join(f"a{k}" for k in range(30_000))), (3, "\n".join(["same"] * 20_000))]
+    out = line_dedup.line_dedup(table(spark, [(i, t, "en", "a") for i, t in rows]))
+    got = {r.row.doc_id: r.text for r in out.where("n_removed >= 0 and length(text) > 0").collect()}  # a filter, as the pipeline has
+    assert got == {i: t for i, t in dedup(rows).items() if t}
+
+
+def test_hot_windows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = [(i, f"own {i}\nL1\nL2\nL3\nL4\nend {i}") for i in range(300)] + [(1000 + i, "p\nq\nr") for i in range(3)]
+    got = {r.row.doc_id: r.text for r in line_dedup.line_dedup(table(spark, [(i, t, "en", "a") for i, t in rows])).collect()}
+    assert got == dedup(rows)
+
+
+def test_join_salted_equals_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 5)
+    rows = spark.createDataFrame([(k, i) for k, n in (("a", 50), ("b", 3), (None, 4), ("c", 30)) for i in range(n)], "g string, i int")
+    one = spark.createDataFrame([("a", 50, 1), ("c", 30, 2), ("z", 1, 3)], "g string, n long, v int")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.join_salted(rows, one, "g", F.col("i"), how).select("g", "i", "v").collect())) == sorted(map(str, rows.join(one, "g", how).select("g", "i", "v").collect()))
+
+
 @pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 1, "c": 7}, None])
 def test_mix_stays_within_a_block(spark, weights):
     rows = [(i, f"t{i}", "en", s) for i, s in enumerate("a" * 600 + "b" * 320 + "c" * 100)] + [(5000, None, None, None)]
@@ -147,3 +206,16 @@ def test_mix_pool_follows_its_own_weights(spark):
         assert all(abs(done[k] - (t + 1) * w[k] / total) <= 0.5 + 1.5 * w[k] / total for k in "bcd")
     last = max(r.slot for r in got if r.source != "e")
     assert all(r.slot > last for r in got if r.source == "e")
+
+
+def test_mix_bounds_its_schedule(spark):
+    rows = [(i, f"t{i}", "en", s) for i, s in enumerate("a" * 600 + "b" * 320 + "c" * 100)]
+    got = mixing.mix(table(spark, rows), block=4, max_blocks=30).select("row.doc_id", "slot", "place").collect()
+    assert sorted(r.doc_id for r in got) == list(range(1020)) and len({(r.slot, r.place) for r in got}) == 1020
+    assert max(r.slot for r in got) < 33
+
+
+def test_mix_keeps_repeated_rows(spark):
+    rows = [(1, "same", "en", "a")] * 50 + [(2, None, "en", None)] * 3
+    got = mixing.mix(table(spark, rows), block=4).select("row.doc_id", "slot", "place").collect()
+    assert Counter(r.doc_id for r in got) == {1: 50, 2: 3} and len({(r.slot, r.place) for r in got}) == 53
