@@ -32,8 +32,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars, where there is such a column, is counted anew."""
     out = line_dedup.line_dedup(docs).where((F.col("n_removed") <= 0) | (F.btrim("text", F.lit(WS)) != ""))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    new = {"text": F.col("text")} | {f.name: F.length("text").cast(f.dataType) for f in docs.schema if f.name == "n_chars"}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
@@ -64,7 +65,7 @@ STAGES = [
     ("mix_sources", mix_sources),
 ]
 
-#: Language ID learns a model and MinHash draws permutations; the stages are tested against brute-force versions.
+#: Language ID learns a model and MinHash draws permutations, which SQL cannot express; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
