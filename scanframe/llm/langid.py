@@ -4,8 +4,9 @@ Every language has probabilities for the pieces of one fixed public vocabulary.
 all its segmentations into pieces, by the forward algorithm; words are scored once per shared prefix in a trie.
 The languages' posteriors with equal priors give the prediction and its score.
 
-Learned from text and lang alone, on a bounded sample: about ``max_docs`` rows of each of the ``max_langs`` most
-frequent languages, picked by a hash of the text. Prediction covers every whole text.
+Learned from text and lang alone, on a bounded sample: about ``max_docs`` distinct texts of each language, picked by a
+hash of the text. Every language is learned, however many there are; a model takes 8 bytes for each language and piece.
+Prediction covers every whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; with no language to learn from
 everything is ``und``; ties go to the first language in order; null languages are not learned from.
@@ -50,19 +51,20 @@ def piece_counts(sample: DataFrame, vocabulary: str) -> DataFrame:
     return sample.select("lang", "text").mapInArrow(run, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, vocabulary: str = lattice.VOCABULARY, max_docs: int = 1500, max_langs: int = 256, smooth: float = 0.1) -> tuple[list[str], lattice.Lattice]:
-    """Languages and their lattice. What comes to the driver is at most max_langs times the vocabulary's size."""
-    labelled = train.where("lang IS NOT NULL AND text IS NOT NULL")
-    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+def fit(train: DataFrame, vocabulary: str = lattice.VOCABULARY, max_docs: int = 1500, smooth: float = 0.1) -> tuple[list[str], lattice.Lattice]:
+    """Languages and their lattice. What comes to the driver is at most the number of languages times the vocabulary's size."""
+    labelled = train.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    seen = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
     vocab = lattice.pieces(vocabulary)
     if not seen:
         return [], lattice.Lattice(vocab, lattice.zipf(len(vocab)))
-    rate = F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(max_docs / r["count"]))])
-    sample = labelled.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < F.coalesce(rate[F.col("lang")], F.lit(0.0)))
+    rates = train.sparkSession.createDataFrame([(r["lang"], max_docs / max(1, r["n"])) for r in seen], "lang string, rate double")
+    chosen = labelled.join(F.broadcast(rates), "lang").where(F.pmod("h", F.lit(1 << 20)) / float(1 << 20) < F.col("rate"))  # one row per language
     langs = sorted(r["lang"] for r in seen)
+    place = {x: k for k, x in enumerate(langs)}
     counts = np.zeros((len(vocab), len(langs)))
-    for r in piece_counts(sample, vocabulary).toLocalIterator():
-        counts[r["piece"], langs.index(r["lang"])] = r["n"]
+    for r in piece_counts(chosen.dropDuplicates(["lang", "h"]), vocabulary).toLocalIterator():
+        counts[r["piece"], place[r["lang"]]] = r["n"]
     return langs, lattice.Lattice(vocab, np.log((counts + smooth) / (counts + smooth).sum(axis=0)))
 
 
@@ -78,22 +80,22 @@ def predict(docs: DataFrame, model: tuple[list[str], lattice.Lattice], extra: di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, lat = shared.value
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            ids, texts = b.column(0), b.column(1)
             pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            known = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if langs else []
             start = 0
-            while start < len(known):  # some MB at a time
-                end, held = start, 0
-                while end < len(known) and held < 4 << 20:
-                    held += len(texts[known[end]])
+            while langs and start < len(texts):  # some MB at a time
+                part, held, end = {}, 0, start
+                while end < len(texts) and held < 4 << 20:
+                    t = texts[end].as_py()
+                    if t and _LETTER.search(t):
+                        part[end] = t
+                        held += len(t)
                     end += 1
-                part = known[start:end]
-                distinct, at, n = word_ids([texts[k] for k in part], str.lower)
+                distinct, at, n = word_ids(list(part.values()), str.lower)
                 like = per_text(lat.forward([lattice.MARK + w for w in distinct])[at], n)
-                like -= like.max(axis=1, keepdims=True)
-                post = np.exp(like) / np.exp(like).sum(axis=1, keepdims=True)
-                for k, p in zip(part, post, strict=True):
-                    pred[k], score[k] = langs[int(p.argmax())], p.max()
+                for k, x in zip(part, like, strict=True):
+                    post = np.exp(x - x.max())
+                    pred[k], score[k] = langs[int(x.argmax())], 1.0 / post.sum()
                 start = end
             cols = [ids.field(k) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(score)], names=[*fields.names, "lang_pred", "score"])

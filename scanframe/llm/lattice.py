@@ -2,8 +2,12 @@
 
 Words are sorted, so words that share a prefix stand together and a trie node is the first word of its run. For each
 depth, the scores of all nodes are computed at once from the scores of their ancestors and the pieces that end
-there: once per shared prefix, however many words have it. A word's result is read at its terminal node.
-Pieces are found by a 64-bit polynomial hash in an open-addressed table.
+there: once per shared prefix, however many words have it. A word's result is read at its terminal node. All scores are
+logs, so neither long words nor rare pieces underflow, and only the last levels that a piece can span are held. Words
+share a trie with words of similar length, so that one long word does not widen the table of many short ones.
+
+The pieces at all places of a table are found together, by following the vocabulary's prefixes byte by byte: 64-bit
+polynomial hashes in an open-addressed table.
 """
 
 from __future__ import annotations
@@ -17,9 +21,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()  # stands for the white space before a word
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
-#: Words over so many bytes are handled one by one, in the log domain.
-LONG = 48
-_SLICE = 1 << 14
+#: Words that share a trie at most, and cells (words times depths) that are looked up at a time.
+_SLICE, _CELLS = 1 << 14, 1 << 18
+#: Words up to so many bytes share tries whatever their lengths; longer ones with those of the same power of two.
+_SHORT = 63
 
 
 class U64Map:
@@ -85,17 +90,18 @@ def _hash(b: bytes) -> int:
 
 
 class Lattice:
-    """Pieces with log probabilities, one column per model."""
+    """Pieces with log probabilities, one column per model. Every single byte is a piece, so every word has a segmentation."""
 
     def __init__(self, vocab: tuple[bytes, ...], logp: np.ndarray) -> None:
         self.vocab = vocab
         self.logp = np.ascontiguousarray(logp.reshape(len(vocab), -1), np.float64)
-        self.prob = np.exp(self.logp)
-        self.longest = min(LONG, max(map(len, vocab)))
+        self.columns = np.ascontiguousarray(self.logp.T)
+        self.longest = max(map(len, vocab))
         self.sizes = np.fromiter(map(len, vocab), np.int64, len(vocab))
-        self.map = U64Map(np.array([_hash(p) for p in vocab], np.uint64))
         self.ids = {p: i for i, p in enumerate(vocab)}
-        self.power = np.array([pow(int(_P), k, 1 << 64) for k in range(LONG + 1)], np.uint64)
+        prefixes = list({p[:k] for p in vocab for k in range(1, len(p) + 1)})
+        self.map = U64Map(np.array([_hash(p) for p in prefixes], np.uint64))
+        self.piece = np.array([self.ids.get(p, -1) for p in prefixes], np.int32)
 
     def __getstate__(self) -> tuple:
         return self.vocab, self.logp
@@ -103,119 +109,157 @@ class Lattice:
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
 
-    def _levels(self, words: list[bytes]):
-        """For each depth: the nodes (their first words), each word's node, and per piece length the piece that ends there."""
-        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
-        width = int(size.max())
-        m = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
-        diff = m[1:] != m[:-1]
-        lcp = np.concatenate([[0], np.where(diff.any(axis=1), diff.argmax(axis=1), width)])
-        lcp[1:] = np.minimum(lcp[1:], np.minimum(size[1:], size[:-1]))
-        h = np.zeros((width + 1, n), np.uint64)
-        for d in range(1, width + 1):
-            h[d] = h[d - 1] * _P + m[:, d - 1] + np.uint64(1)
-        for d in range(1, width + 1):
-            active = np.flatnonzero(size >= d)
-            new = lcp[active] < d
-            nodes = active[new]
-            top = h[d][nodes]
-            found = ((k, self.map.find(top - h[d - k][nodes] * self.power[k])) for k in range(1, min(d, self.longest) + 1))
-            yield d, active, nodes, np.cumsum(new) - 1, found
-
     def _sliced(self, words: list[bytes]):
-        """Sorted places of the words up to LONG bytes, a slice at a time; then those of the others."""
-        order = sorted((i for i, w in enumerate(words) if len(w) <= LONG), key=words.__getitem__)
-        for k in range(0, len(order), _SLICE):
-            yield order[k : k + _SLICE]
+        """Sorted places of words that share a trie."""
+        group = lambda w: 0 if len(w) <= _SHORT else len(w).bit_length()
+        order = sorted(range(len(words)), key=lambda i: (group(words[i]), words[i]))
+        part, kind = [], None
+        for i in order:
+            g = group(words[i])
+            if part and (g != kind or len(part) == _SLICE or g and len(part) << g > 4 * _CELLS):
+                yield part
+                part = []
+            part.append(i)
+            kind = g
+        if part:
+            yield part
+
+    def _walk(self, t: np.ndarray, size: np.ndarray, lcp: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """Pieces that end at nodes of the depths over lo up to hi: (depth, word, length, piece) by depth and word."""
+        n = t.shape[1]
+        first = max(0, lo - self.longest + 1)
+        s = np.repeat(np.arange(first, hi, dtype=np.int32), n)
+        w = np.tile(np.arange(n, dtype=np.int32), hi - first)
+        end = np.minimum(size, hi).astype(np.int32)
+        floor = np.maximum(lcp, lo).astype(np.int32)
+        ok = s < end[w]
+        s, w = s[ok], w[ok]
+        h, found = np.zeros(len(s), np.uint64), []
+        for k in range(1, self.longest + 1):
+            ok = s + k <= end[w]
+            if not ok.all():
+                s, w, h = s[ok], w[ok], h[ok]
+            if not len(s):
+                break
+            h = h * _P + t[s + (k - 1), w] + np.uint64(1)
+            place = self.map.find(h)
+            ok = place >= 0
+            s, w, h = s[ok], w[ok], h[ok]
+            piece = self.piece[place[ok]]
+            out = np.flatnonzero((piece >= 0) & (s + k > floor[w]))
+            found.append((s[out] + k, w[out], np.full(len(out), k, np.int32), piece[out]))
+        d, w, k, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(d.astype(np.int64) * n + w, kind="stable")
+        return d[order], w[order], k[order], piece[order]
+
+    def _levels(self, ws: list[bytes]):
+        """For each depth: the pieces that end there (word, length, piece), where those of a node begin, the words that reach it and
+        their nodes; None instead of the last two for a lone word."""
+        n, size = len(ws), np.fromiter(map(len, ws), np.int64, len(ws))
+        width = int(size.max())
+        m = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in ws), np.uint8).reshape(n, width)
+        lcp = np.zeros(n, np.int64)
+        if n > 1:
+            diff = m[1:] != m[:-1]
+            lcp[1:] = np.minimum(np.where(diff.any(axis=1), diff.argmax(axis=1), width), np.minimum(size[1:], size[:-1]))
+        t = np.ascontiguousarray(m.T)
+        step = max(1, _CELLS // n)
+        for lo in range(0, width, step):
+            hi = min(width, lo + step)
+            depth, w, k, piece = self._walk(t, size, lcp, lo, hi)
+            new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (depth[1:] != depth[:-1])]))
+            bounds = np.searchsorted(depth, np.arange(lo + 1, hi + 2)).tolist()
+            starts = np.searchsorted(new, bounds).tolist()
+            for j, d in enumerate(range(lo + 1, hi + 1)):
+                a, b = bounds[j], bounds[j + 1]
+                if n == 1:
+                    yield d, w[a:b], k[a:b], piece[a:b], None, None, None
+                    continue
+                active = np.flatnonzero(size >= d)
+                yield d, w[a:b], k[a:b], piece[a:b], new[starts[j] : starts[j + 1]] - a, active, np.cumsum(lcp[active] < d) - 1
 
     def forward(self, words: list[bytes]) -> np.ndarray:
         """Per word and model: log of the sum over all segmentations. Words are distinct."""
-        out = np.zeros((len(words), self.logp.shape[1]))
+        models, span = self.columns.shape[0], self.longest + 1
+        out = np.zeros((len(words), models))
         for part in self._sliced(words):
             ws = [words[i] for i in part]
-            width = max(map(len, ws))
-            f = np.zeros((width + 1, len(ws), self.logp.shape[1]))
-            f[0] = 1.0
-            for d, active, nodes, node_of, found in self._levels(ws) if width else ():
-                total = np.zeros((len(nodes), f.shape[2]))
-                for k, ids in found:
-                    ok = np.flatnonzero(ids >= 0)
-                    total[ok] += f[d - k][nodes[ok]] * self.prob[ids[ok]]
-                f[d][active] = total[node_of]
-            out[part] = np.log(f[[len(w) for w in ws], range(len(ws))])
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self._forward_long(w)
+            n, size, at = len(ws), np.fromiter(map(len, ws), np.int64, len(ws)), np.array(part)
+            f = np.zeros((models, span * n))
+            for d, w, k, piece, begin, active, node_of in self._levels(ws) if size.max() else ():
+                v = f.take((d - k) % span * n + w, axis=1) + self.columns.take(piece, axis=1)
+                row = d % span * n
+                if begin is None:
+                    top = v.max(axis=1)
+                    f[:, row] = top + np.log(np.exp(v - top[:, None]).sum(axis=1))
+                    if d == size[0]:
+                        out[at] = f[:, row]
+                    continue
+                each = np.diff(begin, append=len(w))
+                top = np.maximum.reduceat(v, begin, axis=1)
+                score = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, each, axis=1)), begin, axis=1))
+                f[:, row + active] = score[:, node_of]
+                done = active[size[active] == d]
+                out[at[done]] = f[:, row + done].T
         return out
 
-    def _forward_long(self, w: bytes) -> np.ndarray:
-        """The same for one long word: probabilities of the last places only, scaled as they shrink."""
-        f, scale = [np.ones(self.logp.shape[1])], np.zeros(self.logp.shape[1])
-        for d in range(1, len(w) + 1):
-            total = np.zeros_like(f[0])
-            for k in range(1, min(len(f), self.longest) + 1):
-                if (p := self.ids.get(w[d - k : d])) is not None:
-                    total = total + f[-k] * self.prob[p]
-            f = [*f[-self.longest :], total]
-            if d % 16 == 0:
-                s = total.copy()
-                f, scale = [x / s for x in f], scale + np.log(s)
-        return np.log(f[-1]) + scale
-
     def best(self, words: list[bytes], total: bool = False, weights: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Per word, by the first model: the best segmentation's log probability and its number of pieces (ties take
         fewer). With total also the log of the sum over all segmentations; with weights (a row per word) instead of
         that the weighted counts of the pieces in the best segmentations."""
         score, count, sums = np.zeros(len(words)), np.zeros(len(words), np.int64), np.zeros(len(words))
         used = None if weights is None else np.zeros((len(self.vocab), weights.shape[1]))
-        lp, pr = self.logp[:, 0], self.prob[:, 0]
+        lp, span = self.columns[0], self.longest + 1
         for part in self._sliced(words):
             ws = [words[i] for i in part]
-            width = max(map(len, ws))
-            f, n = np.zeros((width + 1, len(ws))), np.zeros((width + 1, len(ws)), np.int32)
-            g = np.ones((width + 1, len(ws))) if total else None
-            last = np.zeros((width + 1, len(ws)), np.int32) if used is not None else None
-            for d, active, nodes, node_of, found in self._levels(ws) if width else ():
-                top, least, ends, mass = np.full(len(nodes), -np.inf), np.zeros(len(nodes), np.int32), np.zeros(len(nodes), np.int32), np.zeros(len(nodes))
-                for k, ids in found:
-                    ok = np.flatnonzero(ids >= 0)
-                    from_, piece = nodes[ok], ids[ok]
-                    if total:
-                        mass[ok] += g[d - k][from_] * pr[piece]
-                    v, c = f[d - k][from_] + lp[piece], n[d - k][from_] + 1
-                    better = (v > top[ok]) | ((v == top[ok]) & (c < least[ok]))
-                    to = ok[better]
-                    top[to], least[to], ends[to] = v[better], c[better], piece[better]
-                f[d][active], n[d][active] = top[node_of], least[node_of]
+            n, size, at = len(ws), np.fromiter(map(len, ws), np.int64, len(ws)), np.array(part)
+            last = np.zeros((int(size.max()) + 1, n), np.int32) if used is not None else None
+            if n == 1:
+                score[at], count[at], sums[at] = self._best_alone(ws[0], total, last)
+                levels = ()
+            else:
+                levels = self._levels(ws) if size.max() else ()
+            f, c, g = np.zeros(span * n), np.zeros(span * n, np.int64), np.zeros(span * n)
+            for d, w, k, piece, begin, active, node_of in levels:
+                from_, row = (d - k) % span * n + w, d % span * n
+                v, m, each = f[from_] + lp[piece], c[from_] + 1, np.diff(begin, append=len(w))
+                top = np.maximum.reduceat(v, begin)
+                rank = np.where(v == np.repeat(top, each), m * len(w) + np.arange(len(w)), np.iinfo(np.int64).max)
+                pick = np.minimum.reduceat(rank, begin) % len(w)
+                f[row + active], c[row + active] = top[node_of], m[pick][node_of]
+                done = active[size[active] == d]
+                score[at[done]], count[at[done]] = f[row + done], c[row + done]
                 if total:
-                    g[d][active] = mass[node_of]
+                    v = g[from_] + lp[piece]
+                    most = np.maximum.reduceat(v, begin)
+                    g[row + active] = (most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, each)), begin)))[node_of]
+                    sums[at[done]] = g[row + done]
                 if last is not None:
-                    last[d][active] = ends[node_of]
-            at, each = np.array([len(w) for w in ws]), np.arange(len(ws))
-            score[part], count[part] = f[at, each], n[at, each]
-            if total:
-                sums[part] = np.log(g[at, each])
+                    last[d, active] = piece[pick][node_of]
             if used is not None:
-                mine = weights[part]
-                while len(each := each[at[each] > 0]):
-                    piece = last[at[each], each]
+                depth, each, mine = size.copy(), np.arange(n), weights[at]
+                while len(each := each[depth[each] > 0]):
+                    piece = last[depth[each], each]
                     np.add.at(used, piece, mine[each])
-                    at[each] -= self.sizes[piece]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                score[i], count[i] = self._best_long(w)
-                if total:
-                    sums[i] = self._forward_long(w)[0]
-                if used is not None:
-                    np.add.at(used, self.pieces_of(w), weights[i])
-        return (score, count, *([sums] if total else []), *([used] if used is not None else []))
+                    depth[each] -= self.sizes[piece]
+        return (score, count, *((sums,) if total else ()), *(() if used is None else (used,)))
 
-    def _best_long(self, w: bytes) -> tuple[float, int]:
-        f, lp = [(0.0, 0)], self.logp[:, 0]
-        for d in range(1, len(w) + 1):
-            cut = (((f[d - k][0] + lp[p]), f[d - k][1] + 1) for k in range(1, min(d, self.longest) + 1) if (p := self.ids.get(w[d - k : d])) is not None)
-            f.append(max(cut, key=lambda x: (x[0], -x[1])))
-        return f[-1]
+    def _best_alone(self, word: bytes, total: bool, last: np.ndarray | None) -> tuple[float, int, float]:
+        """A word that shares its trie with no other: plain numbers, which beat arrays of a few elements."""
+        span, lp = self.longest + 1, self.columns[0].tolist()
+        f, c, g = [0.0] * span, [0] * span, [0.0] * span
+        for d, _, k, piece, *_ in self._levels([word]) if word else ():
+            cut = [((d - x) % span, lp[p], p) for x, p in zip(k.tolist(), piece.tolist(), strict=True)]
+            row = d % span
+            top, fewest, end = max((f[x] + y, -c[x], p) for x, y, p in cut)
+            if total:
+                v = [g[x] + y for x, y, _ in cut]
+                most = max(v)
+                g[row] = most + math.log(sum(math.exp(x - most) for x in v))
+            f[row], c[row] = top, 1 - fewest
+            if last is not None:
+                last[d] = end
+        return f[len(word) % span], c[len(word) % span], g[len(word) % span]
 
     def pieces_of(self, w: bytes) -> list[int]:
         """The best segmentation of one word."""

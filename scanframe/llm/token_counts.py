@@ -3,7 +3,8 @@
 Pre-tokens are runs of characters that are not white space, each with the vocabulary's word mark before it. The
 distinct pre-tokens of some MB of text go into a trie; unigram forward scores (best segmentation, and the sum over
 all) are computed once per shared prefix, and each terminal keeps its number of tokens. A document's counts are
-sums over its pre-tokens. Nothing is shuffled.
+sums over its pre-tokens. Nothing is shuffled. The vocabulary is public and comes with ranks instead of probabilities;
+a piece's probability falls with its rank (``lattice.zipf``), as tokenizers are not trained here.
 
 Defined results: null and empty texts have no tokens; equal rows get equal counts; other columns are not read.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanframe.llm import lattice
+from scanframe.llm.common import batch_rows
 
 #: UTF-8 bytes of text whose pre-tokens share a trie.
 SHARE_BYTES = 4 << 20
@@ -26,14 +28,13 @@ SHARE_BYTES = 4 << 20
 def by_text_blocks(batches: Iterator[pa.RecordBatch], limit: int = SHARE_BYTES) -> Iterator[tuple[list, list]]:
     """(ids, texts) of about limit characters at a time."""
     ids, texts, held = [], [], 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t)
-            held += len(t or "")
-            if held >= limit:
-                yield ids, texts
-                ids, texts, held = [], [], 0
+    for i, t in batch_rows(batches):
+        ids.append(i)
+        texts.append(t)
+        held += len(t or "")
+        if held >= limit:
+            yield ids, texts
+            ids, texts, held = [], [], 0
     if ids:
         yield ids, texts
 

@@ -1,11 +1,15 @@
 """WARC archives with a two-level capture index.
 
 Each task writes its pages to one archive, every record a gzip member, and returns one line per capture: URL key (host
-reversed), page, archive, offset and length. Payloads move once at most. The lines alone are sorted by key over range
-partitions and written as index files: compressed blocks of lines in key order, and behind them a sparse
-directory with each block's first key, place and size. The table of parts (first and last key, file, place of
-the directory) is the first level; it has one row per index file. A lookup finds the part, then the block, then the
-line by binary search, and reads only those ranges.
+reversed), page, archive, offset and length. Payloads move once at most, those of a frequent payload to many tasks. The
+lines alone are sorted by key over range partitions and written as index files: compressed blocks of lines in key
+order, and behind them a sparse directory with each block's first key, place and size. The table of parts (bounds of the
+keys, file, place of the directory) is the first level; it has one row per index file, at most MAX_PARTS rows with bounds
+of at most CLIP characters, so it may be broadcast.
+
+A lookup finds a key's parts, then the block, then the lines by binary search, reading only those ranges of the index;
+the lines found are then dealt by archive and offset, so that records are read in the order in which they lie, neighbours
+in one read.
 
 Files go to the shared folder through Arrow's file systems (local, HDFS, S3, GCS); each task attempt writes
 files of its own name, and only those named in the committed tables of lines and parts are ever read.
@@ -23,18 +27,20 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanframe.llm.common import bucket_count, materialize, shared_dir
+from scanframe.llm.common import bucket_count, join_salted, materialize, shared_dir
 
 BLOCK_LINES = 300
-#: Captures of one index file.
-PART_LINES = 10_000
+#: Captures of one index file, unless that made more than MAX_PARTS files.
+PART_LINES, MAX_PARTS, CLIP = 10_000, 1 << 16, 200
+#: Bytes of an archive that a task reads, and of neighbouring records that are read at once.
+RANGE_BYTES, READ_BYTES = 64 << 20, 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LINES = "key string, capture string, url string, warc string, at bigint, size bigint"
 _PARTS = "idx string, at bigint, size bigint, first string, last string, n bigint"
@@ -111,7 +117,7 @@ def plan_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("sha", F.unhex(F.sha1("payload")))
     first = p.where(F.length("payload") >= least).groupBy("sha").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 AND response IS NOT NULL")
-    j = p.join(first.select("sha", "response"), "sha", "left")
+    j = join_salted(p, materialize(first, "responses"), "sha", F.struct("page_id", "url"), "left")
     of = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     return j.select("page_id", "url", "payload", url_key(F.col("url")).alias("key"), of.cast("string").alias("revisit_of"), F.col("page_id").cast("string").alias("capture"))  # texts: pandas has no null integers
 
@@ -170,7 +176,8 @@ def _write_index(root_uri: str):
         directory = zlib.compress(json.dumps(blocks).encode())
         idx.write(directory)
         idx.close()
-        yield pd.DataFrame([(name, at, len(directory), first, last, n)], columns=[c.split()[0] for c in _PARTS.split(", ")])
+        upper = last if len(last) <= CLIP else last[:CLIP] + chr(0x10FFFF)
+        yield pd.DataFrame([(name, at, len(directory), first[:CLIP], upper, n)], columns=[c.split()[0] for c in _PARTS.split(", ")])
 
     return run
 
@@ -181,47 +188,41 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 0)
     folder = folder or f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     rows = plan_revisits(pages, least).select("key", "capture", "url", "payload", "revisit_of")
     lines = materialize(rows.mapInPandas(_write_records(folder), _LINES), "captures")
-    by_key = lines.repartitionByRange(bucket_count(lines, PART_LINES), "key", "capture").sortWithinPartitions("key", "capture")
+    by_key = lines.repartitionByRange(min(MAX_PARTS, bucket_count(lines, PART_LINES)), "key", "capture").sortWithinPartitions("key", "capture")
     return materialize(by_key.mapInPandas(_write_index(folder), _PARTS), "parts")
 
 
+def _range(f, at: int, size: int) -> bytes:
+    f.seek(at)
+    return f.read(size)
+
+
 class _Part:
-    """Range reads of one part and of the archives it names, of which some stay open."""
+    """One index file: its directory, and the block read last."""
 
     def __init__(self, store, row: dict) -> None:
-        self.store, self.open, self.idx = store, {}, store.open_input_file(row["idx"])
-        self.blocks = json.loads(zlib.decompress(self.read(self.idx, row["at"], row["size"])))
+        self.idx = store.open_input_file(row["idx"])
+        self.blocks = json.loads(zlib.decompress(_range(self.idx, row["at"], row["size"])))
         self.firsts = [b[0] for b in self.blocks]
+        self.held: tuple[int, list[list], list[str]] = (-1, [], [])
 
-    @staticmethod
-    def read(f, at: int, size: int) -> bytes:
-        f.seek(at)
-        return f.read(size)
-
-    def lines(self, k: int) -> list[list]:
-        _, at, size = self.blocks[k]
-        return [json.loads(x) for x in zlib.decompress(self.read(self.idx, at, size)).decode().split("\n")]
-
-    def capture(self, line: list) -> dict:
-        if line[3] not in self.open:
-            if len(self.open) >= 64:
-                self.open.pop(next(iter(self.open))).close()
-            self.open[line[3]] = self.store.open_input_file(line[3])
-        return parse(self.read(self.open[line[3]], line[4], line[5])) | {"url": line[2]}
+    def block(self, k: int) -> tuple[list[list], list[str]]:
+        if self.held[0] != k:
+            _, at, size = self.blocks[k]
+            lines = [json.loads(x) for x in zlib.decompress(_range(self.idx, at, size)).decode().split("\n")]
+            self.held = k, lines, [x[0] for x in lines]
+        return self.held[1:]
 
     def find(self, key: str) -> Iterator[list]:
-        k = max(0, bisect_right(self.firsts, key) - 1)
-        while k > 0 and self.firsts[k] == key:  # lines of one key may fill several blocks
-            k -= 1
+        """Lists of lines of the key."""
+        k = max(0, bisect_left(self.firsts, key) - 1)  # the block before the first that begins with key may end with it
         while k < len(self.blocks) and self.firsts[k] <= key:
-            lines = self.lines(k)
-            keys = [x[0] for x in lines]
-            yield from lines[bisect_right(keys, key) - keys.count(key) : bisect_right(keys, key)]
+            lines, keys = self.block(k)
+            yield lines[bisect_left(keys, key) : bisect_right(keys, key)]
             k += 1
 
     def close(self) -> None:
-        for f in (*self.open.values(), self.idx):
-            f.close()
+        self.idx.close()
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -230,11 +231,16 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return out.astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
 
 
-def read_archives(parts: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:
-    """All captures, read back through the index: blocks in order, then a range read for each line."""
-    spark = parts.sparkSession
-    root = folder or shared_dir(spark)
-    n = bucket_count(parts, 1)
+_FOUND = "url string, warc string, at bigint, size bigint"
+
+
+def _lines_frame(lines: list[list]) -> pd.DataFrame:
+    return pd.DataFrame([x[2:] for x in lines], columns=["url", "warc", "at", "size"])
+
+
+def scan_index(parts: DataFrame, folder: str | None = None) -> DataFrame:
+    """The lines of all captures, blocks in order."""
+    root = folder or shared_dir(parts.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _file_system(root)
@@ -242,23 +248,17 @@ def read_archives(parts: DataFrame, folder: str | None = None, payloads: bool =
             for row in f.to_dict("records"):
                 part = _Part(store, row)
                 for k in range(len(part.blocks)):
-                    rows = [part.capture(x) for x in part.lines(k)]
-                    yield _frame(rows if payloads else [r | {"payload": None} for r in rows])
+                    yield _lines_frame(part.block(k)[0])
                 part.close()
 
-    return parts.repartition(n, "idx").mapInPandas(run, _ROWS)
-
+    return parts.repartition(bucket_count(parts, 1), "idx").mapInPandas(run, _FOUND)
 
-def lookup(parts: DataFrame, urls: DataFrame, folder: str | None = None) -> DataFrame:
-    """Captures of the given urls (column url), with the columns of read_archives.
 
-    Every task gets the parts' key ranges (one row per file; under 64 MB for a million files) and finds a url's
-    parts by binary search; the urls of a part then meet in one place for their range reads.
-    """
+def locate(parts: DataFrame, keys: DataFrame, folder: str | None = None) -> DataFrame:
+    """The lines of the captures with the given keys (column key, distinct), by binary search at both levels."""
     spark = parts.sparkSession
     root = folder or shared_dir(spark)
-    rows = sorted((r["last"], r["first"], tuple(r)) for r in parts.toLocalIterator())
-    names = parts.columns
+    rows = sorted((r["last"], r["first"], r["idx"], r["at"], r["size"]) for r in parts.collect())  # at most MAX_PARTS
     table = spark.sparkContext.broadcast(rows)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,25 +266,79 @@ def lookup(parts: DataFrame, urls: DataFrame, folder: str | None = None) -> Data
         for f in frames:
             out = []
             for key in f["key"]:
-                k = bisect_right(lasts, key)
-                while k > 0 and lasts[k - 1] == key:
-                    k -= 1
+                k = bisect_left(lasts, key)
                 while k < len(lasts) and table.value[k][1] <= key:
                     out.append((k, key))
                     k += 1
             yield pd.DataFrame(out, columns=["part", "key"])
 
-    def read(asked: pd.DataFrame) -> pd.DataFrame:
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = _file_system(root)
+        part, number = None, -1
+        for f in frames:
+            found: list[list] = []
+            for k, key in zip(f["part"], f["key"], strict=True):
+                if k != number:
+                    if part is not None:
+                        part.close()
+                    number, row = k, table.value[k]
+                    part = _Part(store, {"idx": row[2], "at": row[3], "size": row[4]})
+                for lines in part.find(key):
+                    found += lines
+                    if len(found) >= 5000:
+                        yield _lines_frame(found)
+                        found = []
+            yield _lines_frame(found)
+        if part is not None:
+            part.close()
+
+    asked = keys.mapInPandas(place, "part int, key string").repartition(max(1, min(len(rows), 1 << 13)), "part").sortWithinPartitions("part", "key")
+    return asked.mapInPandas(search, _FOUND)
+
+
+def fetch(lines: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:
+    """The records that lines name, read in the order in which they lie in the archives."""
+    root = folder or shared_dir(lines.sparkSession)
+    ranges = bucket_count(lines, RANGE_BYTES, F.col("size"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = _file_system(root)
-        part = _Part(store, dict(zip(names, table.value[int(asked["part"].iloc[0])][2], strict=True)))
-        out = [part.capture(x) for key in sorted(set(asked["key"])) for x in part.find(key)]
-        part.close()
-        return _frame(out)
+        name, f = None, None
+        for batch in frames:
+            rows = list(batch[["warc", "at", "size", "url"]].itertuples(index=False, name=None))
+            k = 0
+            while k < len(rows):
+                if rows[k][0] != name:
+                    if f is not None:
+                        f.close()
+                    name, f = rows[k][0], store.open_input_file(rows[k][0])
+                first, end, z = rows[k][1], rows[k][1] + rows[k][2], k + 1
+                while z < len(rows) and rows[z][0] == name and rows[z][1] == end and end - first < READ_BYTES:
+                    end += rows[z][2]
+                    z += 1
+                raw = _range(f, first, end - first)
+                found = [parse(raw[at - first : at - first + size]) | {"url": url} for _, at, size, url in rows[k:z]]
+                yield _frame(found if payloads else [x | {"payload": None} for x in found])
+                k = z
+        if f is not None:
+            f.close()
+
+    by = F.floor(F.col("at") / RANGE_BYTES)
+    return lines.repartition(ranges, "warc", by).sortWithinPartitions("warc", "at").mapInPandas(run, _ROWS)
+
+
+def read_archives(parts: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:
+    """All captures: every index block, then every record."""
+    return fetch(materialize(scan_index(parts, folder), "lines"), folder, payloads)
+
 
+def lookup(parts: DataFrame, urls: DataFrame, folder: str | None = None, payloads: bool = True) -> DataFrame:
+    """Captures of the given urls (column url), with the columns of read_archives."""
     keys = urls.select(url_key(F.col("url")).alias("key")).distinct()
-    return keys.mapInPandas(place, "part int, key string").groupBy("part").applyInPandas(read, _ROWS)
+    return fetch(materialize(locate(parts, keys, folder), "lines"), folder, payloads)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return read_archives(parts, payloads=False).drop("payload", "url")
+    """Writes all pages, then looks the url of every page up in the index and reads what was archived for it."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return lookup(write_archives(pages), pages, payloads=False).drop("payload", "url")

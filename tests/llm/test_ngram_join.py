@@ -1,7 +1,8 @@
 """The n-gram join against all pairs, with copies, chains, large buckets and odd rows."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import combinations
 
 from scanframe.llm import ngram_join
 
@@ -50,3 +51,19 @@ def test_empty_and_repeated_rows(spark):
     assert ngram_join.ngram_join(table(spark, [])).count() == 0
     got = ngram_join.ngram_join(table(spark, [(1, "a b c d e f")] * 3)).collect()
     assert [(r.class_id, r.n_links, r.n_class_links) for r in got] == [(1, 2, 0)] * 3
+
+
+def test_recall_on_a_whole_table(spark):
+    """All pairs of sf0.01 that share a shingle, counted through an inverted list: every link of 0.8 or more is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset() for i, w in rows}
+    having = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            having[g].append(i)
+    common = Counter((a, b) for ids in having.values() for a, b in combinations(sorted(ids), 2))
+    links = Counter(i for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) - 1e-9 for i in (a, b))
+    found = {r.doc_id: r.n_links for r in ngram_join.ngram_join(docs).collect()}
+    assert sum(links.values()) > 50 and sum(found.values()) >= 0.999 * sum(links.values())
+    assert all(found[i] <= links[i] for i in found)
