@@ -33,10 +33,14 @@ def bids_entities(name: Column) -> Column:
         F.when(F.contains(p, F.lit("-")), F.substring_index(p, "-", 1)).otherwise("suffix").alias("key"),
         F.when(F.contains(p, F.lit("-")), F.expr("null").cast("string")).otherwise(p).alias("bare"), p.alias("part"),
     )
-    parts = F.transform(F.split(stem, "_"), pair)
     value = lambda e: F.coalesce(e["bare"], F.substring(e["part"], F.length(e["key"]) + 2, F.length(e["part"])))
-    last = F.filter(parts, lambda e, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], value(e))))
+
+    def entries(parts: Column) -> Column:
+        last = F.filter(parts, lambda e, i: ~F.exists(F.slice(parts, i + 2, F.size(parts)), lambda later: later["key"] == e["key"]))
+        return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], value(e))))
+
+    # The parts are an element of an array of one, so that every use of them in entries is one variable: the name is split once.
+    return F.get(F.transform(F.array(F.transform(F.split(stem, "_"), pair)), entries), F.lit(0))
 
 
 def _tags(entities: Column, order: tuple[str, ...]) -> Column:
@@ -99,10 +103,11 @@ def strip_prefixes(key: Column, prefixes: tuple[str, ...] = ("module.", "_orig_m
 
 
 def parse_enabled(text: Column) -> Column:
+    """Missing and empty cells count as enabled; what is neither yes nor no is an error."""
     low = F.lower(F.trim(text))
     return (
-        F.when(low.isin("1", "true", "yes", "y", "on"), True)
-        .when(low.isin("0", "false", "no", "n", "off", ""), False)
+        F.when(text.isNull() | low.isin("", "1", "true", "yes", "y"), True)
+        .when(low.isin("0", "false", "no", "n"), False)
         .otherwise(F.raise_error(F.concat(F.lit("not a truth value: "), low)).cast("boolean"))
     )
 

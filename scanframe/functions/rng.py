@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import Column
@@ -41,3 +42,12 @@ def normal(seed: int, tag: str, *ids: Column | str) -> Column:
 def hash_order(seed: int, tag: str, *ids: Column | str) -> Column:
     """A sort key that shuffles rows: the md5 text itself, so that ties do not occur between different ids."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), *[(F.col(i) if isinstance(i, str) else i).cast("string") for i in ids]).cast("binary"))
+
+
+def host(seed: int, tag: str, *ids: int) -> float:
+    """The draw of uniform() for known ids, for code that works on one whole volume."""
+    return int(hashlib.md5(":".join(map(str, (seed, tag, *ids))).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def host_between(lo: float, hi: float, *args) -> float:
+    return lo + (hi - lo) * host(*args)

@@ -7,10 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanframe.functions import names as N
+from scanframe.session import materialize
 
 
 def with_entities(paths: DataFrame) -> DataFrame:
-    return paths.withColumn("entities", N.bids_entities(N.file_name(F.col("path"))))
+    """Adds the map entities, by a generator of one row: filters and tags read the map and never parse the name again."""
+    return paths.withColumn("entities", F.explode(F.array(N.bids_entities(N.file_name(F.col("path"))))))
 
 
 def discover_scans(paths: DataFrame, masks: DataFrame | None, magnitude_only: bool = True, echoes: list[str] | None = None) -> DataFrame:
@@ -61,8 +63,6 @@ def position(d: DataFrame, order: list[str], name: str) -> DataFrame:
     counted per partition, and numbered from the partition's offset."""
     s = d.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     s = s.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    from scanframe.session import materialize
-
     s = materialize(s, "positions")  # range bounds are sampled; a table keeps one answer
     n = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = n.withColumn("_before", F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).drop("_n")  # a row per partition

@@ -6,6 +6,7 @@ size of one scan or of one group's sample.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,16 @@ def moments(d: DataFrame, vector: str = "vec", where: str | None = None) -> tupl
         if n:
             yield pd.DataFrame({"n": [n], "s": [s], "q": [q.ravel()]})
 
-    n, s, q = 0, 0.0, 0.0
-    for r in rows.select(vector).mapInPandas(run, "n bigint, s array<double>, q array<double>").toLocalIterator():
-        n, s, q = n + r["n"], s + np.array(r["s"]), q + np.array(r["q"])
-    if not n:
+    parts = rows.select(vector).mapInPandas(run, "n bigint, s array<double>, q array<double>")
+    # element by element, summed map-side before the one row of sums is made
+    each = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "q")).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    one = each.agg(F.array_sort(F.collect_list(F.struct("at", "x")))["x"].alias("all")).first()["all"]
+    if not one:
         raise ValueError("no rows to take moments of")
+    size = int((math.isqrt(4 * len(one) - 3) - 1) // 2)  # 1 + d + d * d numbers
+    n, s, q = int(one[0]), np.array(one[1 : size + 1]), np.array(one[size + 1 :])
     mean = s / n
-    return n, mean, q.reshape(len(mean), -1) / n - np.outer(mean, mean)
+    return n, mean, q.reshape(size, size) / n - np.outer(mean, mean)
 
 
 class Pca:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scanframe.operators.neighbors import euclidean, knn, within
+from scanframe.operators.neighbors import knn, within
 from scanframe.session import materialize
 
 FRACTIONS = (0.25, 0.5, 1.0, 2.0, 4.0)
@@ -77,8 +77,7 @@ def against_groups(d: DataFrame, by: list[str]) -> DataFrame:
     """Every generated row against every group of real rows: distance to the group, ind, normalised distance."""
     real, synth = split(d)
     groups = self_distances(real, by)
-    each = synth.select("vec_id", "vec").join(F.broadcast(groups.select(*by)))  # the list of groups, not their rows
-    near = knn(each, real, "vec_id", "vec", 1, by).select(*by, F.col("q").alias("vec_id"), "dist")
+    near = knn(synth, real, "vec_id", "vec", 1, by, across=True).select(*by, F.col("q").alias("vec_id"), "dist")
     return near.join(groups, by).withColumns({"ind": F.col("dist") <= F.col("p95_nn"), "norm": F.col("dist") / F.greatest("median_nn", F.lit(1e-8))})
 
 
@@ -109,12 +108,25 @@ def prdc(d: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("density", F.col("_dense") / F.col("k")).drop("_dense")
 
 
+def centroids(d: DataFrame, by: list[str]) -> DataFrame:
+    """by, c (a number for the group) and vec: the mean vector of each group."""
+    c = d.select(*by, F.posexplode("vec").alias("dim", "v")).groupBy(*by, "dim").agg(F.avg("v").alias("v"))
+    c = c.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda e: e["v"]).alias("vec"))
+    return c.select(*by, F.xxhash64(*by).alias("c"), "vec")
+
+
 def nearest_centroid(d: DataFrame, label: str) -> DataFrame:
-    """vec_id, nearest and dist: centroids are a row per class and go to every task."""
-    c = d.select(label, F.posexplode("vec").alias("dim", "v")).groupBy(label, "dim").agg(F.avg("v").alias("v"))
-    c = c.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("c")).select(F.col(label).alias("nearest"), F.transform("c", lambda e: e["v"]).alias("centroid"))
-    j = d.select("vec_id", "vec").join(F.broadcast(c)).withColumn("dist", euclidean(F.col("vec"), F.col("centroid")))
-    return j.groupBy("vec_id").agg(F.min_by("nearest", F.struct("dist", "nearest")).alias("nearest"), F.min("dist").alias("dist"))
+    """vec_id, nearest and dist: centroids are the base of a neighbour search in blocks."""
+    c = materialize(centroids(d, [label]), "centroids")
+    near = knn(d.select(F.col("vec_id").alias("c"), "vec"), c.select("c", "vec"), "c", "vec", 1)
+    return near.join(c.select(F.col("c").alias("b"), F.col(label).alias("nearest")), "b").select(F.col("q").alias("vec_id"), "nearest", "dist")
+
+
+def nearest_to_centroids(d: DataFrame, candidates: DataFrame, by: list[str], k: int) -> DataFrame:
+    """by, vec_id, dist, rank: the k candidates nearest to each group's centroid."""
+    c = materialize(centroids(d, by), "centroids")
+    near = knn(c.select("c", "vec"), candidates.select(F.col("vec_id").alias("c"), "vec"), "c", "vec", k)
+    return near.join(c.select(F.col("c").alias("q"), *by), "q").select(*by, F.col("b").alias("vec_id"), "dist", "rank")
 
 
 def outliers(d: DataFrame, limit: float) -> DataFrame:

@@ -1,8 +1,12 @@
 """Exact nearest neighbours in blocks.
 
-Both sides are packed into blocks of some hundred vectors per group. Pairs of blocks, not of rows, are joined; a pair
+Both sides are packed into blocks of some hundred vectors per group. Pairs of blocks, not of rows, are compared; a pair
 is one matrix product in NumPy that gives each query its k best in that block. The k best over all blocks come
 from a second, small ranking. Distances are taken in double precision from differences, so equal vectors are at 0.
+
+The pairs of a group are dealt over cells of SIDE x SIDE blocks: a query block goes to one row of cells and a base block to one
+column, so a group of any size is compared in many tasks, and a block is copied once for SIDE blocks of the other side.
+Without groups, and where queries belong to none, all base blocks are dealt the same way.
 """
 
 from __future__ import annotations
@@ -11,59 +15,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 512
+SIDE = 8
+
+
+def _counted(d: DataFrame, by: list[str], name: str) -> DataFrame:
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
 
 
 def pack(d: DataFrame, id_col: str, vector: str, by: list[str], prefix: str, block: int = BLOCK) -> DataFrame:
-    """One row per block: group, ids and the vectors end to end."""
-    n = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else d.agg(F.count(F.lit(1)).alias("_n"))
-    j = d.join(n, by) if by else d.crossJoin(F.broadcast(n))  # one row
+    """One row per block: group, ids and the vectors end to end. by names a column at least."""
+    j = d.join(_counted(d, by, "_n"), by)
     part = F.pmod(F.xxhash64(id_col), F.greatest(F.lit(1), F.ceil(F.col("_n") / block)))
     g = j.groupBy(*by, part.alias("_part")).agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vector).alias("v"))).alias("_rows"))
     return g.select(*by, F.col("_rows")["i"].alias(f"{prefix}_ids"), F.flatten(F.col("_rows")["v"]).alias(f"{prefix}_vecs"))
 
 
-def knn(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int, by: list[str] | None = None, exclude_self: bool = False) -> DataFrame:
-    """by, q, b, dist, rank (1..k): the k nearest base rows of each query within its group; ties by id."""
+def _pairs(queries: DataFrame, base: DataFrame, id_col: str, q_vector: str, b_vector: str, by: list[str]) -> DataFrame:
+    """Every pair of a query block and a base block of a group, dealt by cells."""
+    cells = _counted(queries, by, "_nq").join(_counted(base, by, "_nb"), by)
+    side = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / (BLOCK * SIDE))).cast("int")
+    cells = cells.select(*by, side("_nq").alias("_rows"), side("_nb").alias("_cols"))
+    q = pack(queries.select(*by, id_col, q_vector), id_col, q_vector, by, "q").join(cells, by)
+    b = pack(base.select(*by, id_col, b_vector), id_col, b_vector, by, "b").join(cells, by)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.select(*by, "q_ids", "q_vecs", F.pmod(F.xxhash64("q_ids"), "_rows").cast("int").alias("_row"), all_of("_cols").alias("_col"))
+    b = b.select(*by, "b_ids", "b_vecs", F.pmod(F.xxhash64("b_ids"), "_cols").cast("int").alias("_col"), all_of("_rows").alias("_row"))
+    return q.join(b, [*by, "_row", "_col"])
+
+
+def knn(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int, by: list[str] | None = None, exclude_self: bool = False, across: bool = False) -> DataFrame:
+    """by, q, b, dist, rank (1..k): the k nearest base rows of each query within its group; ties by id. With across, queries
+    have no group and each is compared with every group of base, whose columns by names."""
     by = by or []
-    key = by or ["_all"]
-    q = queries if by else queries.withColumn("_all", F.lit(0))
-    b = base if by else base.withColumn("_all", F.lit(0))
-    pairs = pack(q.select(*key, id_col, vector), id_col, vector, key, "q").join(pack(b.select(*key, id_col, vector), id_col, vector, key, "b"), key)
+    own = [] if across else by
+    carried = [c for c in by if c not in own]
+    if carried:  # the group of a base row is part of its id until the blocks are compared
+        names = base.select(*carried).distinct().withColumn("_group", F.xxhash64(*carried))
+        base = base.withColumn("_group", F.xxhash64(*carried))
+    one = lambda d: d if own else d.withColumn("_all", F.lit(0))
+    key = own or ["_all"]
+    if not carried:
+        pairs = _pairs(one(queries), one(base), id_col, vector, vector, key)
+    else:
+        tagged = base.withColumn("_tag", F.concat(F.col(vector).cast("array<double>"), F.transform(F.array(F.shiftrightunsigned("_group", 32), F.col("_group").bitwiseAND(F.lit(0xFFFFFFFF))), lambda x: x.cast("double"))))
+        pairs = _pairs(one(queries), one(tagged), id_col, vector, "_tag", key)
     types = dict(pairs.dtypes)
+    group = ["_group"] if carried else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.to_dict("records"):
                 qi, bi = np.asarray(r["q_ids"], np.int64), np.asarray(r["b_ids"], np.int64)
                 x, y = np.asarray(r["q_vecs"], float).reshape(len(qi), -1), np.asarray(r["b_vecs"], float).reshape(len(bi), -1)
+                tag = np.zeros(len(bi), np.int64)
+                if carried:
+                    high, low = y[:, -2].astype(np.uint64), y[:, -1].astype(np.uint64)
+                    tag, y = ((high << np.uint64(32)) | low).view(np.int64), y[:, :-2]
                 order = np.argsort(bi)
-                bi, y = bi[order], y[order]
-                dist = np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x]))
-                if exclude_self:
-                    dist[qi[:, None] == bi[None, :]] = np.inf
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(dist, best, axis=1)
-                ok = np.isfinite(d)
-                rows = np.repeat(np.arange(len(qi)), best.shape[1])[ok.ravel()]
-                yield pd.DataFrame({**{c: [r[c]] * len(rows) for c in key}, "q": qi[rows], "b": bi[best.ravel()[ok.ravel()]], "dist": d.ravel()[ok.ravel()]})
-
-    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["q bigint", "b bigint", "dist double"])
-    near = pairs.repartition(*key, F.xxhash64("q_ids")).mapInPandas(run, schema)
-    w = W.partitionBy(*key, "q").orderBy("dist", "b")  # k rows per block
+                bi, y, tag = bi[order], y[order], tag[order]
+                for g in np.unique(tag):
+                    at = tag == g
+                    dist = np.sqrt(np.stack([((y[at] - row) ** 2).sum(axis=1) for row in x]))
+                    if exclude_self:
+                        dist[qi[:, None] == bi[at][None, :]] = np.inf
+                    best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                    d = np.take_along_axis(dist, best, axis=1)
+                    ok = np.isfinite(d)
+                    rows = np.repeat(np.arange(len(qi)), best.shape[1])[ok.ravel()]
+                    named = {c: [r[c]] * len(rows) for c in key} | ({"_group": np.full(len(rows), g)} if carried else {})
+                    yield pd.DataFrame({**named, "q": qi[rows], "b": bi[at][best.ravel()[ok.ravel()]], "dist": d.ravel()[ok.ravel()]})
+
+    schema = ", ".join([f"{c} {types[c]}" for c in key] + ["_group bigint"] * bool(carried) + ["q bigint", "b bigint", "dist double"])
+    near = pairs.mapInPandas(run, schema)
+    w = W.partitionBy(*key, *group, "q").orderBy("dist", "b")  # k rows per block
     out = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out if by else out.drop("_all")
+    out = out if own else out.drop("_all")
+    return out.join(names, "_group").drop("_group") if carried else out
 
 
 def within(queries: DataFrame, base: DataFrame, id_col: str, vector: str, radius: str, by: list[str]) -> DataFrame:
     """by, q, inside: number of base rows nearer to the query than their own radius (a column of base)."""
-    q = pack(queries, id_col, vector, by, "q")
-    b = pack(base.withColumn("_vr", F.concat(F.col(vector).cast("array<double>"), F.array(radius))), id_col, "_vr", by, "b")
-    pairs = q.join(b, by)
+    pairs = _pairs(queries, base.withColumn("_vr", F.concat(F.col(vector).cast("array<double>"), F.array(radius))), id_col, vector, "_vr", by)
     types = dict(pairs.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +113,3 @@ def within(queries: DataFrame, base: DataFrame, id_col: str, vector: str, radius
 
     schema = ", ".join([f"{c} {types[c]}" for c in by] + ["q bigint", "inside bigint"])
     return pairs.mapInPandas(run, schema).groupBy(*by, "q").agg(F.sum("inside").alias("inside"))
-
-
-def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))

@@ -1,8 +1,8 @@
 """Region-wise intensity remaps of volumes, with hash draws.
 
 A generator cuts the foreground of every volume into regions (value chunks, one-dimensional clusters, nearest-seed
-cells or labels), draws parameters per region and remaps values. Parameters are functions of (seed, tag, vol, region),
-so no parameter table is joined; only region means are. Background stays 0.
+cells or labels), draws parameters per region and remaps values. Parameters are functions of (seed, tag, vol, region);
+they are drawn once a region, beside its mean, and joined to the voxels. Background stays 0.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanframe.functions import rng
+from scanframe.operators import volume as V
 from scanframe.operators import windows as Wn
 from scanframe.operators.sampling import hash_sample
 from scanframe.session import materialize
@@ -94,11 +95,14 @@ def signed(seed: int, tag: str, *ids) -> Column:
     return rng.between(0.5, 2.0, seed, tag, *ids) * F.when(rng.uniform(seed, tag + "s", *ids) > 0.5, 1.0).otherwise(-1.0)
 
 
-def affine_by_region(d: DataFrame, mu: Column, alpha: Column, dark: float = DARK) -> DataFrame:
-    """g = mu + alpha * (v - mean of v in the region's foreground)."""
+def affine_by_region(d: DataFrame, mu: Column, alpha: Column, dark: float = DARK, needs: tuple[str, ...] = ()) -> DataFrame:
+    """g = mu + alpha * (v - mean of v in the region's foreground). mu and alpha are computed once a region, from vol, region and the
+    columns that needs names, which are equal throughout a region."""
     fg = foreground(dark)
-    means = d.groupBy("vol", "region").agg((F.sum(F.when(fg, F.col("v")).otherwise(0.0)) / F.greatest(F.count_if(fg), F.lit(1))).alias("_m"))
-    return d.join(means, ["vol", "region"]).withColumn("g", F.when(fg, mu + alpha * (F.col("v") - F.col("_m"))).otherwise(0.0)).drop("_m")
+    mean = F.sum(F.when(fg, F.col("v")).otherwise(0.0)) / F.greatest(F.count_if(fg), F.lit(1))
+    means = d.groupBy("vol", "region").agg(mean.alias("_m"), *[F.first(c).alias(c) for c in needs])
+    drawn = means.select("vol", "region", "_m", mu.alias("_mu"), alpha.cast("double").alias("_al"))
+    return d.join(drawn, ["vol", "region"]).withColumn("g", F.when(fg, F.col("_mu") + F.col("_al") * (F.col("v") - F.col("_m"))).otherwise(0.0)).drop("_m", "_mu", "_al")
 
 
 def chunks_remap(d: DataFrame, ks: list[int], seed: int, edges: str = "quantile", mode: str = "affine", mu: tuple[float, float] = (0.0, 1.0), alpha: tuple[float, float] = (0.5, 2.0), order: str | None = None, dark: float = DARK) -> DataFrame:
@@ -120,7 +124,7 @@ def chunks_remap(d: DataFrame, ks: list[int], seed: int, edges: str = "quantile"
         m = F.lit(mu[0]) + (mu[1] - mu[0]) * F.get(ranked, F.col("region"))["u"]
     if mode == "constant":
         return j.withColumn("g", F.when(foreground(dark), m).otherwise(0.0)).drop("edges", "k")
-    return affine_by_region(j, m, rng.between(*alpha, seed, "alpha", "vol", "region"), dark).drop("edges", "k")
+    return affine_by_region(j, m, rng.between(*alpha, seed, "alpha", "vol", "region"), dark, ("k",)).drop("edges", "k")
 
 
 def kmeans_1d(d: DataFrame, cs: list[int], seed: int, iterations: int = 10, sample: int = 10_000, dark: float = DARK) -> DataFrame:
@@ -186,21 +190,21 @@ VERSIONS = {
     "v26_2": Version(skip_all=0.3, sign=False, normalise=False),
     "v26_3": Version(sign=False),
     "v26_4": Version(sign=False),
-    "v26_5": Version(sign=False, mu="ordered"),
+    "v26_5": Version(sign=False, mu="polar"),
     "v26_6": Version(),
     "v26_7": Version(constant=1.0),
     "v26_8": Version(post="invert"),
     "v26_9": Version(post="gamma"),
     "v26_10": Version(post="noise"),
-    "v26_11": Version(cs=_MANY, cells=False),
-    "v26_12": Version(mu="stratified"),
-    "v26_13": Version(cs=_MANY, cells=False, mu="stratified"),
-    "v26_14": Version(constant=0.4),
+    "v26_11": Version(skip_all=0.05, cs=_MANY, cells=False),
+    "v26_12": Version(skip_all=0.05, mu="stratified"),
+    "v26_13": Version(skip_all=0.05, cs=_MANY, cells=False, mu="stratified"),
+    "v26_14": Version(skip_all=0.05, mu="class", constant=0.4),
     "v26_15": Version(passes=2),
     "v28_1": Version(post="rician"),
     "v28_2": Version(),
     "v28_3": Version(post="dropout"),
-    "v28_4": Version(),
+    "v28_4": Version(post="dropout"),
 }
 
 
@@ -211,55 +215,88 @@ def _post(d: DataFrame, kind: str, seed: int, dark: float) -> DataFrame:
     elif kind == "gamma":
         new = F.pow(y, rng.log_uniform(0.25, 4.0, seed, "gamma", "vol"))
     elif kind == "noise":
-        new = clamp01(y + rng.between(0.05, 0.25, seed, "sd", "vol") * rng.normal(seed, "n", "vol", "i"))
+        d = fractal_noise(d, seed)
+        new = clamp01(y + rng.between(0.05, 0.25, seed, "sd", "vol") * F.col("noise"))
     elif kind == "rician":
         sd = rng.between(0.0, 0.12, seed, "sd", "vol")
         new = F.sqrt((y + sd * rng.normal(seed, "n1", "vol", "i")) ** 2 + (sd * rng.normal(seed, "n2", "vol", "i")) ** 2)
-    else:  # signal falls off towards one end of the z axis
-        top = d.groupBy("vol").agg(F.max("z").alias("_top"))
-        d = d.join(top, "vol")
-        fall = 1 / (1 + F.exp(-12 * (F.col("z") / F.greatest(F.col("_top"), F.lit(1)) - rng.between(0.1, 0.4, seed, "at", "vol"))))
-        new = F.when(rng.gate(0.7, seed, "drop", "vol"), y * (1 - 0.8 * rng.uniform(seed, "amount", "vol") * (1 - fall))).otherwise(y)
-    d = d.withColumn("g", F.when(fg, new).otherwise(0.0)).drop("_top")
+    else:  # signal lost at the low end of z and, less, at both ends of x
+        far = d.groupBy("vol").agg(F.max("z").alias("_z"), F.max("x").alias("_x"))
+        d = d.join(far, "vol")
+        share = lambda a: F.col(a) / F.greatest(F.col(f"_{a}"), F.lit(1))
+        sigmoid = lambda t: 1 / (1 + F.exp(-t))
+        lost = 0.75 * sigmoid(-30 * (share("z") - 0.30)) + 0.25 * sigmoid(25 * (F.abs(share("x") - 0.5) - 0.38))
+        lost = clamp01(lost) * rng.between(0.0, 0.80, seed, "amount", "vol")
+        new = F.when(rng.gate(0.7, seed, "drop", "vol"), y * (1 - lost)).otherwise(y)
+    d = d.withColumn("g", F.when(fg, new).otherwise(0.0)).drop("_z", "_x", "noise")
     return minmax(d, "g", dark) if kind == "rician" else d
 
 
+def _regions(d: DataFrame, o: Version, seed: int, dark: float, centres: DataFrame | None = None) -> DataFrame:
+    """Adds c, whole (the volume is one region), klass (its cluster, 0 if whole) and region."""
+    centres = kmeans_1d(d, list(o.cs), seed, dark=dark) if centres is None else centres
+    j = d.join(centres, "vol").withColumn("cluster", cluster_of(F.col("v"), F.col("centroids")))
+    j = voronoi(j, list(o.ss), seed, o.skip_cells, dark) if o.cells else j.withColumn("cell", F.lit(0))
+    j = j.withColumn("whole", rng.gate(o.skip_all, seed, "all", "vol")).withColumn("klass", F.when(F.col("whole"), 0).otherwise(F.col("cluster")))
+    j = j.withColumn("region", F.when(F.col("whole"), 0).otherwise(F.col("cluster") * 100 + F.col("cell")))
+    return materialize(j.drop("centroids", "cluster", "cell"), "regions")  # read several times
+
+
+def _remapped(j: DataFrame, o: Version, seed: int, dark: float) -> DataFrame:
+    mu = rng.uniform(seed, "mu", "vol", "region")
+    of_class = rng.uniform(seed, "mu", "vol", "klass")
+    each = lambda tag: F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: F.struct(rng.uniform(seed, tag, F.col("vol"), i).alias("u"), i.alias("i")))
+    if o.mu == "class":
+        mu = of_class
+    elif o.mu == "polar":  # clusters share a value; in half of the volumes the values fall with the centroids
+        fall = F.get(F.sort_array(each("mu"), asc=False), F.col("klass"))["u"]
+        mu = F.when(~F.col("whole") & rng.gate(0.5, seed, "anti", "vol"), fall).otherwise(of_class)
+    elif o.mu == "stratified":  # one band of [0, 1] for each cluster, in drawn order
+        mu = F.when(F.col("whole"), of_class).otherwise((F.get(F.array_sort(each("band")), F.col("klass"))["i"] + of_class) / F.col("c"))
+    alpha = signed(seed, "alpha", "vol", "region") if o.sign else rng.between(0.5, 2.0, seed, "alpha", "vol", "region")
+    if o.constant:
+        flat = rng.gate(o.constant, seed, "const", "vol", "klass") & (F.lit(o.constant >= 1) | ~F.col("whole"))
+        alpha = F.when(flat, 0.0).otherwise(alpha)
+    return materialize(affine_by_region(j, mu, alpha, dark, ("c", "whole", "klass")).drop("c", "whole", "klass", "region"), "remapped")
+
+
 def parcellation_remap(d: DataFrame, version: str, seed: int = 42, dark: float = DARK) -> DataFrame:
-    """g for every voxel by a clustering generator: clusters of the foreground, cells in them, an affine remap per cell."""
+    """g for every voxel by a clustering generator: clusters of the foreground, cells in them, an affine remap per cell. A second
+    pass takes the first one's result for its input, foreground included."""
     o = VERSIONS[version]
-    for p in range(o.passes):
-        s = seed + p
-        j = d.join(F.broadcast(kmeans_1d(d, list(o.cs), s, dark=dark)), "vol").withColumn("cluster", cluster_of(F.col("v"), F.col("centroids")))
-        j = voronoi(j, list(o.ss), s, o.skip_cells, dark) if o.cells else j.withColumn("cell", F.lit(0))
-        j = j.withColumn("region", F.when(rng.gate(o.skip_all, s, "all", "vol"), 0).otherwise(F.col("cluster") * 100 + F.col("cell")))
-        j = materialize(j, "regions")  # read several times below
-        mu = rng.uniform(s, "mu", "vol", "region")
-        if o.mu == "ordered":  # clusters share a value; it falls with the centroid in half of the volumes
-            rank = F.when(rng.gate(0.5, s, "anti", "vol"), F.col("c") - 1 - F.col("cluster")).otherwise(F.col("cluster"))
-            mu = (rank + rng.uniform(s, "mu", "vol", "cluster")) / F.col("c")
-        elif o.mu == "stratified":  # one band of [0, 1] for each cluster, in drawn order
-            bands = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda i: F.struct(rng.uniform(s, "band", F.col("vol"), i).alias("u"), i.alias("i")))  # noqa: B023
-            mu = (F.get(F.array_sort(bands), F.col("cluster"))["i"] + rng.uniform(s, "mu", "vol", "cluster")) / F.col("c")
-        alpha = signed(s, "alpha", "vol", "region") if o.sign else rng.between(0.5, 2.0, s, "alpha", "vol", "region")
-        if o.constant:
-            alpha = F.when(rng.gate(o.constant, s, "const", "vol", "cluster"), 0.0).otherwise(alpha)
-        j = materialize(affine_by_region(j, mu, alpha, dark), "remapped")
+    j = d.withColumn("_v", F.col("v"))
+    for k in range(o.passes):
+        j = j if k == 0 else j.withColumn("v", F.col("g")).drop("g")
+        j = _remapped(_regions(j, o, seed + k, dark), o, seed + k, dark)
         j = minmax(j, "g", dark) if o.normalise else j
-        j = j.drop("c", "centroids", "cluster", "cell", "region")
-        d = j if p == o.passes - 1 else j.withColumn("v0", F.coalesce(F.col("v0") if "v0" in j.columns else F.col("v"), F.col("v"))).withColumn("v", F.when(foreground(dark), F.greatest(F.col("g"), F.lit(dark * 1.01))).otherwise(0.0)).drop("g")
-    if "v0" in d.columns:
-        d = d.withColumn("v", F.col("v0")).drop("v0")
-    return _post(d, o.post, seed, dark) if o.post else d
+    j = _post(j, o.post, seed, dark) if o.post else j
+    return j.withColumn("v", F.col("_v")).drop("_v")
 
 
-def label_affine(d: DataFrame, seed: int, value: str = "v", p: float = 1.0, least: int = 1, dark: float = DARK) -> DataFrame:
-    """Per label over 0 with enough voxels: a drawn affine remap of value, with probability p; others keep it. Result in g."""
-    fg = foreground(dark) & (F.col("label") > 0)
+def label_texture(d: DataFrame, seed: int, labels: tuple[int, ...] = (1, 2, 3), dark: float = DARK) -> DataFrame:
+    """Eight even chunks remapped about their centres, then with probability one half a label's voxels about the label's mean;
+    normalised. Result in g."""
+    fg = foreground(dark)
+    chunk = F.greatest(F.lit(0), F.least(F.ceil(F.col("v") * 8) - 1, F.lit(7))).cast("int")
+    own = d.withColumn("_c", chunk)
+    base = rng.uniform(seed, "mu", "vol", "_c") + rng.between(0.5, 2.0, seed, "alpha", "vol", "_c") * (F.col("v") - (F.col("_c") + 0.5) / 8)
+    means = d.where(F.col("label").isin(*labels)).groupBy("vol", "label").agg(F.avg("v").alias("_m"))
+    drawn = means.select("vol", "label", "_m", rng.uniform(seed, "lmu", "vol", "label").alias("_mu"), rng.between(0.5, 2.0, seed, "lalpha", "vol", "label").alias("_al"), (rng.uniform(seed, "use", "vol", "label") > 0.5).alias("_use"))
+    j = own.join(drawn, ["vol", "label"], "left")
+    over = F.col("_mu") + F.col("_al") * (F.col("v") - F.col("_m"))
+    return minmax(j.withColumn("g", F.when(fg, F.when(F.col("_use"), over).otherwise(base)).otherwise(0.0)).drop("_c", "_m", "_mu", "_al", "_use"), "g", dark)
+
+
+def label_affine(d: DataFrame, seed: int, value: str = "v", p: float = 1.0, least: int = 1, dark: float = DARK, sign: bool = True, mask: Column | None = None) -> DataFrame:
+    """Per label over 0 with enough voxels: a drawn affine remap of value, with probability p; others keep it. Result in g;
+    a signed remap is clamped."""
+    fg = (foreground(dark) if mask is None else mask) & (F.col("label") > 0)
     s = d.where(fg).groupBy("vol", "label").agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    alpha = signed(seed, "lalpha", "vol", "label") if sign else rng.between(0.5, 2.0, seed, "lalpha", "vol", "label")
+    s = s.select("vol", "label", "_m", "_n", rng.uniform(seed, "lmu", "vol", "label").alias("_mu"), alpha.alias("_al"), rng.gate(p, seed, "use", "vol", "label").alias("_gate"))
     j = d.join(s, ["vol", "label"], "left")
-    use = fg & (F.col("_n") >= least) & rng.gate(p, seed, "use", "vol", "label")
-    new = clamp01(rng.uniform(seed, "lmu", "vol", "label") + signed(seed, "lalpha", "vol", "label") * (F.col(value) - F.col("_m")))
-    return j.withColumn("g", F.when(use, new).when(foreground(dark), F.col(value)).otherwise(0.0)).drop("_m", "_n")
+    new = F.col("_mu") + F.col("_al") * (F.col(value) - F.col("_m"))
+    return j.withColumn("g", F.when(fg & (F.col("_n") >= least) & F.col("_gate"), clamp01(new) if sign else new).otherwise(F.col(value))).drop("_m", "_n", "_mu", "_al", "_gate")
 
 
 def synthseg_labels(d: DataFrame, seed: int, labels: tuple[int, ...] = (1, 2, 3), dark: float = DARK) -> DataFrame:
@@ -268,11 +305,15 @@ def synthseg_labels(d: DataFrame, seed: int, labels: tuple[int, ...] = (1, 2, 3)
     return d.withColumn("g", F.when(F.col("label").isin(*labels) & foreground(dark), draw).when(foreground(dark), F.col("v")).otherwise(0.0))
 
 
-def label_chunks(d: DataFrame, seed: int, k: int = 4, least: int = 100, dark: float = DARK) -> DataFrame:
-    """Per label over 0 of at least so many voxels: k quantile chunks, an affine remap each; normalised. Result in g."""
+def label_chunks(d: DataFrame, seed: int, ks: tuple[int, ...] = (2, 3, 4, 6, 8), least: int = 100, dark: float = DARK) -> DataFrame:
+    """Per label over 0 of at least so many voxels: a drawn number of quantile chunks, an affine remap each; normalised. Result in g."""
     fg = foreground(dark) & (F.col("label") > 0)
-    q = d.where(fg).groupBy("vol", "label").agg(F.percentile("v", F.array(*[F.lit(i / k) for i in range(k + 1)])).alias("_e"), F.count(F.lit(1)).alias("_n"))
-    j = d.join(q, ["vol", "label"], "left").withColumn("_use", F.coalesce(fg & (F.col("_n") >= least), F.lit(False)))
+    most = {n: F.percentile("v", F.array(*[F.lit(i / n) for i in range(n + 1)])).alias(f"_q{n}") for n in ks}
+    q = d.where(fg).groupBy("vol", "label").agg(F.count(F.lit(1)).alias("_n"), *most.values()).withColumn("_k", rng.choice(list(ks), seed, "K", "vol", "label"))
+    edges = F.lit(None).cast("array<double>")
+    for n in ks:
+        edges = F.when(F.col("_k") == n, F.col(f"_q{n}")).otherwise(edges)
+    j = d.join(q.select("vol", "label", "_n", edges.alias("_e")), ["vol", "label"], "left").withColumn("_use", F.coalesce(fg & (F.col("_n") >= least), F.lit(False)))
     j = j.withColumn("region", F.when(F.col("_use"), F.col("label") * 100 + chunk_of(F.col("v"), F.col("_e"))).otherwise(-1))
     j = affine_by_region(j, rng.uniform(seed, "mu", "vol", "region"), rng.between(0.5, 2.0, seed, "alpha", "vol", "region"), dark)
     j = j.withColumn("g", F.when(F.col("_use"), F.col("g")).when(foreground(dark), F.col("v")).otherwise(0.0))
@@ -291,29 +332,77 @@ def knot_map(d: DataFrame, seed: int, adaptive: bool, dark: float = DARK) -> Dat
     return d.withColumn("g", F.when(foreground(dark), interp(F.col("v"), xs, ys)).otherwise(0.0)).drop("_x")
 
 
-def ellipsoids(d: DataFrame, seed: int, ks: list[int], n: int = 3, dark: float = DARK) -> DataFrame:
-    """Up to n drawn ellipsoids, each with a chunk remap of its own over that of the rest. Result in g."""
-    top = d.groupBy("vol").agg(*[F.max(a).alias(f"_m{a}") for a in Wn.AXES])
-    out = chunks_remap(d, ks, seed, edges="uniform", dark=dark).drop("region")
+def ellipsoids(d: DataFrame, seed: int, ks: list[int], n: int = 3, radius: tuple[float, float] = (15.0, 80.0), dark: float = DARK) -> DataFrame:
+    """Up to n ellipsoids about drawn foreground voxels, with radii in voxels, each with a chunk remap of its own over that of the
+    rest. Result in g, clamped."""
+    remap = lambda s: minmax(chunks_remap(d, ks, s, edges="uniform", dark=dark), "g", dark)
+    out = remap(seed).drop("region")
     for b in range(n):
-        far = sum((((F.col(a) - rng.uniform(seed, f"e{b}{a}", "vol") * F.col(f"_m{a}")) / F.greatest(rng.between(0.1, 0.5, seed, f"r{b}{a}", "vol") * F.col(f"_m{a}"), F.lit(1.0))) ** 2 for a in Wn.AXES), F.lit(0.0))
-        own = chunks_remap(d, ks, seed + 1 + b, edges="uniform", dark=dark).select("vol", "i", F.col("g").alias("_y"))
+        middle = hash_sample(d.where(foreground(dark)), ["vol"], 1, seed, f"middle{b}", "vol", "i").select("vol", *[F.col(a).alias(f"_m{a}") for a in Wn.AXES])
+        far = sum((((F.col(a) - F.col(f"_m{a}")) / rng.between(*radius, seed, f"r{b}{a}", "vol")) ** 2 for a in Wn.AXES), F.lit(0.0))
         inside = (far <= 1) & (rng.uniform(seed, "blobs", "vol") * (n + 1) > b + 1)
-        out = out.join(top, "vol").join(own, ["vol", "i"]).withColumn("g", F.when(inside, F.col("_y")).otherwise(F.col("g"))).drop("_y", *[f"_m{a}" for a in Wn.AXES])
-    return minmax(out, "g", dark)
+        own = remap(seed + 1 + b).select("vol", "i", F.col("g").alias("_y"))
+        out = out.join(middle, "vol").join(own, ["vol", "i"]).withColumn("g", F.when(inside, F.col("_y")).otherwise(F.col("g"))).drop("_y", *[f"_m{a}" for a in Wn.AXES])
+    return out.withColumn("g", F.when(foreground(dark), clamp01(F.col("g"))).otherwise(0.0))
+
+
+def histogram_peaks(d: DataFrame, bins: int = 64, k: int = 4) -> DataFrame:
+    """centres of each volume: the k highest local maxima of its smoothed soft histogram."""
+    grid = d.select("vol").distinct().select("vol", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    h = grid.join(V.soft_histogram(d, ["vol"], bins), ["vol", "bin"], "left").select("vol", "bin", F.coalesce("w", F.lit(0.0)).alias("w"))
+    h = Wn.smooth_bins(h, ["vol"], "bin", "w", 1.0, 3, "s").withColumn("s", F.round("s", 9))
+    return Wn.local_peaks(h, ["vol"], "bin", "s", k).groupBy("vol").agg(F.transform(F.array_sort(F.collect_list(F.struct("peak", "bin"))), lambda e: e["bin"] / (bins - 1)).alias("centres"))
 
 
 def rbf_targets(d: DataFrame, seed: int, peaks: DataFrame, temperature: float = 0.01, noise: float = 0.0, dark: float = DARK) -> DataFrame:
     """Softmax of -(v - centre)^2 / temperature over each volume's centres (array column centres), times drawn targets. Result in g."""
-    j = d.join(peaks, "vol")
+    j = d.join(peaks.withColumn("_t", F.transform("centres", lambda c, k: rng.uniform(seed, "target", F.col("vol"), k))), "vol")
     near = F.array_max(F.transform("centres", lambda c: -(F.col("v") - c) * (F.col("v") - c) / temperature))
-    w = F.transform("centres", lambda c: F.exp(-(F.col("v") - c) * (F.col("v") - c) / temperature - near))
-    t = F.transform("centres", lambda c, k: rng.uniform(seed, "target", F.col("vol"), k))
+    j = j.withColumn("_near", near)
+    w = F.transform("centres", lambda c: F.exp(-(F.col("v") - c) * (F.col("v") - c) / temperature - F.col("_near")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    y = total(F.zip_with(w, t, lambda a, b: a * b)) / total(w)
+    y = total(F.zip_with(w, "_t", lambda a, b: a * b)) / total(w)
     if noise:
         y = y + noise * rng.normal(seed, "rn", "vol", "i")
-    return j.withColumn("g", F.when(foreground(dark), clamp01(y)).otherwise(0.0)).drop("centres")
+    return j.withColumn("g", F.when(foreground(dark), clamp01(y)).otherwise(0.0)).drop("centres", "_t", "_near")
+
+
+def soft_quantiles(d: DataFrame, seed: int, k: int = 5, temperature: float = 0.05, noise: float = 0.02, dark: float = 1e-4) -> DataFrame:
+    """Voxels softly assigned to k quantiles of the whole volume, each with a drawn target. Result in g."""
+    centres = d.groupBy("vol").agg(F.percentile("v", F.array(*[F.lit((j + 0.5) / k) for j in range(k)])).alias("centres"))
+    return rbf_targets(d, seed, centres, temperature, noise, dark)
+
+
+def interp_array(x: Column, xs: Column, ys: Column) -> Column:
+    """Piecewise-linear interpolation through ascending xs (arrays); beyond the ends the end values, at repeated xs the last one's."""
+    k = F.size(F.filter(xs, lambda e: e <= x))
+    last = F.size(xs)
+    at = lambda a, i: F.get(a, i)
+    t = (x - at(xs, k - 1)) / (at(xs, k) - at(xs, k - 1))
+    return F.when(k == 0, at(ys, F.lit(0))).when(k == last, at(ys, last - 1)).otherwise(at(ys, k - 1) + t * (at(ys, k) - at(ys, k - 1)))
+
+
+def gmm_match(d: DataFrame, seed: int, quantiles: int = 100, bins: int = 100, peaks: tuple[int, int] = (3, 6), dark: float = 1e-4) -> DataFrame:
+    """The histogram of each volume's tissue (v over dark) matched to a drawn mixture of Gaussians; background exactly 0. Result in g."""
+    q = [i / (quantiles - 1) for i in range(quantiles)]
+    tissue = F.percentile(F.when(F.col("v") > dark, F.col("v")), F.array(*map(F.lit, q)))
+    every = F.percentile("v", F.array(*map(F.lit, q)))
+    s = d.groupBy("vol").agg(F.when(F.count_if(F.col("v") > dark) >= 2, tissue).otherwise(every).alias("_xs"))
+    count = rng.choice(list(range(peaks[0], peaks[1] + 1)), seed, "peaks", "vol")
+    draw = lambda tag, i: rng.uniform(seed, tag, F.col("vol"), i)
+    part = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(draw("gm", i).alias("m"), (0.02 + 0.08 * draw("gs", i)).alias("s"), (0.1 + 0.9 * draw("gw", i)).alias("w")))
+    s = s.withColumn("_parts", F.explode(F.array(part)))  # drawn once a volume
+    centre = F.array(*[F.lit(i / (bins - 1)) for i in range(bins)])
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+    pdf = F.transform(centre, lambda c: total("_parts", lambda p: p["w"] / p["s"] * F.exp(-0.5 * ((c - p["m"]) / p["s"]) ** 2)))
+    s = s.withColumn("_pdf", F.explode(F.array(pdf)))
+    grown = F.aggregate("_pdf", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
+    s = s.withColumn("_cdf", F.explode(F.array(grown)))
+    cdf = F.transform("_cdf", lambda x: x / F.element_at("_cdf", -1))
+    s = s.withColumn("_cdf", F.explode(F.array(cdf)))
+    s = s.select("vol", "_xs", F.transform(F.array(*map(F.lit, q)), lambda x: interp_array(x, F.col("_cdf"), centre)).alias("_ys"))
+    j = d.join(s, "vol")
+    return j.withColumn("g", F.when(F.col("v") > dark, clamp01(interp_array(F.col("v"), F.col("_xs"), F.col("_ys")))).otherwise(0.0)).drop("_xs", "_ys")
 
 
 def unsharp(d: DataFrame, amount: float, sigma: float) -> DataFrame:
@@ -389,8 +478,8 @@ PERTURBERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
 #: Generators by name; each maps (volume rows, seed) to rows with the guidance in g.
 GENERATORS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
     "legacy": lambda d, seed: chunks_remap(d, [8], seed, mode="permute"),
-    "v17": lambda d, seed: rbf_targets(d, seed, d.where(foreground()).groupBy("vol").agg(F.percentile("v", F.array(*map(F.lit, (0.125, 0.375, 0.625, 0.875)))).alias("centres"))),
-    "v19": lambda d, seed: minmax(label_affine(chunks_remap(d, [8], seed, edges="uniform").drop("region").withColumnRenamed("g", "c"), seed, "c", p=0.5)),
+    "v17": lambda d, seed: rbf_targets(d, seed, histogram_peaks(d)),
+    "v19": lambda d, seed: label_texture(d, seed),
     "v23": lambda d, seed: minmax(chunks_remap(d, [2, 3, 4, 6, 8, 12, 16], seed, edges="uniform")),
     "v24": lambda d, seed: minmax(chunks_remap(d, [2, 3, 4, 6, 8, 12, 16], seed)),
     "v24_nm": lambda d, seed: knot_map(d, seed, False),
@@ -402,7 +491,7 @@ GENERATORS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
     "v25": lambda d, seed: ellipsoids(d, seed, [2, 3, 4, 6, 8]),
     "synthseg": lambda d, seed: synthseg_labels(d, seed),
     "v27a": lambda d, seed: label_chunks(d, seed),
-    "v27a_bis": lambda d, seed: label_affine(parcellation_remap(d, "v26_4", seed).withColumnRenamed("g", "c"), seed, "c", p=0.5),
+    "v27a_bis": lambda d, seed: minmax(label_affine(parcellation_remap(d, "v26_4", seed).withColumnRenamed("g", "c"), seed, "c", 0.5, 100, sign=False).drop("c")),
     **{name: (lambda d, seed, n=name: parcellation_remap(d, n, seed)) for name in VERSIONS},
 }
 
@@ -412,20 +501,62 @@ def generate(d: DataFrame, name: str, seed: int = 42) -> DataFrame:
     return GENERATORS.get(name, GENERATORS["legacy"])(d, seed)
 
 
-def synthesise(d: DataFrame, seed: int = 42, sigmas: tuple[float, ...] = (0.0, 0.5, 1.0), dark: float = DARK) -> DataFrame:
-    """Volume synthesis: signed remap of cells, clamp, a drawn blur; g in [0, 1] and zed, its z-score in the foreground."""
-    o = parcellation_remap(d, "raw", seed, dark).withColumn("g", F.when(foreground(dark), clamp01(F.col("g"))).otherwise(0.0))
-    sigma = rng.choice(list(sigmas), seed, "sigma", "vol")
+def _drawn_blur(d: DataFrame, seed: int, tag: str, sigmas: tuple[float, ...], together: bool) -> DataFrame:
+    """g blurred by a width drawn per volume, or by one for all volumes together."""
+    sigma = rng.choice(list(sigmas), seed, tag, *([] if together else ["vol"]))
     out = None
     for s in sigmas:  # a volume is in one branch only
-        part = o.where(sigma == s)
-        part = Wn.blur(part, s, value="g").select(*o.columns) if s else part
+        part = d.where(sigma == s)
+        part = Wn.blur(part, s, value="g").select(*d.columns) if s else part
         out = part if out is None else out.unionByName(part)
+    return out
+
+
+def synthesise(d: DataFrame, seed: int = 42, sigmas: tuple[float, ...] = (0.0, 0.5, 1.0), dark: float = DARK, together: bool = False) -> DataFrame:
+    """Volume synthesis: signed remap of cells, clamp, a drawn blur (one for the whole batch with together); g in [0, 1] and zed,
+    its z-score in the foreground."""
+    o = parcellation_remap(d, "raw", seed, dark).withColumn("g", F.when(foreground(dark), clamp01(F.col("g"))).otherwise(0.0))
+    out = _drawn_blur(o, seed, "sigma", sigmas, together)
     return zscore_foreground(materialize(out.withColumn("zed", F.col("g")), "synthesised"), "zed", dark)
 
 
-def synthesise_labels(d: DataFrame, seed: int = 42, dark: float = DARK) -> DataFrame:
-    """The same, then a signed affine remap per label of at least four voxels with probability one half."""
-    o = synthesise(d, seed, dark=dark).drop("zed").withColumnRenamed("g", "first")
-    o = label_affine(o, seed + 1, "first", 0.5, 4, dark).drop("first")
+def synthesise_patches(d: DataFrame, centres: DataFrame, seed: int = 42, sigmas: tuple[float, ...] = (0.0, 0.5, 1.0), dark: float = DARK) -> DataFrame:
+    """The same for patches (rows keyed by vol) with the clusters of their whole volumes (centres: vol, c, centroids), inside the
+    segmentation: label over 0 is what is remapped and scored; dark voxels become 0."""
+    inside = F.col("label") > 0
+    masked = d.withColumn("_v", F.col("v")).withColumn("v", F.when(inside, F.greatest(F.col("v"), F.lit(dark * (1 + 1e-9)))).otherwise(0.0))
+    o = VERSIONS["raw"]
+    j = _remapped(_regions(masked, o, seed, dark, centres), o, seed, dark)
+    j = _drawn_blur(j.withColumn("g", F.when(inside, clamp01(F.col("g"))).otherwise(0.0)).withColumn("v", F.col("_v")), seed, "sigma", sigmas, False)
+    j = materialize(j.withColumn("g", F.when(F.col("v") < dark, 0.0).otherwise(F.col("g"))), "patches")
+    return zscore_in(j, inside, "g", "zed").drop("_v")
+
+
+def zscore_in(d: DataFrame, inside: Column, value: str, name: str, eps: float = 1e-7, sample: bool = False) -> DataFrame:
+    """name: z-scores of value where inside holds, 0 elsewhere. The population's deviation has eps under the root, the sample's beside it."""
+    x = F.when(inside, F.col(value))
+    s = d.groupBy("vol").agg(F.avg(x).alias("_m"), (F.stddev_samp(x) + eps if sample else F.sqrt(F.var_pop(x) + eps)).alias("_s"))
+    return d.join(s, "vol").withColumn(name, F.when(inside, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
+
+
+def synthesise_in_labels(d: DataFrame, seed: int = 42, sigmas: tuple[float, ...] = (0.0, 0.5, 1.0), dark: float = DARK) -> DataFrame:
+    """A generated volume blurred, clamped and scored inside the labels by the sample's deviation."""
+    j = _drawn_blur(parcellation_remap(d, "v26_6", seed, dark), seed, "sigma", sigmas, False)
+    j = materialize(j.withColumn("g", F.when(F.col("v") < dark, 0.0).otherwise(clamp01(F.col("g")))), "labelled")
+    return zscore_in(j, F.col("label") > 0, "g", "zed", sample=True)
+
+
+def synthesise_labels(d: DataFrame, seed: int = 42, sigmas: tuple[float, ...] = (0.0, 0.5, 1.0), dark: float = DARK) -> DataFrame:
+    """Batch synthesis, then a signed affine remap per label of at least four voxels with probability one half, and a second drawn blur."""
+    o = synthesise(d, seed, sigmas, dark, together=True).drop("zed").withColumnRenamed("g", "first")
+    o = label_affine(o, seed + 1, "first", 0.5, 4, dark, mask=F.lit(True)).drop("first")
+    o = materialize(_drawn_blur(o, seed + 1, "sigma", sigmas, True), "labelled")
     return zscore_foreground(o.withColumn("zed", F.col("g")), "zed", dark)
+
+
+def blur_mm(d: DataFrame, sigma: float, spacing: dict[str, float]) -> DataFrame:
+    """Gaussian blur by a width in millimetres: in voxels, the width over each axis's spacing; end values are held."""
+    for a in Wn.AXES:
+        s = sigma / spacing[a]
+        d = Wn.filter_lines(d, Wn.gaussian(max(1, int(3 * s + 0.5)), s), "replicate", "v", (a,))
+    return d

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scanframe.functions.rng import hash_order
+from scanframe.operators.discovery import position
+from scanframe.session import materialize
 
 
 def isolation(test_subject: Column, test_scanner: Column) -> Column:
@@ -36,19 +38,27 @@ def stratified(d: DataFrame, group: str, stratum: str, n_max: int, seed: int, *i
     return j.withColumn("_n", F.row_number().over(w)).where("_n <= take").drop("_n", "_g", "_s", "take")
 
 
+def _placed(subjects: DataFrame, col: str, seed: int, tag: str) -> tuple[DataFrame, int]:
+    """Distinct subjects with their 0-based place _at in hash order, and their number."""
+    s = materialize(subjects.select(col).distinct().withColumn("_h", hash_order(seed, tag, col)), "subjects")
+    return position(s, ["_h"], "_at"), s.count()
+
+
 def split_ratio(subjects: DataFrame, col: str, train: float, val: float, seed: int) -> DataFrame:
     """part of each distinct subject: max(1, floor(n * ratio)) for train and val in hash order, the rest test."""
-    s = subjects.select(col).distinct()
-    n = s.count()
+    s, n = _placed(subjects, col, seed, "split")
     a = max(1, int(n * train))
-    b = max(1, int(n * val))
-    k = F.row_number().over(W.orderBy(hash_order(seed, "split", col)))  # one row per subject
-    return s.withColumn("_k", k).select(col, F.when(F.col("_k") <= a, "train").when(F.col("_k") <= a + b, "val").otherwise("test").alias("part"))
+    b = a + max(1, int(n * val))
+    return s.select(col, F.when(F.col("_at") < a, "train").when(F.col("_at") < b, "val").otherwise("test").alias("part"))
 
 
 def k_folds(subjects: DataFrame, col: str, k: int, seed: int) -> DataFrame:
     """fold (from 0) of each distinct subject: contiguous runs of the hash order, the first ones longer by the remainder."""
-    return subjects.select(col).distinct().withColumn("fold", F.ntile(k).over(W.orderBy(hash_order(seed, "fold", col))) - 1)
+    s, n = _placed(subjects, col, seed, "fold")
+    size, longer = n // k, n % k
+    at = F.col("_at")
+    fold = F.when(at < longer * (size + 1), F.floor(at / (size + 1))).otherwise(longer + F.floor((at - longer * (size + 1)) / max(1, size)))
+    return s.select(col, fold.cast("int").alias("fold"))
 
 
 def fold_errors(folds: DataFrame, col: str, test: DataFrame, k: int) -> DataFrame:

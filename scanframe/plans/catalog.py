@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scanframe.plans import views
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("discovery", "tabular", "volumes", "remaps", "manifold", "linear", "io")
+MODULES = ("discovery", "tabular", "volumes", "remaps", "augment", "manifold", "linear", "analysis", "io")
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
 

@@ -224,10 +224,10 @@ def regex_extract_label(synths):
     return synths.select(F.regexp_extract("path", "(synthetic_[^/]+)", 1).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("enabled_parse", "orders", "SELECT o_orderkey, o_orderkey % 3 <> 0 AS enabled FROM orders")
+@query("enabled_parse", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 3) THEN false ELSE true END AS enabled FROM orders")
 def enabled_parse(orders):
-    text = F.element_at(F.array(F.lit(" No"), F.lit("TRUE "), F.lit("1")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    return orders.select("o_orderkey", N.parse_enabled(text).alias("enabled"))
+    cells = F.array(*[F.lit(x).cast("string") for x in (" No", "TRUE ", "1", "0", None, "", "  Y")])
+    return orders.select("o_orderkey", N.parse_enabled(F.get(cells, (F.col("o_orderkey") % 7).cast("int"))).alias("enabled"))
 
 
 @query("family_validate", "orders", "SELECT o_orderkey, o_orderkey % 4 <> 3 AS valid FROM orders")

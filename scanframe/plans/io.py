@@ -33,10 +33,10 @@ def src_csv_project(scans):
     return scans.sparkSession.read.csv(p, header=True, schema="image_path string, sub string, ses string").select("image_path")
 
 
-@query("src_registry_csv", "orders", "SELECT 'm' || o_orderkey AS model_id, 'c' || (o_custkey % 3) AS source_contrast FROM orders WHERE o_orderkey % 3 = 0")
+@query("src_registry_csv", "orders", "SELECT 'm' || o_orderkey AS model_id, 'c' || (o_custkey % 3) AS source_contrast FROM orders WHERE o_orderkey % 3 <> 1")
 def src_registry_csv(orders):
     p = _place(orders.sparkSession)
-    d = orders.select(F.concat(F.lit("m"), "o_orderkey").alias("model_id"), F.lit("segmenter").alias("family"), F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("source_contrast"), F.lit("/ck/x").alias("checkpoint_path"), F.when(F.col("o_orderkey") % 3 == 0, "Yes").otherwise("off").alias("enabled"))
+    d = orders.select(F.concat(F.lit("m"), "o_orderkey").alias("model_id"), F.lit("segmenter").alias("family"), F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("source_contrast"), F.lit("/ck/x").alias("checkpoint_path"), F.when(F.col("o_orderkey") % 3 == 0, "Yes").when(F.col("o_orderkey") % 3 == 1, "no").alias("enabled"))
     sinks.csv(d, p)
     return tables.registry_csv(orders.sparkSession, p).select("model_id", "source_contrast")
 
@@ -111,6 +111,14 @@ def sink_wide(evals):
     return sinks.wide(long, ["run_id"], "k", "v", ["c1", "c2", "c3"])
 
 
+@query("sink_long", "evals", "SELECT run_id, 'c' || class AS metric, round(avg(value), 6) AS value FROM {evals} GROUP BY run_id, class")
+def sink_long(evals):
+    p = _place(evals.sparkSession)
+    wide = sinks.wide(evals.groupBy("run_id", F.concat(F.lit("c"), "class").alias("k")).agg(F.avg("value").alias("v")), ["run_id"], "k", "v", ["c1", "c2", "c3"])
+    sinks.csv(sinks.long(wide, ["run_id"]), p)
+    return evals.sparkSession.read.csv(p, header=True, schema="run_id string, metric string, value double").withColumn("value", r6("value"))
+
+
 @query("sink_md", "region", "SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS md FROM region")
 def sink_md(region):
     return region.sparkSession.createDataFrame([(sinks.markdown(region.select("r_regionkey", "r_name").orderBy("r_regionkey")),)], "md string")

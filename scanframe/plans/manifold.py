@@ -43,11 +43,11 @@ def cov_cluster(feats):
     return c.select("scanner", "modality", "n_original", *[r6(F.col(f"`{n}`")).alias(n) for n in c.columns[3:]])
 
 
-@query("cov_recall_curve", "feats", f"WITH {_V}, {_nn('o2s', 'real', 'synth')}, t AS (SELECT modality AS m, quantile_cont(dist, 0.99) AS top FROM o2s GROUP BY 1) SELECT modality, k::INT AS step, round(any_value(top) * k / 29, 6) AS eps, round(avg((dist <= top * k / 29)::INT), 6) AS recall FROM o2s JOIN t ON m = modality, range(0, 30) q(k) GROUP BY modality, k")
+@query("cov_recall_curve", "feats", f"WITH {_V}, {_nn('o2s', 'real', 'synth')}, t AS (SELECT modality AS m, quantile_cont(dist, 0.99) AS top FROM o2s GROUP BY 1) SELECT modality, k::INT AS step, round(any_value(top) * k / 299, 6) AS eps, round(avg((dist <= top * k / 299)::INT), 6) AS recall FROM o2s JOIN t ON m = modality, range(0, 300) q(k) GROUP BY modality, k")
 def cov_recall_curve(feats):
     real, synth = M.split(_vec(feats))
     d = knn(real, synth, "vec_id", "vec", 1).select(F.col("q").alias("vec_id"), "dist").join(real.select("vec_id", "modality"), "vec_id")
-    return M.recall_curve(d, ["modality"], 30).select("modality", "step", r6("eps").alias("eps"), r6("recall").alias("recall"))
+    return M.recall_curve(d, ["modality"], 300).select("modality", "step", r6("eps").alias("eps"), r6("recall").alias("recall"))
 
 
 @query("cov_grid", "feats", """WITH f AS (SELECT cohort, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM {feats}), g AS (SELECT i::INT AS i, j::INT AS j, -2 + i * 0.5 AS x, -2 + j * 0.5 AS y FROM range(0, 9) p(i), range(0, 9) q(j))
@@ -135,13 +135,8 @@ def join_argmin_centroid(feats):
 
 @query("join_topk_centroid", "feats", f"WITH {_V}, c AS (SELECT modality AS m, scanner AS s, list(v ORDER BY dim) AS c FROM (SELECT modality, scanner, dim, avg(v) AS v FROM {{long}} WHERE cohort = 'real' GROUP BY ALL) GROUP BY ALL) SELECT m AS modality, s AS scanner, vec_id, rank FROM (SELECT m, s, vec_id, row_number() OVER (PARTITION BY m, s ORDER BY round(list_distance(vec, c), 9), vec_id)::INT AS rank FROM f, c WHERE cohort = 'synth') WHERE rank <= 3")
 def join_topk_centroid(feats):
-    d = _vec(feats)
-    real, synth = M.split(d)
-    c = real.select(*GROUP, F.posexplode("vec").alias("dim", "v")).groupBy(*GROUP, "dim").agg(F.avg("v").alias("v")).groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda e: e["v"]).alias("c"))
-    from scanframe.operators.neighbors import euclidean
-
-    j = synth.select("vec_id", "vec").join(F.broadcast(c))  # a row per group
-    return T.top_k(j, GROUP, [F.round(euclidean(F.col("vec"), F.col("c")), 9), F.col("vec_id")], 3).select(*GROUP, "vec_id", "rank")
+    real, synth = M.split(_vec(feats))
+    return M.nearest_to_centroids(real, synth, GROUP, 3).select(*GROUP, "vec_id", "rank")
 
 
 @query("fs_anova", "long", "WITH g AS (SELECT dim, modality, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM {long} GROUP BY ALL), t AS (SELECT dim, avg(v) AS gm FROM {long} GROUP BY dim) SELECT g.dim, round((sum(n * (m - gm) ** 2) / (count(*) - 1)) / (sum(n * s) / (sum(n) - count(*))), 6) AS f FROM g JOIN t ON g.dim = t.dim GROUP BY g.dim")

@@ -195,69 +195,139 @@ def centroids_once(vox):
     return k.select("vol", F.size("centroids").cast("long").alias("n"), r6(F.aggregate("centroids", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-def _parcels(o: R.Version, seed: int = 42) -> str:
-    """CTEs up to reg: vol, i, v, z, y, x, c, cluster, region."""
-    ss, cl = list(o.ss), "vol, cluster"
-    s = f"""WITH {_kmeans(list(o.cs), seed)},
+#: What the generators draw, written down from their description and apart from the operators' table: numbers of clusters, whether
+#: clusters are cut into cells, chances of one region and of whole clusters, signed slopes, levels, chance of flat clusters, range.
+_FEW, _MANY, _CELLS = [2, 3, 4, 5, 6], [8, 10, 12, 16], list(range(2, 11))
+_AS_DESCRIBED = {
+    "v26_1": dict(cs=_FEW, cells=True, one=0.0, uncut=0.0, signed=False, level="region", flat=0.0, scaled=False),
+    "v26_2": dict(cs=_FEW, cells=True, one=0.3, uncut=0.4, signed=False, level="region", flat=0.0, scaled=False),
+    "v26_3": dict(cs=_FEW, cells=True, one=0.1, uncut=0.4, signed=False, level="region", flat=0.0, scaled=True),
+    "v26_4": dict(cs=_FEW, cells=True, one=0.1, uncut=0.4, signed=False, level="region", flat=0.0, scaled=True),
+    "v26_5": dict(cs=_FEW, cells=True, one=0.1, uncut=0.4, signed=False, level="polar", flat=0.0, scaled=True),
+    "v26_6": dict(cs=_FEW, cells=True, one=0.1, uncut=0.4, signed=True, level="region", flat=0.0, scaled=True),
+    "v26_7": dict(cs=_FEW, cells=True, one=0.1, uncut=0.4, signed=True, level="region", flat=1.0, scaled=True),
+    "v26_11": dict(cs=_MANY, cells=False, one=0.05, uncut=0.4, signed=True, level="region", flat=0.0, scaled=True),
+    "v26_12": dict(cs=_FEW, cells=True, one=0.05, uncut=0.4, signed=True, level="bands", flat=0.0, scaled=True),
+    "v26_13": dict(cs=_MANY, cells=False, one=0.05, uncut=0.4, signed=True, level="bands", flat=0.0, scaled=True),
+    "v26_14": dict(cs=_FEW, cells=True, one=0.05, uncut=0.4, signed=True, level="class", flat=0.4, scaled=True),
+    "raw": dict(cs=_FEW, cells=True, one=0.1, uncut=0.4, signed=True, level="region", flat=0.0, scaled=False),
+}
+_AFTER = {"v26_8": "invert", "v26_9": "gamma", "v26_10": "texture", "v28_1": "rician", "v28_2": "", "v28_3": "dropout", "v28_4": "dropout"}
+
+
+def _parcels(o: dict, seed: int = 42, source: str = "{vox}") -> str:
+    """CTEs up to reg: vol, i, v, z, y, x, c, one, klass, region."""
+    cl = "vol, cluster"
+    s = f"""WITH {_kmeans(o['cs'], seed)},
 cent AS (SELECT vol AS cv, any_value(c) AS c, list(m ORDER BY j) AS ms FROM k10 GROUP BY vol),
 clu AS (SELECT vol, i, z, y, x, v, label, c, len(list_filter(range(1, len(ms)), lambda q: (ms[q] + ms[q + 1]) / 2 < v))::INT AS cluster FROM {{vox}} JOIN cent ON vol = cv)"""
-    if o.cells:
+    if o["cells"]:
         s += f""",
-seeds AS (SELECT {cl}, i AS si, z AS sz, y AS sy, x AS sx FROM (SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY md5(concat_ws(':', '{seed}', 'seed', vol::VARCHAR, i::VARCHAR)), vol, i) AS n, {pick(ss, 'S', 'vol', 'cluster', seed=seed)} AS s FROM clu WHERE {FG}) WHERE n <= s),
+seeds AS (SELECT {cl}, i AS si, z AS sz, y AS sy, x AS sx FROM (SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY md5(concat_ws(':', '{seed}', 'seed', vol::VARCHAR, i::VARCHAR)), vol, i) AS n, {pick(_CELLS, 'S', 'vol', 'cluster', seed=seed)} AS s FROM clu WHERE {FG}) WHERE n <= s),
 sn AS (SELECT *, row_number() OVER (PARTITION BY {cl} ORDER BY si) - 1 AS k, count(*) OVER (PARTITION BY {cl}) AS many FROM seeds),
 near AS (SELECT a.vol, a.i, arg_min(k, ((a.z - sz) ** 2 + (a.y - sy) ** 2 + (a.x - sx) ** 2, k)) AS cell, any_value(many) AS many FROM clu a JOIN sn ON sn.vol = a.vol AND sn.cluster = a.cluster GROUP BY a.vol, a.i),
-cel AS (SELECT clu.*, CASE WHEN {u('skip', 'clu.vol', 'clu.cluster', seed=seed)} < {o.skip_cells} OR many IS NULL OR many < 2 THEN 0 ELSE cell END AS cell FROM clu LEFT JOIN near ON near.vol = clu.vol AND near.i = clu.i)"""
+cel AS (SELECT clu.*, CASE WHEN {u('skip', 'clu.vol', 'clu.cluster', seed=seed)} < {o['uncut']} OR many IS NULL OR many < 2 THEN 0 ELSE cell END AS cell FROM clu LEFT JOIN near ON near.vol = clu.vol AND near.i = clu.i)"""
     else:
         s += ",\ncel AS (SELECT *, 0 AS cell FROM clu)"
-    return s + f""",
-reg AS (SELECT *, CASE WHEN {u('all', 'vol', seed=seed)} < {o.skip_all} THEN 0 ELSE (cluster * 100 + cell)::INT END AS region FROM cel)"""
-
-
-def _parcel_sql(o: R.Version) -> str:
-    mu = u("mu", "s.vol", "s.region")
-    if o.mu == "ordered":
-        mu = f"((CASE WHEN {u('anti', 's.vol')} < 0.5 THEN c - 1 - cluster ELSE cluster END + {u('mu', 's.vol', 's.cluster')}) / c)"
-    elif o.mu == "stratified":
-        mu = f"(((list_sort(list_transform(range(0, c), lambda q: {{'u': {u('band', 's.vol', 'q')}, 'q': q}})))[cluster + 1].q + {u('mu', 's.vol', 's.cluster')}) / c)"
-    al = _signed("alpha", "s.vol", "s.region") if o.sign else f"(0.5 + 1.5 * {u('alpha', 's.vol', 's.region')})"
-    if o.constant:
-        al = f"CASE WHEN {u('const', 's.vol', 's.cluster')} < {o.constant} THEN 0 ELSE {al} END"
-    body = affine("SELECT * FROM reg", mu, al)
-    body = minmax(body) if o.normalise else body
-    post = {
+    s += f""",
+reg AS (SELECT *, CASE WHEN one THEN 0 ELSE cluster END AS klass, CASE WHEN one THEN 0 ELSE (cluster * 100 + cell)::INT END AS region FROM (SELECT *, {u('all', 'vol', seed=seed)} < {o['one']} AS one FROM cel))"""
+    return s.replace("{vox}", source)
+
+
+def _remap_sql(o: dict, seed: int = 42, source: str = "{vox}") -> str:
+    """vol, i, v, g of every voxel."""
+    klass = u("mu", "s.vol", "s.klass", seed=seed)
+    level = {"region": u("mu", "s.vol", "s.region", seed=seed), "class": klass}.get(o["level"])
+    if o["level"] == "polar":
+        level = f"CASE WHEN NOT one AND {u('anti', 's.vol', seed=seed)} < 0.5 THEN (list_reverse_sort(list_transform(range(0, c), lambda q: {u('mu', 's.vol', 'q', seed=seed)})))[klass + 1] ELSE {klass} END"
+    elif o["level"] == "bands":
+        level = f"CASE WHEN one THEN {klass} ELSE ((list_sort(list_transform(range(0, c), lambda q: {{'u': {u('band', 's.vol', 'q', seed=seed)}, 'q': q}})))[klass + 1].q + {klass}) / c END"
+    slope = _signed("alpha", "s.vol", "s.region", seed=seed) if o["signed"] else f"(0.5 + 1.5 * {u('alpha', 's.vol', 's.region', seed=seed)})"
+    if o["flat"]:
+        slope = f"CASE WHEN {u('const', 's.vol', 's.klass', seed=seed)} < {o['flat']}{'' if o['flat'] >= 1 else ' AND NOT one'} THEN 0 ELSE {slope} END"
+    body = affine("SELECT * FROM reg", f"({level})", f"({slope})")
+    return f"{_parcels(o, seed, source)}\n{minmax(body) if o['scaled'] else body}"
+
+
+def _places(body: str, value: str = "g") -> str:
+    """body (vol, i, v, g) with the voxels' places and labels."""
+    return f"SELECT a.vol, a.i, b.z, b.y, b.x, b.label, a.v, a.g FROM ({body}) a JOIN {{vox}} b ON a.vol = b.vol AND a.i = b.i"
+
+
+def _lerp(scale: int) -> str:
+    at = lambda a: f"floor({a} / {scale}.0)"
+    part = lambda a: f"({a} / {scale}.0 - floor({a} / {scale}.0))"
+    corners = []
+    for corner in range(8):
+        w, ids = [], []
+        for k, a in enumerate(("z", "y", "x")):
+            high = corner >> k & 1
+            w.append(part(a) if high else f"(1 - {part(a)})")
+            ids.append(f"({at(a)}::BIGINT + {high})")
+        corners.append(f"{' * '.join(w)} * {normal(f'f{scale}', 'vol', *ids)}")
+    return f"({' + '.join(corners)})"
+
+
+def _texture(source: str) -> str:
+    """source's columns and noise in [-0.5, 0.5]."""
+    total = " + ".join(f"{_lerp(s)} / {s}" for s in (2, 4, 8, 16))
+    return f"SELECT * EXCLUDE (noise), (noise - min(noise) OVER (PARTITION BY vol)) / (max(noise) OVER (PARTITION BY vol) - min(noise) OVER (PARTITION BY vol) + 1e-6) - 0.5 AS noise FROM (SELECT *, {total} AS noise FROM ({source}))"
+
+
+def _after(kind: str, body: str) -> str:
+    """body (vol, i, v, g) after what a version adds."""
+    sd = f"(0.12 * {u('sd', 'vol')})"
+    new = {
         "invert": f"CASE WHEN {u('inv', 'vol')} < 0.5 THEN 1 - g ELSE g END",
         "gamma": f"pow(g, exp(ln(0.25) + (ln(4.0) - ln(0.25)) * {u('gamma', 'vol')}))",
-        "noise": f"least(greatest(g + (0.05 + 0.2 * {u('sd', 'vol')}) * {normal('n', 'vol', 'i')}, 0), 1)",
-    }.get(o.post)
-    if post:
-        body = f"SELECT vol, i, v, CASE WHEN {FG} THEN {post} ELSE 0 END AS g FROM ({body})"
-    if o.post == "rician":
-        sd = f"(0.12 * {u('sd', 'vol')})"
-        body = minmax(f"SELECT vol, i, v, CASE WHEN {FG} THEN sqrt((g + {sd} * {normal('n1', 'vol', 'i')}) ** 2 + ({sd} * {normal('n2', 'vol', 'i')}) ** 2) ELSE 0 END AS g FROM ({body})")
-    return f"{_parcels(o)}\nSELECT vol, i, round(g, 5) AS g FROM ({body})"
-
-
-def _register(version: str, with_sql: bool = True) -> None:
+        "texture": f"least(greatest(g + (0.05 + 0.2 * {u('sd', 'vol')}) * noise, 0), 1)",
+        "rician": f"sqrt((g + {sd} * {normal('n1', 'vol', 'i')}) ** 2 + ({sd} * {normal('n2', 'vol', 'i')}) ** 2)",
+        "dropout": f"CASE WHEN {u('drop', 'vol')} < 0.7 THEN g * (1 - least(1, 0.75 / (1 + exp(30 * (z / greatest(zm, 1) - 0.30))) + 0.25 / (1 + exp(-25 * (abs(x / greatest(xm, 1) - 0.5) - 0.38)))) * 0.8 * {u('amount', 'vol')}) ELSE g END",
+    }.get(kind)
+    if not new:
+        return body
+    if kind == "texture":
+        body = _texture(_places(body))
+    elif kind == "dropout":
+        body = f"SELECT *, max(z) OVER (PARTITION BY vol) AS zm, max(x) OVER (PARTITION BY vol) AS xm FROM ({_places(body)})"
+    body = f"SELECT vol, i, v, CASE WHEN {FG} THEN {new} ELSE 0 END AS g FROM ({body})"
+    return minmax(body) if kind == "rician" else body
+
+
+def _version_sql(version: str) -> str:
+    if version == "v26_15":
+        first = _remap_sql(_AS_DESCRIBED["v26_6"])
+        again = _remap_sql(_AS_DESCRIBED["v26_6"], 43, "y1").replace("WITH ", f"WITH y1 AS (SELECT a.vol, a.i, b.z, b.y, b.x, b.label, a.g AS v FROM ({first}) a JOIN {{vox}} b ON a.vol = b.vol AND a.i = b.i),\n", 1)
+        cut = again.rindex("\nSELECT s.vol")
+        return f"{again[:cut]}\nSELECT vol, i, round(g, 5) AS g FROM ({again[cut + 1 :]})"
+    text = _remap_sql(_AS_DESCRIBED[version if version in _AS_DESCRIBED else "v26_6"])
+    cut = text.index("\nSELECT s.vol")
+    return f"{text[:cut]}\nSELECT vol, i, round(g, 5) AS g FROM ({_after(_AFTER.get(version, ''), text[cut + 1 :])})"
+
+
+def _register(version: str) -> None:
     def f(vox):
         return R.generate(vox, version).select("vol", "i", F.round("g", 5).alias("g"))
 
-    query(f"tg_{version}", "vox", _parcel_sql(R.VERSIONS[version]) if with_sql else None)(f)
+    query(f"tg_{version}", "vox", _version_sql(version))(f)
 
 
 for _v in R.VERSIONS:
     if _v != "raw":
-        _register(_v, R.VERSIONS[_v].passes == 1 and R.VERSIONS[_v].post != "dropout")
+        _register(_v)
 
+_PLAIN = dict(_AS_DESCRIBED["raw"], one=0.0, uncut=0.0)
 
-@query("join_voronoi", "vox", _parcels(R.Version(skip_all=0.0, skip_cells=0.0)) + " SELECT vol, i, cluster, cell::INT AS cell FROM cel")
+
+@query("join_voronoi", "vox", _parcels(_PLAIN) + " SELECT vol, i, cluster, cell::INT AS cell FROM cel")
 def join_voronoi(vox):
-    j = vox.join(F.broadcast(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
+    j = vox.join(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
     return R.voronoi(j, list(range(2, 11)), 42, 0.0).select("vol", "i", "cluster", F.col("cell").cast("int").alias("cell"))
 
 
-@query("voronoi_ids", "vox", _parcels(R.Version(skip_all=0.0)) + " SELECT vol, region, count(*) AS n FROM reg GROUP BY ALL")
+@query("voronoi_ids", "vox", _parcels(dict(_PLAIN, uncut=0.4)) + " SELECT vol, region, count(*) AS n FROM reg GROUP BY ALL")
 def voronoi_ids(vox):
-    j = vox.join(F.broadcast(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
+    j = vox.join(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
     j = R.voronoi(j, list(range(2, 11)), 42, 0.4)
     return j.groupBy("vol", (F.col("cluster") * 100 + F.col("cell")).cast("int").alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -270,19 +340,56 @@ def sample_seeds(vox):
     return hash_sample(vox.where(R.foreground()), ["vol", "label"], n, 42, "seed", "vol", "i").select("vol", "label", "i")
 
 
-@query("vol_fast", "vox")
+def _clamped(o: dict, sigma: str, zed: str, finish: str = "") -> str:
+    """Clamped remap, a blur drawn by sigma, z-scores; columns vol, i, g, zed."""
+    text = _remap_sql(o)
+    cut = text.index("\nSELECT s.vol")
+    body = f"SELECT vol, i, v, CASE WHEN {FG} THEN least(greatest(g, 0), 1) ELSE 0 END AS g FROM ({text[cut + 1 :]})"
+    blurred = lambda src, tag, seed: " UNION ALL ".join(f"SELECT * FROM ({_filtered(Wn.gaussian(max(1, int(3 * s + 0.5)), s), src, 'g') if s else src}) WHERE {sigma.replace('TAG', tag).replace('SEED', str(seed))} = {s}" for s in (0.0, 0.5, 1.0))
+    return f"{text[:cut]},\nfirst AS ({_places(body)}),\nsmooth AS ({blurred('SELECT * FROM first', 'sigma', 42)}){finish and ','}{finish.replace('BLURRED', blurred('SELECT * FROM second', 'sigma', 43))}\n{zed}"
+
+
+_ZED = "SELECT vol, i, round(g, 5) AS g, round(CASE WHEN v > 0.01 THEN (g - m) / sqrt(s + 1e-7) ELSE 0 END, 5) AS zed FROM {0} JOIN (SELECT vol AS w, avg(g) AS m, var_pop(g) AS s FROM {0} WHERE v > 0.01 GROUP BY vol) ON vol = w"
+_EACH, _TOGETHER = pick([0.0, 0.5, 1.0], "TAG", "vol", seed="SEED"), pick([0.0, 0.5, 1.0], "TAG", seed="SEED")
+
+
+@query("vol_fast", "vox", _clamped(_AS_DESCRIBED["raw"], _EACH, _ZED.format("smooth")))
 def vol_fast(vox):
     return R.synthesise(vox).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
 
 
-@query("vol_fast_v2", "vox")
+@query("batch_fast", "vox", _clamped(_AS_DESCRIBED["raw"], _TOGETHER, _ZED.format("smooth")))
+def batch_fast(vox):
+    """One blur for all volumes."""
+    return R.synthesise(vox, together=True).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
+
+
+_SECOND = f"""
+means AS (SELECT vol AS lv, label AS ll, avg(g) AS lm, count(*) AS ln FROM smooth WHERE label > 0 GROUP BY ALL),
+second AS (SELECT * REPLACE (CASE WHEN label > 0 AND ln >= 4 AND {u('use', 'vol', 'label', seed=43)} < 0.5 THEN least(greatest({u('lmu', 'vol', 'label', seed=43)} + {_signed('lalpha', 'vol', 'label', seed=43)} * (g - lm), 0), 1) ELSE g END AS g) FROM smooth LEFT JOIN means ON lv = vol AND ll = label),
+third AS (BLURRED)"""
+
+
+@query("vol_fast_v2", "vox", _clamped(_AS_DESCRIBED["raw"], _TOGETHER, _ZED.format("third"), _SECOND))
 def vol_fast_v2(vox):
     return R.synthesise_labels(vox).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
 
 
-@query("vol_debug_v2", "vox", _parcels(R.Version(skip_all=0.0, skip_cells=0.0)) + " SELECT vol, cluster, count(*) AS voxels, count(DISTINCT cell) AS cells FROM cel GROUP BY ALL")
+@query("patch_fast", "vox")
+def patch_fast(vox):
+    """The lower half of each volume, with the clusters of the whole."""
+    centres = R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)
+    return R.synthesise_patches(vox.where("z < 6"), centres).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
+
+
+@query("vol_label_mask", "vox")
+def vol_label_mask(vox):
+    return R.synthesise_in_labels(vox).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
+
+
+@query("vol_debug_v2", "vox", _parcels(_PLAIN) + " SELECT vol, cluster, count(*) AS voxels, count(DISTINCT cell) AS cells FROM cel GROUP BY ALL")
 def vol_debug_v2(vox):
-    j = vox.join(F.broadcast(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
+    j = vox.join(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
     return R.voronoi(j, list(range(2, 11)), 42, 0.0).groupBy("vol", "cluster").agg(F.count(F.lit(1)).alias("voxels"), F.count_distinct("cell").alias("cells"))
 
 
@@ -291,7 +398,13 @@ def tg_v17_anchor(vox):
     return show(R.generate(vox, "v17"))
 
 
-@query("tg_v19_label", "vox")
+_C8 = "greatest(0, least(ceil(v * 8) - 1, 7))::INT"
+
+
+@query("tg_v19_label", "vox", f"""WITH m AS (SELECT vol AS mv, label AS ml, avg(v) AS m FROM {{vox}} WHERE label IN (1, 2, 3) GROUP BY ALL),
+g AS (SELECT vol, i, v, CASE WHEN NOT ({FG}) THEN 0 WHEN m IS NOT NULL AND {u('use', 'vol', 'label')} > 0.5 THEN {u('lmu', 'vol', 'label')} + (0.5 + 1.5 * {u('lalpha', 'vol', 'label')}) * (v - m)
+ ELSE {u('mu', 'vol', 'k')} + (0.5 + 1.5 * {u('alpha', 'vol', 'k')}) * (v - (k + 0.5) / 8) END AS g FROM (SELECT *, {_C8} AS k FROM {{vox}}) LEFT JOIN m ON mv = vol AND ml = label)
+{out(minmax('SELECT * FROM g'))}""")
 def tg_v19_label(vox):
     return show(R.generate(vox, "v19"))
 
@@ -306,15 +419,24 @@ def tg_synthseg(vox):
     return show(R.generate(vox, "synthseg"))
 
 
-@query("tg_v27a", "vox", f"""WITH q AS (SELECT vol, label, quantile_cont(v, [0, 0.25, 0.5, 0.75, 1]) AS e, count(*) AS n FROM {{vox}} WHERE {FG} AND label > 0 GROUP BY ALL),
-j AS (SELECT a.vol, a.i, a.v, coalesce({FG} AND a.label > 0 AND n >= 100, false) AS use, CASE WHEN coalesce({FG} AND a.label > 0 AND n >= 100, false) THEN a.label * 100 + greatest(0, least(len(list_filter(e, lambda b: b < v)) - 1, 3)) ELSE -1 END::INT AS region FROM {{vox}} a LEFT JOIN q ON q.vol = a.vol AND q.label = a.label),
+@query("tg_v27a", "vox", f"""WITH q AS (SELECT vol, label, count(*) AS n, CASE {pick([2, 3, 4, 6, 8], 'K', 'vol', 'label')} {' '.join(f"WHEN {n} THEN quantile_cont(v, [{', '.join(f'{j} / {n}.0' for j in range(n + 1))}])" for n in (2, 3, 4, 6, 8))} END AS e FROM {{vox}} WHERE {FG} AND label > 0 GROUP BY vol, label),
+j AS (SELECT a.vol, a.i, a.v, coalesce({FG} AND a.label > 0 AND n >= 100, false) AS use, CASE WHEN coalesce({FG} AND a.label > 0 AND n >= 100, false) THEN a.label * 100 + greatest(0, least(len(list_filter(e, lambda b: b < v)) - 1, len(e) - 2)) ELSE -1 END::INT AS region FROM {{vox}} a LEFT JOIN q ON q.vol = a.vol AND q.label = a.label),
 g AS (SELECT p.vol, p.i, p.v, CASE WHEN use THEN g WHEN p.v > 0.01 THEN p.v ELSE 0 END AS g FROM ({affine('SELECT vol, i, v, region FROM j', _MU, _AL)}) p JOIN j ON j.vol = p.vol AND j.i = p.i)
 {out(minmax('SELECT * FROM g'))}""")
 def tg_v27a(vox):
     return show(R.generate(vox, "v27a"))
 
 
-@query("tg_v27a_bis", "vox")
+def _bis_sql() -> str:
+    text = _remap_sql(_AS_DESCRIBED["v26_4"])
+    cut = text.index("\nSELECT s.vol")
+    return f"""{text[:cut]},
+f AS ({_places(text[cut + 1 :])}), lm AS (SELECT vol AS lv, label AS ll, avg(g) AS m, count(*) AS n FROM f WHERE {FG} AND label > 0 GROUP BY ALL),
+h AS (SELECT vol, i, v, CASE WHEN {FG} AND label > 0 AND n >= 100 AND {u('use', 'vol', 'label')} < 0.5 THEN {u('lmu', 'vol', 'label')} + (0.5 + 1.5 * {u('lalpha', 'vol', 'label')}) * (g - m) ELSE g END AS g FROM f LEFT JOIN lm ON lv = vol AND ll = label)
+SELECT vol, i, round(g, 5) AS g FROM ({minmax('SELECT * FROM h')})"""
+
+
+@query("tg_v27a_bis", "vox", _bis_sql())
 def tg_v27a_bis(vox):
     return R.generate(vox, "v27a_bis").select("vol", "i", F.round("g", 5).alias("g"))
 
@@ -324,12 +446,16 @@ def fn_unsharp(vox):
     return show(R.unsharp(vox, 0.7, 1.0))
 
 
-@query("fn_lpci", "vox")
+_KEPT = "SELECT *, v AS o FROM {vox}"
+_LOW = f"((0.5 + 0.5 * {u('la', 'vol')}) * v + 0.3 * {u('lb', 'vol')})"
+
+
+@query("fn_lpci", "vox", f"SELECT vol, i, round(least(greatest({_LOW} + (0.8 + 0.4 * {u('d0', 'vol')}) * (b - v) + (0.8 + 0.4 * {u('d1', 'vol')}) * (o - b), 0), 1), 6) AS g FROM ({_filtered(Wn.gaussian(6, 2.0), f'SELECT *, v AS b FROM ({_filtered(Wn.gaussian(3, 1.0), _KEPT)})')})")
 def fn_lpci(vox):
     return show(R.pyramid(vox, 42))
 
 
-@query("fn_fractal_noise", "vox")
+@query("fn_fractal_noise", "vox", f"SELECT vol, i, round(noise, 6) AS noise FROM ({_texture('SELECT * FROM {vox}')})")
 def fn_fractal_noise(vox):
     return R.fractal_noise(vox, 42).select("vol", "i", F.round("noise", 6).alias("noise"))
 
@@ -358,10 +484,36 @@ def fn_smooth(vox):
     return show(Wn.blur(vox, 0.8).withColumn("g", F.col("v")))
 
 
-@query("fn_soft_quantile", "vox")
+def _soft(centres: str, temperature: float, extra: str, dark: str) -> str:
+    """Softmax over the list q of centres, times drawn targets."""
+    w = f"list_transform(range(0, len(q)), lambda k: exp(-pow(v - q[k + 1], 2) / {temperature}))"
+    top = f"list_sum(list_transform(range(0, len(q)), lambda k: exp(-pow(v - q[k + 1], 2) / {temperature}) * {u('target', 'vol', 'k')}))"
+    return f"SELECT vol, i, round(CASE WHEN {dark} THEN least(greatest({top} / list_sum({w}){extra}, 0), 1) ELSE 0 END, 6) AS g FROM {{vox}} JOIN ({centres}) ON vol = qv"
+
+
+@query("fn_soft_quantile", "vox", _soft("SELECT vol AS qv, quantile_cont(v, [0.1, 0.3, 0.5, 0.7, 0.9]) AS q FROM {vox} GROUP BY vol", 0.05, f" + 0.02 * {normal('rn', 'vol', 'i')}", "v > 1e-4"))
 def fn_soft_quantile(vox):
-    c = vox.where(R.foreground()).groupBy("vol").agg(F.percentile("v", F.array(*[F.lit((k + 0.5) / 6) for k in range(6)])).alias("centres"))
-    return show(R.rbf_targets(vox, 42, c, 0.005, 0.02))
+    return show(R.soft_quantiles(vox, 42))
+
+
+_GQ = "[" + ", ".join(f"{i} / 99.0" for i in range(100)) + "]"
+_GC = f"list_transform(range(0, 100), lambda b: b / 99.0)"
+_AT = "(CASE WHEN len(list_filter({xs}, lambda e: e <= {x})) = 0 THEN {ys}[1] WHEN len(list_filter({xs}, lambda e: e <= {x})) = len({xs}) THEN {ys}[len({ys})] ELSE {ys}[len(list_filter({xs}, lambda e: e <= {x}))] + ({x} - {xs}[len(list_filter({xs}, lambda e: e <= {x}))]) / ({xs}[len(list_filter({xs}, lambda e: e <= {x})) + 1] - {xs}[len(list_filter({xs}, lambda e: e <= {x}))]) * ({ys}[len(list_filter({xs}, lambda e: e <= {x})) + 1] - {ys}[len(list_filter({xs}, lambda e: e <= {x}))]) END)"
+
+
+@query("fn_gmm_match", "vox", f"""WITH p AS (SELECT vol, k, {u('gm', 'vol', 'k')} AS m, 0.02 + 0.08 * {u('gs', 'vol', 'k')} AS s, 0.1 + 0.9 * {u('gw', 'vol', 'k')} AS w FROM (SELECT vol, unnest(range(0, n)) AS k FROM (SELECT DISTINCT vol, {pick([3, 4, 5, 6], 'peaks', 'vol')} AS n FROM {{vox}}))),
+d AS (SELECT vol, b, sum(w / s * exp(-0.5 * pow((b / 99.0 - m) / s, 2))) AS d FROM p, range(0, 100) t(b) GROUP BY ALL),
+c AS (SELECT vol, list(c ORDER BY b) AS cdf FROM (SELECT vol, b, sum(d) OVER (PARTITION BY vol ORDER BY b) / sum(d) OVER (PARTITION BY vol) AS c FROM d) GROUP BY vol),
+t AS (SELECT vol AS tv, list(y ORDER BY b) AS ys FROM (SELECT vol, b, {_AT.format(x='q', xs='cdf', ys='centre')} AS y FROM (SELECT vol, cdf, b, b / 99.0 AS q, {_GC} AS centre FROM c, range(0, 100) r(b))) GROUP BY vol),
+x AS (SELECT vol AS xv, CASE WHEN count(*) FILTER (WHERE v > 1e-4) >= 2 THEN quantile_cont(v, {_GQ}) FILTER (WHERE v > 1e-4) ELSE quantile_cont(v, {_GQ}) END AS xs FROM {{vox}} GROUP BY vol)
+SELECT vol, i, round(CASE WHEN v > 1e-4 THEN least(greatest({_AT.format(x='v', xs='xs', ys='ys')}, 0), 1) ELSE 0 END, 6) AS g FROM {{vox}} JOIN t ON tv = vol JOIN x ON xv = vol""")
+def fn_gmm_match(vox):
+    return show(R.gmm_match(vox, 42))
+
+
+@query("blur_mm", "vox")
+def blur_mm(vox):
+    return show(R.blur_mm(vox, 1.2, {"z": 2.0, "y": 1.0, "x": 0.8}).withColumn("g", F.col("v")))
 
 
 @query("fn_bigaug_gamma", "vox", f"SELECT vol, i, round(CASE WHEN {u('gg', 'vol')} < 0.5 THEN pow(v, exp(ln(0.7) + (ln(1.5) - ln(0.7)) * {u('gamma', 'vol')})) ELSE v END, 6) AS g FROM {{vox}}")
@@ -392,11 +544,3 @@ def fn_perturb_mild(vox):
 @query("fn_perturb_heavy", "vox")
 def fn_perturb_heavy(vox):
     return show(R.PERTURBERS["heavy_gaussian"](vox, 42))
-
-
-@query("chunk_sim", "vox", f"SELECT s, round(avg(g) FILTER (WHERE v >= 0.1) - avg(g) FILTER (WHERE v < 0.1), 6) AS score FROM (SELECT s, v, {u('sim', 's', 'least(floor(v * 8), 7)::INT')} AS g FROM {{vox}}, range(0, 50) t(s) WHERE vol = 0) GROUP BY s")
-def chunk_sim(vox):
-    d = vox.where("vol = 0").select("v", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("s"))
-    g = rng.uniform(42, "sim", F.col("s"), F.least(F.floor(F.col("v") * 8), F.lit(7)))
-    d = d.withColumn("g", g)
-    return d.groupBy(F.col("s").cast("long").alias("s")).agg(r6(F.avg(F.when(F.col("v") >= 0.1, F.col("g"))) - F.avg(F.when(F.col("v") < 0.1, F.col("g")))).alias("score"))

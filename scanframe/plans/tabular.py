@@ -120,9 +120,11 @@ def agg_group_centroid(long):
     return long.groupBy("cohort", "modality", "dim").agg(r6(F.avg("v")).alias("v"))
 
 
-@query("agg_slice_mean", "long", "SELECT label, dim, round(avg(v), 6) AS v FROM (SELECT vec_id % 25 AS label, dim, v FROM {long} WHERE vec_id % 4 IN (1, 2)) GROUP BY ALL")
-def agg_slice_mean(long):
-    return long.where("vec_id % 4 IN (1, 2)").groupBy((F.col("vec_id") % 25).alias("label"), "dim").agg(r6(F.avg("v")).alias("v"))
+@query("agg_slice_mean", "vox", "SELECT vol, label, round(avg(v), 6) AS v FROM {vox} JOIN (SELECT vol AS w, max(z) AS top FROM {vox} GROUP BY vol) ON vol = w WHERE abs(2 * z - top) <= 2 GROUP BY vol, label")
+def agg_slice_mean(vox):
+    """Means over the middle slices of each volume: those at most one place from its centre."""
+    top = vox.groupBy("vol").agg(F.max("z").alias("top"))
+    return vox.join(top, "vol").where(F.abs(2 * F.col("z") - F.col("top")) <= 2).groupBy("vol", "label").agg(r6(F.avg("v")).alias("v"))
 
 
 @query("agg_ens_prob", "long", "SELECT vec_id % 100 AS voxel, arg_max(c, (p, -c)) AS label, round(max(p), 6) AS p FROM (SELECT vec_id, c, avg(p) AS p FROM (SELECT vec_id % 100 AS vec_id, dim % 4 AS c, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id, dim // 4) AS p FROM {long}) GROUP BY ALL) GROUP BY 1")
@@ -142,9 +144,9 @@ def topk(long):
     return T.top_k(long, ["dim"], [F.desc("v"), F.col("vec_id")], 10).select("dim", "vec_id", "rank")
 
 
-@query("argsort", "long", "SELECT vec_id, dim, (row_number() OVER (PARTITION BY vec_id ORDER BY v, dim) - 1)::INT AS pos FROM {long} WHERE vec_id % 10 = 0")
+@query("argsort", "long", "SELECT vec_id, dim, (row_number() OVER (PARTITION BY vec_id ORDER BY v, dim) - 1)::INT AS pos FROM {long}")
 def argsort(long):
-    return long.where("vec_id % 10 = 0").select("vec_id", "dim", (F.row_number().over(W.partitionBy("vec_id").orderBy("v", "dim")) - 1).alias("pos"))
+    return long.select("vec_id", "dim", (F.row_number().over(W.partitionBy("vec_id").orderBy("v", "dim")) - 1).alias("pos"))
 
 
 _U = "('0x' || substr(md5(concat_ws(':', {0})), 1, 8))::UBIGINT / 4294967296.0"

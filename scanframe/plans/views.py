@@ -35,8 +35,9 @@ SELECT l_orderkey AS case_id, CASE l_returnflag WHEN 'A' THEN 'v26_6_run1' WHEN
 SELECT l_orderkey % 50 AS case_id, l_orderkey * 8 + l_linenumber AS voxel, CAST(l_discount > 0.05 AS INT) * (1 + l_linenumber % 2) AS pred, CAST(l_tax > 0.04 AS INT) * (1 + l_linenumber % 2) AS truth FROM {lineitem}""",
     "vox": """
 SELECT vol, i, CAST(floor(i / 121.0) AS INT) AS z, CAST(floor(i / 11.0) AS INT) % 11 AS y, i % 11 AS x, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0.0 END AS v, label FROM (
-  SELECT CAST(user_id % 10 AS INT) AS vol, CAST(row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS INT) AS i, value, min(value) OVER (PARTITION BY user_id % 10) AS lo, max(value) OVER (PARTITION BY user_id % 10) AS hi,
-    CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'error' THEN 4 ELSE 0 END AS label FROM {events}) AS t""",
+  SELECT vol, CAST(row_number() OVER (PARTITION BY vol ORDER BY event_id) - 1 AS INT) AS i, value, min(value) OVER (PARTITION BY vol) AS lo, max(value) OVER (PARTITION BY vol) AS hi,
+    CASE event_type WHEN 'view' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 WHEN 'error' THEN 4 ELSE 0 END AS label
+  FROM (SELECT CAST(floor(event_id / 1331.0) AS INT) AS vol, event_id, value, event_type FROM {events}) AS e) AS t""",
     "dirty": """
 SELECT vec_id, cohort, modality, scanner, dim, CASE WHEN dim = 63 THEN NULL WHEN dim = 62 THEN 1.0 WHEN (vec_id * 7 + dim) % 97 = 0 THEN NULL ELSE v END AS v FROM {long}""",
 }

@@ -37,19 +37,31 @@ def wide(long: DataFrame, index: list[str], key: str, value: str, keys: list[str
     return long.groupBy(*index).pivot(key, keys).agg(F.first(value))
 
 
+def long(wide_rows: DataFrame, index: list[str], key: str = "metric", value: str = "value") -> DataFrame:
+    """One row per value that is there: the other columns' names in key."""
+    return wide_rows.unpivot(index, [c for c in wide_rows.columns if c not in index], key, value).where(F.col(value).isNotNull())
+
+
+def _small(d: DataFrame, limit: int) -> tuple[list, str]:
+    """Rows for a report, and a last line that says so if there are more."""
+    rows = d.limit(limit + 1).collect()
+    return rows[:limit], f"(the first {limit} rows)" if len(rows) > limit else ""
+
+
 def markdown(d: DataFrame, limit: int = 200) -> str:
-    """A markdown table of a small result."""
-    rows = d.limit(limit).collect()
+    """A markdown table of a small result; a longer one says that it goes on."""
+    rows, more = _small(d, limit)
     cell = lambda v: "" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)
     lines = [d.columns, ["---"] * len(d.columns), *[[cell(v) for v in r] for r in rows]]
-    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+    return "\n".join(["| " + " | ".join(x) + " |" for x in lines] + ([more] if more else []))
 
 
 def aligned(d: DataFrame, limit: int = 200) -> str:
-    """An aligned text table of a small result."""
-    rows = [d.columns, *[["" if v is None else str(v) for v in r] for r in d.limit(limit).collect()]]
+    """An aligned text table of a small result; a longer one says that it goes on."""
+    found, more = _small(d, limit)
+    rows = [d.columns, *[["" if v is None else str(v) for v in r] for r in found]]
     size = [max(len(r[k]) for r in rows) for k in range(len(d.columns))]
-    return "\n".join("  ".join(v.ljust(n) for v, n in zip(r, size, strict=True)).rstrip() for r in rows)
+    return "\n".join(["  ".join(v.ljust(n) for v, n in zip(r, size, strict=True)).rstrip() for r in rows] + ([more] if more else []))
 
 
 def nifti_files(volumes: DataFrame, folder: str) -> DataFrame:

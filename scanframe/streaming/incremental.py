@@ -9,15 +9,11 @@ from pyspark.sql.types import StructType
 
 
 def extract(spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, extractor: Callable[[DataFrame], DataFrame], key: str, files_per_batch: int = 50) -> None:
-    """Process all new files under source, then stop. Files done before are known from the checkpoint; rows whose key is
-    in the output already are left out, and a batch that is run again replaces its own folder."""
+    """Process all new files under source, then stop. Files done before are known from the checkpoint, and keys done before from
+    the stream's state, partitioned by key; earlier output is not read. A batch that is run again replaces its own folder."""
 
     def batch(d: DataFrame, n: int) -> None:
-        rows = extractor(d)
-        if n:
-            done = spark.read.parquet(out)
-            rows = rows.join(done.where(f"batch <> {n}").select(key), key, "left_anti")
-        rows.dropDuplicates([key]).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        extractor(d).write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source).dropDuplicates([key])
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

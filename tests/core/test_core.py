@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scanframe.functions import names as N
+from scanframe.operators import augment as A
 from scanframe.operators import linear as L
 from scanframe.operators import remap as R
 from scanframe.operators import sampling as S
@@ -64,7 +65,7 @@ def test_gradient(cube):
         assert back(g, n) == pytest.approx(np.gradient(a, axis=axis))
 
 
-@pytest.mark.parametrize("name", ["v23", "v24", "v26_6", "v26_8", "v27a", "synthseg", "legacy", "v24_nm"])
+@pytest.mark.parametrize("name", ["v23", "v24", "v26_6", "v26_8", "v27a", "synthseg", "legacy", "v24_nm", "v26_15", "v28_3", "v17", "v19", "v25", "v27a_bis"])
 def test_generators_keep_background_and_range(cube, name):
     a, d = cube
     g = back(R.generate(d, name), "g")
@@ -104,6 +105,190 @@ def test_knn(spark):
         assert (got[i, 1], got[i, 2]) == pytest.approx(tuple(dist[:2]))
 
 
+def test_knn_in_cells_and_across_groups(spark, monkeypatch):
+    from scanframe.operators import neighbors
+
+    monkeypatch.setattr(neighbors, "BLOCK", 4)
+    monkeypatch.setattr(neighbors, "SIDE", 2)
+    x = np.random.default_rng(2).random((70, 3))
+    d = spark.createDataFrame([(i, f"g{i % 3}" if i % 7 else None, v.tolist()) for i, v in enumerate(x)], "id long, g string, vec array<double>")
+    got = {(r.q, r["rank"]): r.dist for r in knn(d, d, "id", "vec", 3, exclude_self=True).collect()}
+    for i in range(70):
+        assert [got[i, k] for k in (1, 2, 3)] == pytest.approx(sorted(np.linalg.norm(x[i] - x[j]) for j in range(70) if j != i)[:3])
+    base = d.where("g IS NOT NULL")
+    found = knn(d, base, "id", "vec", 1, ["g"], across=True).collect()
+    assert len(found) == 70 * 3
+    for r in found:
+        assert r.dist == pytest.approx(min(np.linalg.norm(x[r.q] - x[j]) for j in range(70) if j % 7 and f"g{j % 3}" == r.g))
+
+
+def test_moments_against_numpy(spark):
+    x = np.random.default_rng(3).normal(size=(40, 5))
+    d = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(7)
+    n, mean, cov = L.moments(d)
+    assert n == 40 and mean == pytest.approx(x.mean(0)) and cov == pytest.approx(np.cov(x.T, bias=True))
+    with pytest.raises(ValueError, match="no rows"):
+        L.moments(d.limit(0))
+
+
+def test_enabled_cells(spark):
+    d = lambda *cells: spark.createDataFrame([(c,) for c in cells], "c string").select(N.parse_enabled(F.col("c")).alias("e"))
+    assert [r.e for r in d(None, "", " YES", "1", "n", "False", "0").collect()] == [True, True, True, True, False, False, False]
+    for bad in ("on", "off", "2"):
+        with pytest.raises(Exception, match="not a truth value"):
+            d(bad).collect()
+
+
+def test_splits(spark):
+    s = spark.createDataFrame([(f"S{i}",) for i in range(23)] * 2, "sub string")
+    folds = S.k_folds(s, "sub", 4, 1).collect()
+    assert sorted(pd.Series([r.fold for r in folds]).value_counts()) == [5, 6, 6, 6] and len(folds) == 23
+    assert sorted(r.fold for r in S.k_folds(s.limit(3), "sub", 5, 1).collect()) == [0, 1, 2]
+    parts = pd.Series([r.part for r in S.split_ratio(s, "sub", 0.7, 0.15, 1).collect()]).value_counts()
+    assert dict(parts) == {"train": 16, "val": 3, "test": 4}
+
+
+def _edges(a, chunks, grid, dark):
+    """Edges of every voxel, one at a time."""
+    block = [-(-n // g) for n, g in zip(a.shape, grid, strict=True)]
+    cell = np.zeros((*grid, chunks + 1))
+    for c in np.ndindex(*grid):
+        vals = []
+        for off in np.ndindex(*block):
+            at = tuple(min(k * b + o, n - 1) for k, b, o, n in zip(c, block, off, a.shape, strict=True))
+            if a[at] > dark:
+                vals.append(a[at])
+        e = [np.quantile(vals, k / chunks) if vals else dark for k in range(chunks + 1)]
+        e[0], e[-1] = min(e[0], dark), max(e[-1], 1.0)
+        cell[c] = e
+    out = np.zeros((*a.shape, chunks + 1))
+    for v in np.ndindex(*a.shape):
+        pos = [k * (g - 1) / max(n - 1, 1) for k, g, n in zip(v, grid, a.shape, strict=True)]
+        for corner in np.ndindex(2, 2, 2):
+            at = [min(int(p) + c, g - 1) for p, c, g in zip(pos, corner, grid, strict=True)]
+            out[v] += np.prod([(p - int(p)) if c else 1 - (p - int(p)) for p, c in zip(pos, corner, strict=True)]) * cell[tuple(at)]
+        out[v] = np.maximum.accumulate(out[v])
+    return out
+
+
+def test_grid_generators():
+    rng = np.random.default_rng(5)
+    a = rng.random((9, 7, 6))
+    a[:3] = 0
+    draws = A.Draws(7, 0)
+    edges = _edges(a, 5, (4, 3, 2), A.DARK)
+    perm, permuted, levels = draws.order(5, "perm").tolist(), A.grid_permute(a, draws, 5, (4, 3, 2)), A.grid_levels(a, draws, 5, (4, 3, 2))
+    for v in np.ndindex(*a.shape):
+        e = edges[v]
+        k = min(max(sum(a[v] > x for x in e) - 1, 0), 4)
+        to = perm.index(k)
+        t = (a[v] - e[k]) / max(e[k + 1] - e[k], 1e-8)
+        assert permuted[v] == pytest.approx(a[v] if a[v] <= A.DARK else min(max(e[to] + t * (e[to + 1] - e[to]), 0), 1))
+        assert levels[v] == (draws.u("level", k) if a[v] > A.DARK else 0)
+
+
+def test_resize_and_smooth():
+    a = np.random.default_rng(6).random((6, 5, 4))
+    assert A.resize(a, a.shape) == pytest.approx(a) and A.resize(np.full((4, 4, 4), 2.0), (9, 3, 1)) == pytest.approx(2)
+    assert A.resize(np.arange(4.0).reshape(4, 1, 1), (7, 1, 1), corners=True).ravel() == pytest.approx(np.arange(7) / 2)
+    assert A.resize(np.arange(4.0).reshape(4, 1, 1), (2, 1, 1)).ravel() == pytest.approx([0.5, 2.5])
+    one = np.zeros((9, 9, 9))
+    one[4, 4, 4] = 1
+    k = A.kernel(1.0)
+    assert A.smooth(one, k)[4, 4] == pytest.approx(np.pad(k, 1)[:9] * k[3] ** 2) and len(k) == 7 and A.smooth(one, k).sum() == pytest.approx(1)
+
+
+def test_augmentations():
+    rng = np.random.default_rng(8)
+    a, label = rng.random((12, 11, 10)), rng.integers(0, 4, (12, 11, 10))
+    a[:4] = 0
+    for vol in range(6):
+        for fn in A.AUGMENTATIONS.values():
+            x, y = fn(a, label, A.Draws(1, vol))
+            again, _ = fn(a, label, A.Draws(1, vol))
+            assert x.shape == a.shape and np.isfinite(x).all() and x.min() >= 0 and x.max() <= 1 and (x == again).all() and set(np.unique(y)) <= set(range(4))
+        for fn in (A.sparse_labels, A.partial_labels):
+            x = fn(a, label, A.Draws(1, vol))
+            assert (x[a < A.DARK] == 0).all() and x.max() <= 1
+        hard = A.sparse_labels(a, label, A.Draws(1, vol))
+        assert (hard[(label == 0) & (a >= A.DARK)] == a[(label == 0) & (a >= A.DARK)]).all()
+        soft = A.spatial_soft_quantiles(a, A.Draws(1, vol))
+        assert (soft[a <= 1e-4] == 0).all() and 0 <= soft.min() and soft.max() <= 1
+    quiet = A.partial_labels(a, np.zeros_like(label), A.Draws(1, 0))
+    assert quiet == pytest.approx(np.where(a < A.DARK, 0, a))
+    still, same = A.spatial_stack(a, label, A.Draws(1, 0), p=0.0)
+    assert still is a and same is label
+    turned, _ = A.training(a, label, A.Draws(1, 0), A.TRAINING | {f"{k}_p": 0.0 for k in ("affine", "elastic", "low", "noise", "smooth")})
+    assert turned == pytest.approx(a)
+    m = A._turn([0.3, -0.2, 0.9])
+    assert m @ m.T == pytest.approx(np.eye(3)) and np.linalg.det(m) == pytest.approx(1)
+
+
+def test_guidance_and_saving():
+    a = np.random.default_rng(9).random((8, 8, 8))
+    a[0] = 0
+    g = A.finish_guidance(a, a, A.Draws(1, 0), (1.0, 1.0), native=True)
+    want = np.where(a < A.DARK, 0, np.clip(A.smooth(a, A.radius_kernel(1.0)), 0, 1))
+    assert g == pytest.approx(want) and (A.finish_guidance(a, a, A.Draws(1, 3), (0.2, 3.0), (0.5, 1.0))[0] == 0).all()
+    affine = np.diag([2.0, 2.0, 2.0, 1.0])
+    small, to = A.coarser(a, affine, 4.0)
+    assert small.shape == (4, 4, 4) and np.diag(to)[:3] == pytest.approx(4) and A.coarser(a, affine, 1.0)[0] is a
+    ch = [a, a * 2]
+    x, y = A.preprocess(ch, (a > 0.5).astype(float), np.diag([2.0, 1.0, 1.0, 1.0]), 1, [(1, 7)], (20, 8, 4), A.Draws(1, 0))
+    assert x.shape == y.shape == (20, 8, 4) and x.max() <= 1 and set(np.unique(y)) <= {0, 7}
+    assert (x[:2] == 0).all() and (x[-2:] == 0).all()  # 15 voxels of 1 mm in the middle of 20
+
+
+def test_inversion_scores():
+    v = np.random.default_rng(4).random(500)
+    maps = A.monotone_maps(5, 4)
+    got = A.inversion_scores(v, maps)
+    for s in range(5):
+        x, y, a = (m[s] for m in maps)
+        r = []
+        for q in v:
+            k = max(i for i in range(4) if x[i] <= q)
+            r.append(y[k] + ((q - x[k]) / (x[k + 1] - x[k])) ** a[k] * (y[k + 1] - y[k]))
+        r = np.sort(r)
+        lo, hi = np.quantile(r, (0.3333, 0.6667))
+        assert got[s] == pytest.approx(r[r > hi].mean() - r[r <= lo].mean())
+
+
+def test_patches_use_given_centres(cube):
+    a, d = cube
+    d = d.withColumn("label", F.when(F.col("z") > 2, F.col("label") + 1).otherwise(0))
+    out = R.synthesise_patches(d, R.kmeans_1d(d, [3], 1), 5)
+    g, z, label = back(out, "g"), back(out, "zed"), back(out, "label")
+    inside = label > 0
+    assert (g[~inside & (a < R.DARK)] == 0).all() and g.min() >= 0 and g.max() <= 1
+    assert z[inside].mean() == pytest.approx(0, abs=1e-6) and z[inside].std() == pytest.approx(1, abs=1e-3) and (z[~inside] == 0).all()
+
+
+def test_gmm_match(cube):
+    a, d = cube
+    g = back(R.gmm_match(d, 3), "g")
+    assert (g[a <= 1e-4] == 0).all() and 0 <= g.min() and g.max() <= 1 and not np.allclose(g[a > 0], a[a > 0])
+    order = np.argsort(a[a > 0])
+    assert (np.diff(g[a > 0][order]) >= -1e-12).all()
+
+
+def test_blur_mm(cube):
+    a, d = cube
+    want = a
+    for axis, spacing in enumerate((2.0, 1.0, 0.8)):
+        s = 1.2 / spacing
+        k = Wn.gaussian(max(1, int(3 * s + 0.5)), s)
+        r = len(k) // 2
+        p = np.pad(want, [(r, r) if i == axis else (0, 0) for i in range(3)], mode="edge")
+        want = sum(w * p.take(range(o, o + a.shape[axis]), axis=axis) for o, w in enumerate(k))
+    assert back(R.blur_mm(d, 1.2, {"z": 2.0, "y": 1.0, "x": 0.8})) == pytest.approx(want)
+
+
+def test_reports_say_that_they_go_on(spark):
+    d = spark.range(5)
+    assert sinks.markdown(d, 3).endswith("(the first 3 rows)") and sinks.aligned(d, 5).count("\n") == 5
+
+
 def test_folds_raise(spark):
     f = spark.createDataFrame([(1, 0, "train"), (1, 0, "val"), (2, 9, "val")], "id int, fold int, part string")
     with pytest.raises(ValueError, match="overlap"):
