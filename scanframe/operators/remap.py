@@ -79,15 +79,14 @@ def uniform_edges(k: Column) -> Column:
 
 
 def quantile_edges(d: DataFrame, ks: list[int], seed: int, dark: float = DARK) -> DataFrame:
-    """edges per volume: K drawn from ks, quantiles of the foreground, the ends forced to 0 and 1."""
-    k = rng.choice(ks, seed, "K", "vol")
-    most = {n: F.percentile("v", F.array(*[F.lit(i / n) for i in range(n + 1)])) for n in sorted(set(ks))}
-    q = d.where(foreground(dark)).groupBy("vol").agg(*[c.alias(f"_q{n}") for n, c in most.items()]).withColumn("k", k)
+    """vol, k, edges: K drawn from ks, quantiles of the foreground with the ends 0 and 1; even ones if the foreground has under K + 1 values."""
+    fg = F.when(foreground(dark), F.col("v"))
+    most = {n: F.percentile(fg, F.array(*[F.lit(i / n) for i in range(n + 1)])) for n in sorted(set(ks))}
+    q = d.groupBy("vol").agg(F.count(fg).alias("_n"), *[c.alias(f"_q{n}") for n, c in most.items()]).withColumn("k", rng.choice(ks, seed, "K", "vol"))
     edges = F.lit(None).cast("array<double>")
     for n in most:
-        inner = F.slice(f"_q{n}", 2, n - 1)
-        edges = F.when(F.col("k") == n, F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))).otherwise(edges)
-    return q.select("vol", "k", edges.alias("edges"))
+        edges = F.when(F.col("k") == n, F.concat(F.array(F.lit(0.0)), F.slice(f"_q{n}", 2, n - 1), F.array(F.lit(1.0)))).otherwise(edges)
+    return q.select("vol", "k", F.when(F.col("_n") > F.col("k"), edges).otherwise(uniform_edges(F.col("k"))).alias("edges"))
 
 
 def signed(seed: int, tag: str, *ids) -> Column:
@@ -105,26 +104,34 @@ def affine_by_region(d: DataFrame, mu: Column, alpha: Column, dark: float = DARK
     return d.join(drawn, ["vol", "region"]).withColumn("g", F.when(fg, F.col("_mu") + F.col("_al") * (F.col("v") - F.col("_m"))).otherwise(0.0)).drop("_m", "_mu", "_al")
 
 
-def chunks_remap(d: DataFrame, ks: list[int], seed: int, edges: str = "quantile", mode: str = "affine", mu: tuple[float, float] = (0.0, 1.0), alpha: tuple[float, float] = (0.5, 2.0), order: str | None = None, dark: float = DARK) -> DataFrame:
-    """Values cut at quantile or uniform edges, each chunk remapped: affine, constant, or permuted (translated to another chunk's range)."""
-    if edges == "quantile":
-        e = quantile_edges(d, ks, seed, dark)
-    else:
-        e = d.select("vol").distinct().withColumn("k", rng.choice(ks, seed, "K", "vol")).withColumn("edges", uniform_edges(F.col("k")))
-    j = d.join(e, "vol").withColumn("region", chunk_of(F.col("v"), F.col("edges")))
-    m = rng.between(*mu, seed, "mu", "vol", "region")
-    if order or mode == "permute":
-        drawn = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(rng.uniform(seed, "mu", F.col("vol"), i).alias("u"), i.alias("i")))
-        ranked = F.sort_array(drawn, asc=order != "desc")
-        if mode == "permute":
-            to = F.get(ranked, F.col("region"))["i"]
-            at = lambda i: F.get(F.col("edges"), i)
-            t = F.coalesce((F.col("v") - at(F.col("region"))) / F.nullif(at(F.col("region") + 1) - at(F.col("region")), F.lit(0.0)), F.lit(0.0))
-            return j.withColumn("g", F.when(foreground(dark), at(to) + t * (at(to + 1) - at(to))).otherwise(0.0)).drop("edges", "k")
-        m = F.lit(mu[0]) + (mu[1] - mu[0]) * F.get(ranked, F.col("region"))["u"]
-    if mode == "constant":
-        return j.withColumn("g", F.when(foreground(dark), m).otherwise(0.0)).drop("edges", "k")
-    return affine_by_region(j, m, rng.between(*alpha, seed, "alpha", "vol", "region"), dark, ("k",)).drop("edges", "k")
+def chunk_levels(d: DataFrame, ks: list[int], seed: int, even: bool = False, levels: list[tuple[float, float]] | None = None, alpha: tuple[float, float] = (0.5, 2.0), falling: bool = False, dark: float = DARK) -> DataFrame:
+    """Values cut at quantiles of the foreground (or evenly), each chunk remapped about its middle: level + alpha * (v - middle),
+    clamped. Levels are drawn from [0, 1] or from a range per chunk, and fall from chunk to chunk on demand. Result in g."""
+    e = d.select("vol").distinct().withColumn("k", rng.choice(ks, seed, "K", "vol")).withColumn("edges", uniform_edges(F.col("k"))) if even else quantile_edges(d, ks, seed, dark)
+    each = F.sequence(F.lit(0), F.col("k") - 1)
+    level = F.transform(each, lambda i: rng.uniform(seed, "mu", F.col("vol"), i)) if levels is None else F.array(*[rng.between(lo, hi, seed, "mu", F.col("vol"), F.lit(i)) for i, (lo, hi) in enumerate(levels)])
+    e = e.select(
+        "vol", "edges", (F.sort_array(level, asc=False) if falling else level).alias("_mu"), F.transform(each, lambda i: rng.between(*alpha, seed, "alpha", F.col("vol"), i)).alias("_al"),
+        F.transform(each, lambda i: (F.get("edges", i) + F.get("edges", i + 1)) / 2).alias("_mid"),
+    )
+    e = e.select("vol", "edges", F.explode(F.array(F.struct("_mu", "_al", "_mid"))).alias("_p"))  # drawn once a volume
+    j = d.join(e, "vol").withColumn("_r", chunk_of(F.col("v"), F.col("edges")))
+    of = lambda c: F.get(F.col(f"_p.{c}"), F.col("_r"))
+    return j.withColumn("g", F.when(foreground(dark), clamp01(of("_mu") + of("_al") * (F.col("v") - of("_mid")))).otherwise(0.0)).drop("edges", "_p", "_r")
+
+
+def chunk_swap(d: DataFrame, k: int, seed: int, dark: float = DARK) -> DataFrame:
+    """Foreground quantile chunks moved to each other's ranges by a drawn permutation; the background stays. Result in g."""
+    q = F.percentile(F.when(foreground(dark), F.col("v")), F.array(*[F.lit(i / k) for i in range(k + 1)]))
+    e = d.groupBy("vol").agg(q.alias("_q"))
+    ends = F.concat(F.array(F.least(F.get("_q", F.lit(0)), F.lit(dark))), F.slice("_q", 2, k - 1), F.array(F.greatest(F.element_at("_q", -1), F.lit(1.0))))
+    order = F.array_sort(F.array(*[F.struct(rng.uniform(seed, "mu", F.col("vol"), F.lit(i)).alias("u"), F.lit(i).alias("i")) for i in range(k)]))
+    e = e.select("vol", F.explode(F.array(F.struct(ends.alias("edges"), F.transform(order, lambda x: x["i"]).alias("to")))).alias("_p"))
+    j = d.join(e, "vol").withColumn("_r", chunk_of(F.col("v"), F.col("_p.edges")))
+    at = lambda i: F.get(F.col("_p.edges"), i)
+    to, r = F.get(F.col("_p.to"), F.col("_r")), F.col("_r")
+    t = (F.col("v") - at(r)) / F.greatest(at(r + 1) - at(r), F.lit(1e-8))
+    return j.withColumn("g", F.when(foreground(dark), clamp01(at(to) + t * (at(to + 1) - at(to)))).otherwise(F.col("v"))).drop("_p", "_r")
 
 
 def kmeans_1d(d: DataFrame, cs: list[int], seed: int, iterations: int = 10, sample: int = 10_000, dark: float = DARK) -> DataFrame:
@@ -320,23 +327,30 @@ def label_chunks(d: DataFrame, seed: int, ks: tuple[int, ...] = (2, 3, 4, 6, 8),
     return minmax(j, "g", dark).drop("_e", "_n", "_use", "region")
 
 
-def knot_map(d: DataFrame, seed: int, adaptive: bool, dark: float = DARK) -> DataFrame:
-    """A non-monotone map through four drawn knots, at fixed places or at foreground quantiles. Result in g."""
+def knot_map(d: DataFrame, seed: int, adaptive: bool, dark: float = 0.02) -> DataFrame:
+    """A map that rises to a peak, falls to a dip and rises to 1, at drawn places, or at drawn ranks of the foreground (of 100 values at
+    least, else all is 0). Result in g."""
+    draw = lambda lo, hi, tag: rng.between(lo, hi, seed, tag, "vol")
     if adaptive:
-        q = d.where(foreground(dark)).groupBy("vol").agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.0, 1 / 3, 2 / 3, 1.0)])).alias("_x"))
-        d = d.join(q, "vol", "left")
-        xs = [F.get("_x", F.lit(k)) for k in range(4)]
+        s = d.where(foreground(dark)).groupBy("vol").agg(F.array_sort(F.collect_list("v")).alias("_s"))
+        at = lambda q: F.get("_s", F.least(F.floor(q * F.size("_s")), F.size("_s") - 1).cast("int"))
+        s = s.select("vol", F.size("_s").alias("_n"), at(draw(0.55, 0.75, "q2")).alias("_x2"), at(draw(0.75, 0.90, "q3")).alias("_x3"), draw(0.68, 0.80, "top").alias("_top"), draw(0.50, 0.70, "ratio").alias("_dip"))
+        s = s.withColumns({"_x1": F.lit(dark), "_x3": F.when(F.col("_x2") >= F.col("_x3"), F.col("_x2") + 1e-4).otherwise(F.col("_x3")), "_dip": F.col("_dip") * F.col("_top")})
     else:
-        xs = [F.lit(k / 3) for k in range(4)]
-    ys = [rng.uniform(seed, f"knot{k}", "vol") for k in range(4)]
-    return d.withColumn("g", F.when(foreground(dark), interp(F.col("v"), xs, ys)).otherwise(0.0)).drop("_x")
+        s = d.select("vol").distinct().select("vol", F.lit(100).alias("_n"), draw(0.05, 0.15, "x1").alias("_x1"), draw(0.30, 0.50, "x2").alias("_x2"), draw(0.60, 0.80, "x3").alias("_x3"), draw(0.65, 0.80, "top").alias("_top"), draw(0.45, 0.62, "dip").alias("_dip"))
+    j, v = d.join(s, "vol", "left"), F.col("v")
+    up = (v - F.col("_x1")) / (F.col("_x2") - F.col("_x1")) * F.col("_top")
+    down = F.col("_top") + (v - F.col("_x2")) / (F.col("_x3") - F.col("_x2")) * (F.col("_dip") - F.col("_top"))
+    last = F.col("_dip") + (v - F.col("_x3")) / F.greatest(1 - F.col("_x3"), F.lit(1e-4)) * (1 - F.col("_dip"))
+    y = F.when(v < F.col("_x1"), 0.0).when(v < F.col("_x2"), up).when(v < F.col("_x3"), down).otherwise(last)
+    return j.withColumn("g", F.when(foreground(dark) & (F.col("_n") >= 100), clamp01(y)).otherwise(0.0)).drop(*[f"_{c}" for c in ("n", "x1", "x2", "x3", "top", "dip")])
 
 
 def ellipsoids(d: DataFrame, seed: int, ks: list[int], n: int = 3, radius: tuple[float, float] = (15.0, 80.0), dark: float = DARK) -> DataFrame:
     """Up to n ellipsoids about drawn foreground voxels, with radii in voxels, each with a chunk remap of its own over that of the
     rest. Result in g, clamped."""
-    remap = lambda s: minmax(chunks_remap(d, ks, s, edges="uniform", dark=dark), "g", dark)
-    out = remap(seed).drop("region")
+    remap = lambda s: chunk_levels(d, ks, s, even=True, dark=dark)
+    out = remap(seed)
     for b in range(n):
         middle = hash_sample(d.where(foreground(dark)), ["vol"], 1, seed, f"middle{b}", "vol", "i").select("vol", *[F.col(a).alias(f"_m{a}") for a in Wn.AXES])
         far = sum((((F.col(a) - F.col(f"_m{a}")) / rng.between(*radius, seed, f"r{b}{a}", "vol")) ** 2 for a in Wn.AXES), F.lit(0.0))
@@ -475,20 +489,23 @@ PERTURBERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
     "mild_gaussian": lambda d, seed: Wn.blur(d, 1.0, 4, "replicate").withColumn("g", F.col("v")),
 }
 
+#: Numbers of chunks that generators draw from.
+CHUNKS = [2, 3, 4, 6, 8, 12, 16]
+
 #: Generators by name; each maps (volume rows, seed) to rows with the guidance in g.
 GENERATORS: dict[str, Callable[[DataFrame, int], DataFrame]] = {
-    "legacy": lambda d, seed: chunks_remap(d, [8], seed, mode="permute"),
+    "legacy": lambda d, seed: chunk_swap(d, 8, seed),
     "v17": lambda d, seed: rbf_targets(d, seed, histogram_peaks(d)),
     "v19": lambda d, seed: label_texture(d, seed),
-    "v23": lambda d, seed: minmax(chunks_remap(d, [2, 3, 4, 6, 8, 12, 16], seed, edges="uniform")),
-    "v24": lambda d, seed: minmax(chunks_remap(d, [2, 3, 4, 6, 8, 12, 16], seed)),
+    "v23": lambda d, seed: chunk_levels(d, CHUNKS, seed, even=True),
+    "v24": lambda d, seed: chunk_levels(d, CHUNKS, seed, dark=0.02),
     "v24_nm": lambda d, seed: knot_map(d, seed, False),
     "v24_nm2": lambda d, seed: knot_map(d, seed, True),
-    "v24_t2w": lambda d, seed: minmax(chunks_remap(d, [3], seed, mu=(0.1, 0.9))),
-    "v24_pdw": lambda d, seed: minmax(chunks_remap(d, [3], seed, mu=(0.4, 0.8), alpha=(1.2, 1.8))),
-    "v24_desc": lambda d, seed: minmax(chunks_remap(d, [2, 3, 4], seed, order="desc")),
-    "v24_inv": lambda d, seed: minmax(chunks_remap(d, [2, 3, 4, 6, 8], seed)).withColumn("g", F.when(foreground(), F.when(rng.gate(0.5, seed, "inv", "vol"), 1 - F.col("v")).otherwise(F.col("g"))).otherwise(0.0)),
-    "v25": lambda d, seed: ellipsoids(d, seed, [2, 3, 4, 6, 8]),
+    "v24_t2w": lambda d, seed: chunk_levels(d, [3], seed, levels=[(0.6, 1.0), (0.2, 0.8), (0.0, 0.4)], dark=0.02),
+    "v24_pdw": lambda d, seed: chunk_levels(d, [3], seed, levels=[(0.02, 0.08), (0.55, 0.65), (0.40, 0.50)], alpha=(1.2, 1.8), dark=0.02),
+    "v24_desc": lambda d, seed: chunk_levels(d, [2, 3, 4], seed, falling=True, dark=0.02),
+    "v24_inv": lambda d, seed: chunk_levels(d, CHUNKS, seed, dark=0.02).withColumn("g", F.when(foreground(0.02), F.when(rng.uniform(seed, "inv", "vol") > 0.5, clamp01(1 - F.col("v"))).otherwise(F.col("g"))).otherwise(0.0)),
+    "v25": lambda d, seed: ellipsoids(d, seed, CHUNKS),
     "synthseg": lambda d, seed: synthseg_labels(d, seed),
     "v27a": lambda d, seed: label_chunks(d, seed),
     "v27a_bis": lambda d, seed: minmax(label_affine(parcellation_remap(d, "v26_4", seed).withColumnRenamed("g", "c"), seed, "c", 0.5, 100, sign=False).drop("c")),

@@ -45,18 +45,26 @@ def affine(source: str, mu: str, alpha: str) -> str:
 JOIN (SELECT vol AS mv, region AS mr, sum(CASE WHEN {FG} THEN v ELSE 0 END) / greatest(count(*) FILTER (WHERE {FG}), 1) AS m FROM ({source}) GROUP BY vol, region) q ON s.vol = mv AND s.region = mr"""
 
 
-def edges(ks: list[int], how: str) -> str:
+def edges(ks: list[int], how: str, seed: int = 42, dark: float = 0.01) -> str:
     """vol, k, e (edges)."""
-    k = pick(ks, "K", "vol")
+    k = pick(ks, "K", "vol", seed=seed)
     if how == "uniform":
         return f"SELECT vol, k, list_transform(range(0, k + 1), lambda j: j / k) AS e FROM (SELECT DISTINCT vol, {k} AS k FROM {{vox}})"
-    case = " ".join(f"WHEN {n} THEN list_concat([0.0], quantile_cont(v, [{', '.join(f'{j} / {n}.0' for j in range(1, n))}]), [1.0])" for n in sorted(set(ks)))
-    return f"SELECT vol, any_value(k) AS k, CASE any_value(k) {case} END AS e FROM (SELECT vol, v, {k} AS k FROM {{vox}} WHERE {FG}) GROUP BY vol"
+    case = " ".join(f"WHEN {n} THEN list_concat([0.0], quantile_cont(v, [{', '.join(f'{j} / {n}.0' for j in range(1, n))}]) FILTER (WHERE v > {dark}), [1.0])" for n in sorted(set(ks)))
+    return f"SELECT vol, any_value(k) AS k, CASE WHEN count(*) FILTER (WHERE v > {dark}) > any_value(k) THEN CASE any_value(k) {case} END END AS e FROM (SELECT vol, v, {k} AS k FROM {{vox}}) GROUP BY vol"
 
 
-def chunks(ks: list[int], how: str) -> str:
+def chunks(ks: list[int], how: str, seed: int = 42, dark: float = 0.01) -> str:
     """vol, i, v, k, e, region."""
-    return f"SELECT a.vol, i, v, k, e, greatest(0, least(len(list_filter(e, lambda b: b < v)) - 1, len(e) - 2))::INT AS region FROM {{vox}} a JOIN ({edges(ks, how)}) d ON a.vol = d.vol"
+    even = "list_transform(range(0, k + 1), lambda j: j / k)"
+    return f"SELECT *, greatest(0, least(len(list_filter(e, lambda b: b < v)) - 1, len(e) - 2))::INT AS region FROM (SELECT a.vol, i, v, k, coalesce(e, {even}) AS e FROM {{vox}} a JOIN ({edges(ks, how, seed, dark)}) d ON a.vol = d.vol)"
+
+
+def levels(ks: list[int], how: str, mu: str | None = None, alpha: str | None = None, seed: int = 42, dark: float = 0.01) -> str:
+    """vol, i, v, g: chunks remapped about their middles and clamped."""
+    mu = mu or u("mu", "vol", "region", seed=seed)
+    alpha = alpha or f"(0.5 + 1.5 * {u('alpha', 'vol', 'region', seed=seed)})"
+    return f"SELECT vol, i, v, CASE WHEN v > {dark} THEN least(greatest({mu} + {alpha} * (v - (e[region + 1] + e[region + 2]) / 2), 0), 1) ELSE 0 END AS g FROM ({chunks(ks, how, seed, dark)})"
 
 
 def out(body: str) -> str:
@@ -71,67 +79,85 @@ _K7 = [2, 3, 4, 6, 8, 12, 16]
 _MU, _AL = u("mu", "s.vol", "s.region"), f"(0.5 + 1.5 * {u('alpha', 's.vol', 's.region')})"
 
 
-@query("tg_v23_random_k", "vox", out(minmax(affine(chunks(_K7, "uniform"), _MU, _AL))))
+def _ranges(*pairs: tuple[float, float]) -> str:
+    return "CASE region " + " ".join(f"WHEN {k} THEN {lo} + {hi - lo!r} * {u('mu', 'vol', str(k))}" for k, (lo, hi) in enumerate(pairs)) + " END"
+
+
+@query("tg_v23_random_k", "vox", out(levels(_K7, "uniform")))
 def tg_v23_random_k(vox):
     return show(R.generate(vox, "v23"))
 
 
-@query("tg_v24_fg_quantile", "vox", out(minmax(affine(chunks(_K7, "quantile"), _MU, _AL))))
+@query("tg_v24_fg_quantile", "vox", out(levels(_K7, "quantile", dark=0.02)))
 def tg_v24_fg_quantile(vox):
     return show(R.generate(vox, "v24"))
 
 
-@query("tg_v24_t2w", "vox", out(minmax(affine(chunks([3], "quantile"), f"(0.1 + 0.8 * {_MU})", _AL))))
+@query("tg_v24_t2w", "vox", out(levels([3], "quantile", _ranges((0.6, 1.0), (0.2, 0.8), (0.0, 0.4)), dark=0.02)))
 def tg_v24_t2w(vox):
     return show(R.generate(vox, "v24_t2w"))
 
 
-@query("tg_v24_pdw", "vox", out(minmax(affine(chunks([3], "quantile"), f"(0.4 + 0.4 * {_MU})", f"(1.2 + 0.6 * {u('alpha', 's.vol', 's.region')})"))))
+@query("tg_v24_pdw", "vox", out(levels([3], "quantile", _ranges((0.02, 0.08), (0.55, 0.65), (0.40, 0.50)), f"(1.2 + 0.6 * {u('alpha', 'vol', 'region')})", dark=0.02)))
 def tg_v24_pdw(vox):
     return show(R.generate(vox, "v24_pdw"))
 
 
-_RANKED = f"list_sort(list_transform(range(0, k), lambda j: {{'u': {u('mu', 'vol', 'j')}, 'j': j}}), '%s')"
-
-
-@query("tg_v24_desc", "vox", out(minmax(affine(chunks([2, 3, 4], "quantile").replace("SELECT a.vol, i, v, k, e,", f"SELECT a.vol, i, v, {_RANKED.replace('vol', 'a.vol') % 'DESC'} AS r,"), "r[s.region + 1].u", _AL))))
+@query("tg_v24_desc", "vox", out(levels([2, 3, 4], "quantile", f"(list_reverse_sort(list_transform(range(0, k), lambda j: {u('mu', 'vol', 'j')})))[region + 1]", dark=0.02)))
 def tg_v24_desc(vox):
     return show(R.generate(vox, "v24_desc"))
 
 
-@query("tg_v24_inv", "vox", f"SELECT vol, i, round(CASE WHEN NOT ({FG}) THEN 0 WHEN {u('inv', 'vol')} < 0.5 THEN 1 - v ELSE g END, 6) AS g FROM ({minmax(affine(chunks([2, 3, 4, 6, 8], 'quantile'), _MU, _AL))})")
+@query("tg_v24_inv", "vox", f"SELECT vol, i, round(CASE WHEN v <= 0.02 THEN 0 WHEN {u('inv', 'vol')} > 0.5 THEN least(greatest(1 - v, 0), 1) ELSE g END, 6) AS g FROM ({levels(_K7, 'quantile', dark=0.02)})")
 def tg_v24_inv(vox):
     return show(R.generate(vox, "v24_inv"))
 
 
-@query("tg_legacy", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN e[t + 1] + CASE WHEN e[region + 2] > e[region + 1] THEN (v - e[region + 1]) / (e[region + 2] - e[region + 1]) ELSE 0 END * (e[t + 2] - e[t + 1]) ELSE 0 END, 6) AS g FROM (SELECT *, ({_RANKED % 'ASC'})[region + 1].j AS t FROM ({chunks([8], 'quantile')}))")
+_SWAP = "[" + ", ".join(f"{k} / 8.0" for k in range(9)) + "]"
+
+
+@query("tg_legacy", "vox", f"""WITH q AS (SELECT vol AS w, quantile_cont(v, {_SWAP}) AS q FROM {{vox}} WHERE {FG} GROUP BY vol), e AS (SELECT w, list_concat([least(q[1], 0.01)], q[2:8], [greatest(q[9], 1.0)]) AS e, list_transform(list_sort([{', '.join(f"struct_pack(u := {u('mu', 'w', str(k))}, j := {k})" for k in range(8))}]), lambda x: x.j) AS t FROM q),
+r AS (SELECT vol, i, v, e, t, greatest(0, least(len(list_filter(e, lambda b: b < v)) - 1, 7))::INT AS r FROM {{vox}} JOIN e ON vol = w)
+SELECT vol, i, round(CASE WHEN {FG} THEN least(greatest(e[t[r + 1] + 1] + (v - e[r + 1]) / greatest(e[r + 2] - e[r + 1], 1e-8) * (e[t[r + 1] + 2] - e[t[r + 1] + 1]), 0), 1) ELSE v END, 6) AS g FROM r""")
 def tg_legacy(vox):
     return show(R.generate(vox, "legacy"))
 
 
-@query("dispatch_targets", "vox", f"SELECT vol, round(avg(g), 6) AS mean FROM ({minmax(affine(chunks(_K7, 'uniform'), _MU, _AL))}) GROUP BY vol")
+@query("dispatch_targets", "vox", f"SELECT vol, round(avg(g), 6) AS mean FROM ({levels(_K7, 'uniform')}) GROUP BY vol")
 def dispatch_targets(vox):
     return R.generate(vox, "v23").groupBy("vol").agg(r6(F.avg("g")).alias("mean"))
 
 
-def _interp(x: str, xs: list[str], ys: list[str]) -> str:
-    body = " ".join(f"WHEN {x} <= {xs[k]} THEN {ys[k - 1]} + coalesce(({x} - {xs[k - 1]}) / nullif({xs[k]} - {xs[k - 1]}, 0), 0) * ({ys[k]} - {ys[k - 1]})" for k in range(1, len(xs)))
-    return f"CASE WHEN {x} <= {xs[0]} THEN {ys[0]} {body} ELSE {ys[-1]} END"
+def _between(lo: float, hi: float, tag: str) -> str:
+    return f"({lo} + {hi - lo!r} * {u(tag, 'vol')})"
 
 
-_KNOTS = [u(f"knot{k}", "vol") for k in range(4)]
+def _knots(places: str) -> str:
+    """places: vol, n, x1, x2, x3, top, dip of each volume."""
+    return f"""SELECT vol, i, round(CASE WHEN v <= 0.02 OR n < 100 OR n IS NULL OR v < x1 THEN 0 ELSE least(greatest(CASE WHEN v < x2 THEN (v - x1) / (x2 - x1) * top WHEN v < x3 THEN top + (v - x2) / (x3 - x2) * (dip - top)
+ ELSE dip + (v - x3) / greatest(1 - x3, 1e-4) * (1 - dip) END, 0), 1) END, 6) AS g FROM {{vox}} LEFT JOIN ({places}) ON vol = w"""
 
 
-@query("tg_v24_nm", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN {_interp('v', [f'({k} / 3.0)' for k in range(4)], _KNOTS)} ELSE 0 END, 6) AS g FROM {{vox}}")
+@query("tg_v24_nm", "vox", _knots(f"SELECT vol AS w, 100 AS n, {_between(0.05, 0.15, 'x1')} AS x1, {_between(0.30, 0.50, 'x2')} AS x2, {_between(0.60, 0.80, 'x3')} AS x3, {_between(0.65, 0.80, 'top')} AS top, {_between(0.45, 0.62, 'dip')} AS dip FROM (SELECT DISTINCT vol FROM {{vox}})"))
 def tg_v24_nm(vox):
     return show(R.generate(vox, "v24_nm"))
 
 
-@query("tg_v24_nm2", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN {_interp('v', [f'q[{k}]' for k in range(1, 5)], _KNOTS)} ELSE 0 END, 6) AS g FROM {{vox}} JOIN (SELECT vol AS w, quantile_cont(v, [0, 1.0 / 3, 2.0 / 3, 1]) AS q FROM {{vox}} WHERE {FG} GROUP BY vol) ON vol = w")
+_RANK = "s[least(floor({0} * len(s))::INT, len(s) - 1) + 1]"
+
+
+@query("tg_v24_nm2", "vox", _knots(f"""SELECT vol AS w, len(s) AS n, 0.02 AS x1, {_RANK.format(_between(0.55, 0.75, 'q2'))} AS x2,
+ CASE WHEN {_RANK.format(_between(0.55, 0.75, 'q2'))} >= {_RANK.format(_between(0.75, 0.90, 'q3'))} THEN {_RANK.format(_between(0.55, 0.75, 'q2'))} + 1e-4 ELSE {_RANK.format(_between(0.75, 0.90, 'q3'))} END AS x3,
+ {_between(0.68, 0.80, 'top')} AS top, {_between(0.50, 0.70, 'ratio')} * {_between(0.68, 0.80, 'top')} AS dip FROM (SELECT vol, list_sort(list(v)) AS s FROM {{vox}} WHERE v > 0.02 GROUP BY vol)"""))
 def tg_v24_nm2(vox):
     return show(R.generate(vox, "v24_nm2"))
 
 
+def _interp(x: str, xs: list[str], ys: list[str]) -> str:
+    body = " ".join(f"WHEN {x} <= {xs[k]} THEN {ys[k - 1]} + coalesce(({x} - {xs[k - 1]}) / nullif({xs[k]} - {xs[k - 1]}, 0), 0) * ({ys[k]} - {ys[k - 1]})" for k in range(1, len(xs)))
+    return f"CASE WHEN {x} <= {xs[0]} THEN {ys[0]} {body} ELSE {ys[-1]} END"
+
+
 @query("fn_interp1d", "vox", f"SELECT vol, i, round({_interp('v', ['0.0', '0.2', '0.9'], ['0.5', '1.0', '0.0'])}, 6) AS g FROM {{vox}}")
 def fn_interp1d(vox):
     return show(vox.withColumn("g", R.interp(F.col("v"), [F.lit(x) for x in (0.0, 0.2, 0.9)], [F.lit(x) for x in (0.5, 1.0, 0.0)])))
@@ -215,10 +241,10 @@ _AS_DESCRIBED = {
 _AFTER = {"v26_8": "invert", "v26_9": "gamma", "v26_10": "texture", "v28_1": "rician", "v28_2": "", "v28_3": "dropout", "v28_4": "dropout"}
 
 
-def _parcels(o: dict, seed: int = 42, source: str = "{vox}") -> str:
-    """CTEs up to reg: vol, i, v, z, y, x, c, one, klass, region."""
+def _parcels(o: dict, seed: int = 42, source: str = "{vox}", whole: str | None = None) -> str:
+    """CTEs up to reg: vol, i, v, z, y, x, c, one, klass, region. whole: where the clusters come from, if not from source."""
     cl = "vol, cluster"
-    s = f"""WITH {_kmeans(o['cs'], seed)},
+    s = f"""WITH {_kmeans(o['cs'], seed).replace('{vox}', whole or '{vox}')},
 cent AS (SELECT vol AS cv, any_value(c) AS c, list(m ORDER BY j) AS ms FROM k10 GROUP BY vol),
 clu AS (SELECT vol, i, z, y, x, v, label, c, len(list_filter(range(1, len(ms)), lambda q: (ms[q] + ms[q + 1]) / 2 < v))::INT AS cluster FROM {{vox}} JOIN cent ON vol = cv)"""
     if o["cells"]:
@@ -231,10 +257,10 @@ cel AS (SELECT clu.*, CASE WHEN {u('skip', 'clu.vol', 'clu.cluster', seed=seed)}
         s += ",\ncel AS (SELECT *, 0 AS cell FROM clu)"
     s += f""",
 reg AS (SELECT *, CASE WHEN one THEN 0 ELSE cluster END AS klass, CASE WHEN one THEN 0 ELSE (cluster * 100 + cell)::INT END AS region FROM (SELECT *, {u('all', 'vol', seed=seed)} < {o['one']} AS one FROM cel))"""
-    return s.replace("{vox}", source)
+    return s.replace("{vox}", source).replace("{all}", "{vox}")
 
 
-def _remap_sql(o: dict, seed: int = 42, source: str = "{vox}") -> str:
+def _remap_sql(o: dict, seed: int = 42, source: str = "{vox}", whole: str | None = None) -> str:
     """vol, i, v, g of every voxel."""
     klass = u("mu", "s.vol", "s.klass", seed=seed)
     level = {"region": u("mu", "s.vol", "s.region", seed=seed), "class": klass}.get(o["level"])
@@ -246,7 +272,7 @@ def _remap_sql(o: dict, seed: int = 42, source: str = "{vox}") -> str:
     if o["flat"]:
         slope = f"CASE WHEN {u('const', 's.vol', 's.klass', seed=seed)} < {o['flat']}{'' if o['flat'] >= 1 else ' AND NOT one'} THEN 0 ELSE {slope} END"
     body = affine("SELECT * FROM reg", f"({level})", f"({slope})")
-    return f"{_parcels(o, seed, source)}\n{minmax(body) if o['scaled'] else body}"
+    return f"{_parcels(o, seed, source, whole)}\n{minmax(body) if o['scaled'] else body}"
 
 
 def _places(body: str, value: str = "g") -> str:
@@ -375,25 +401,52 @@ def vol_fast_v2(vox):
     return R.synthesise_labels(vox).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
 
 
-@query("patch_fast", "vox")
+def _blurred(source: str, sigma: str) -> str:
+    """g of source blurred by the width that sigma gives for the volume."""
+    return " UNION ALL ".join(f"SELECT * FROM ({_filtered(Wn.gaussian(max(1, int(3 * s + 0.5)), s), source, 'g') if s else source}) WHERE {sigma.replace('TAG', 'sigma').replace('SEED', '42')} = {s}" for s in (0.0, 0.5, 1.0))
+
+
+def _labelled(text: str, prepare: str, finish: str, deviation: str, source: str = "{vox}") -> str:
+    """Generator text, then blur and z-scores inside the labels; deviation of g over them."""
+    cut = text.index("\nSELECT s.vol")
+    return f"""{text[:cut]},
+first AS (SELECT b.vol, b.i, b.z, b.y, b.x, b.label, b.v, {prepare} AS g FROM ({text[cut + 1 :]}) a JOIN {source} b ON a.vol = b.vol AND a.i = b.i),
+done AS (SELECT vol, i, label, {finish} AS g FROM ({_blurred('SELECT * FROM first', _EACH)}))
+SELECT vol, i, round(g, 5) AS g, round(CASE WHEN label > 0 THEN (g - m) / s ELSE 0 END, 5) AS zed FROM done JOIN (SELECT vol AS w, avg(g) AS m, {deviation} AS s FROM done WHERE label > 0 GROUP BY vol) ON vol = w"""
+
+
+_PATCH = "(SELECT * REPLACE (CASE WHEN label > 0 THEN greatest(v, 0.01 * (1 + 1e-9)) ELSE 0 END AS v) FROM {all} WHERE z < 6)"
+
+
+@query("patch_fast", "vox", _labelled(_remap_sql(_AS_DESCRIBED["raw"], 42, _PATCH, "{all}"), "CASE WHEN label > 0 THEN least(greatest(g, 0), 1) ELSE 0 END", "CASE WHEN v < 0.01 THEN 0 ELSE g END", "sqrt(var_pop(g) + 1e-7)"))
 def patch_fast(vox):
-    """The lower half of each volume, with the clusters of the whole."""
+    """The lower part of each volume, with the clusters of the whole."""
     centres = R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42)
     return R.synthesise_patches(vox.where("z < 6"), centres).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
 
 
-@query("vol_label_mask", "vox")
+@query("vol_label_mask", "vox", _labelled(_remap_sql(_AS_DESCRIBED["v26_6"]), "g", "CASE WHEN v < 0.01 THEN 0 ELSE least(greatest(g, 0), 1) END", "stddev_samp(g) + 1e-7"))
 def vol_label_mask(vox):
     return R.synthesise_in_labels(vox).select("vol", "i", F.round("g", 5).alias("g"), F.round("zed", 5).alias("zed"))
 
 
-@query("vol_debug_v2", "vox", _parcels(_PLAIN) + " SELECT vol, cluster, count(*) AS voxels, count(DISTINCT cell) AS cells FROM cel GROUP BY ALL")
-def vol_debug_v2(vox):
-    j = vox.join(R.kmeans_1d(vox, [2, 3, 4, 5, 6], 42), "vol").withColumn("cluster", R.cluster_of(F.col("v"), F.col("centroids")))
-    return R.voronoi(j, list(range(2, 11)), 42, 0.0).groupBy("vol", "cluster").agg(F.count(F.lit(1)).alias("voxels"), F.count_distinct("cell").alias("cells"))
+_SMOOTH64 = " + ".join(f"coalesce({'lag' if o <= 0 else 'lead'}(w, {abs(o)}) OVER o, 0) * {Wn.gaussian(3, 1.0)[o + 3]!r}" for o in range(-3, 4))
+_HIST64 = """SELECT vol, bin, sum(w) AS w FROM (SELECT vol, unnest([struct_pack(bin := least(greatest(floor(p), 0), 63)::INT, w := least(greatest(floor(p) + 1 - p, 0), 1)),
+  struct_pack(bin := least(greatest(floor(p) + 1, 0), 63)::INT, w := least(greatest(p - floor(p), 0), 1))], recursive := true) FROM (SELECT vol, v / (1.0 / 63 + 1e-8) AS p FROM {vox})) GROUP BY ALL"""
+_PEAKS = f"""SELECT vol AS qv, list(bin / 63.0 ORDER BY n) AS q FROM (SELECT vol, bin, row_number() OVER (PARTITION BY vol ORDER BY s DESC, bin) AS n FROM (SELECT vol, bin, s, coalesce(lag(s) OVER o, s) AS l, coalesce(lead(s) OVER o, s) AS r
+ FROM (SELECT vol, bin, round({_SMOOTH64}, 9) AS s FROM (SELECT g.vol, g.bin, coalesce(h.w, 0) AS w FROM (SELECT vol, b::INT AS bin FROM (SELECT DISTINCT vol FROM {{vox}}), range(0, 64) t(b)) g LEFT JOIN ({_HIST64}) h ON g.vol = h.vol AND g.bin = h.bin) WINDOW o AS (PARTITION BY vol ORDER BY bin))
+ WINDOW o AS (PARTITION BY vol ORDER BY bin)) WHERE s >= l AND s >= r) WHERE n <= 4 GROUP BY vol"""
+
 
+def _soft(centres: str, temperature: float, extra: str, dark: str) -> str:
+    """Softmax over the list q of centres, times drawn targets."""
+    w = f"list_transform(range(0, len(q)), lambda k: exp(-pow(v - q[k + 1], 2) / {temperature} - top))"
+    hit = f"list_sum(list_transform(range(0, len(q)), lambda k: exp(-pow(v - q[k + 1], 2) / {temperature} - top) * {u('target', 'vol', 'k')}))"
+    near = f"SELECT *, list_max(list_transform(range(0, len(q)), lambda k: -pow(v - q[k + 1], 2) / {temperature})) AS top FROM {{vox}} JOIN ({centres}) ON vol = qv"
+    return f"SELECT vol, i, round(CASE WHEN {dark} THEN least(greatest({hit} / list_sum({w}){extra}, 0), 1) ELSE 0 END, 6) AS g FROM ({near})"
 
-@query("tg_v17_anchor", "vox")
+
+@query("tg_v17_anchor", "vox", _soft(_PEAKS, 0.01, "", FG))
 def tg_v17_anchor(vox):
     return show(R.generate(vox, "v17"))
 
@@ -409,7 +462,18 @@ def tg_v19_label(vox):
     return show(R.generate(vox, "v19"))
 
 
-@query("tg_v25_blobs", "vox")
+def _blobs_sql() -> str:
+    one = lambda seed: levels(_K7, "uniform", seed=seed)
+    ctes, g, joins = [f"r0 AS ({one(42)})"], "r0.g", ""
+    for b in range(3):
+        ctes += [f"r{b + 1} AS ({one(43 + b)})", f"m{b} AS (SELECT vol, z, y, x FROM {{vox}} WHERE {FG} QUALIFY row_number() OVER (PARTITION BY vol ORDER BY md5(concat_ws(':', '42', 'middle{b}', vol::VARCHAR, i::VARCHAR)), vol, i) = 1)"]
+        far = " + ".join(f"pow((a.{t} - m{b}.{t}) / (15.0 + 65.0 * {u(f'r{b}{t}', 'a.vol')}), 2)" for t in ("z", "y", "x"))
+        g = f"CASE WHEN {far} <= 1 AND {u('blobs', 'a.vol')} * 4 > {b + 1} THEN r{b + 1}.g ELSE {g} END"
+        joins += f" JOIN m{b} ON m{b}.vol = a.vol JOIN r{b + 1} ON r{b + 1}.vol = a.vol AND r{b + 1}.i = a.i"
+    return f"WITH {', '.join(ctes)} SELECT a.vol, a.i, round(CASE WHEN a.v > 0.01 THEN least(greatest({g}, 0), 1) ELSE 0 END, 6) AS g FROM {{vox}} a JOIN r0 ON r0.vol = a.vol AND r0.i = a.i{joins}"
+
+
+@query("tg_v25_blobs", "vox", _blobs_sql())
 def tg_v25_blobs(vox):
     return show(R.generate(vox, "v25"))
 
@@ -484,13 +548,6 @@ def fn_smooth(vox):
     return show(Wn.blur(vox, 0.8).withColumn("g", F.col("v")))
 
 
-def _soft(centres: str, temperature: float, extra: str, dark: str) -> str:
-    """Softmax over the list q of centres, times drawn targets."""
-    w = f"list_transform(range(0, len(q)), lambda k: exp(-pow(v - q[k + 1], 2) / {temperature}))"
-    top = f"list_sum(list_transform(range(0, len(q)), lambda k: exp(-pow(v - q[k + 1], 2) / {temperature}) * {u('target', 'vol', 'k')}))"
-    return f"SELECT vol, i, round(CASE WHEN {dark} THEN least(greatest({top} / list_sum({w}){extra}, 0), 1) ELSE 0 END, 6) AS g FROM {{vox}} JOIN ({centres}) ON vol = qv"
-
-
 @query("fn_soft_quantile", "vox", _soft("SELECT vol AS qv, quantile_cont(v, [0.1, 0.3, 0.5, 0.7, 0.9]) AS q FROM {vox} GROUP BY vol", 0.05, f" + 0.02 * {normal('rn', 'vol', 'i')}", "v > 1e-4"))
 def fn_soft_quantile(vox):
     return show(R.soft_quantiles(vox, 42))
@@ -511,7 +568,17 @@ def fn_gmm_match(vox):
     return show(R.gmm_match(vox, 42))
 
 
-@query("blur_mm", "vox")
+def _held(kernels: dict[str, list[float]]) -> str:
+    """Filters along the axes, end values held."""
+    source = "SELECT * FROM {vox}"
+    for a, k in kernels.items():
+        others, r = ", ".join(x for x in ("z", "y", "x") if x != a), len(k) // 2
+        terms = " + ".join(f"coalesce({'lag' if o <= 0 else 'lead'}(v, {abs(o)}) OVER w, {'first' if o <= 0 else 'last'}_value(v) OVER f) * {k[o + r]!r}" for o in range(-r, r + 1))
+        source = f"SELECT * REPLACE ({terms} AS v) FROM ({source}) WINDOW w AS (PARTITION BY vol, {others} ORDER BY {a}), f AS (PARTITION BY vol, {others} ORDER BY {a} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"SELECT vol, i, round(v, 6) AS g FROM ({source})"
+
+
+@query("blur_mm", "vox", _held({a: Wn.gaussian(max(1, int(3 * 1.2 / s + 0.5)), 1.2 / s) for a, s in (("z", 2.0), ("y", 1.0), ("x", 0.8))}))
 def blur_mm(vox):
     return show(R.blur_mm(vox, 1.2, {"z": 2.0, "y": 1.0, "x": 0.8}).withColumn("g", F.col("v")))
 
@@ -531,16 +598,16 @@ def fn_perturb_bezier(vox):
     return show(R.PERTURBERS["bezier"](vox, 42))
 
 
-@query("fn_perturb_noise", "vox")
+@query("fn_perturb_noise", "vox", f"SELECT vol, i, round(CASE WHEN {FG} THEN least(greatest(v + 0.2 * noise, 0), 1) ELSE 0 END, 6) AS g FROM ({_texture('SELECT * FROM {vox}')})")
 def fn_perturb_noise(vox):
     return show(R.PERTURBERS["procedural_noise"](vox, 42))
 
 
-@query("fn_perturb_mild", "vox")
+@query("fn_perturb_mild", "vox", _held(dict.fromkeys(("z", "y", "x"), Wn.gaussian(4, 1.0))))
 def fn_perturb_mild(vox):
     return show(R.PERTURBERS["mild_gaussian"](vox, 42))
 
 
-@query("fn_perturb_heavy", "vox")
+@query("fn_perturb_heavy", "vox", _held(dict.fromkeys(("z", "y", "x"), Wn.gaussian(10, 3.0))))
 def fn_perturb_heavy(vox):
     return show(R.PERTURBERS["heavy_gaussian"](vox, 42))
