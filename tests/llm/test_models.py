@@ -51,7 +51,7 @@ class Ppm:
         return out / (256 - len(gone))
 
 
-DOCS = [(i, t, "en") for i, t in enumerate(["The cat sat on the mat", "the dog sat", "", None, "A\tÉtÉ sat\non the mat zq", "the the the the", "x" * 500, "cat  dog cat"] * 3)] + [(None, "the cat", "en"), (None, "the cat", "en")]
+DOCS = [(i, t, "en") for i, t in enumerate(["The cat sat on the mat", "the dog sat", "", None, "A\tÉtÉ sat\non the mat zq", "the the the the", "x" * 500, "cat  dog cat", "ab cd " * 4000 + "é"] * 3)] + [(None, "the cat", "en"), (None, "the cat", "en")]
 
 
 def test_lm_scores(spark):
@@ -148,6 +148,26 @@ def test_language_id(spark):
     assert langid.predict(table(spark, []), langid.fit(table(spark, []))).count() == 0
 
 
+def test_language_id_against_plain_sums(spark):
+    docs = table(spark, [(i, f"the cat sat on mat {i}", "en") for i in range(30)] + [(100 + i, f"le chat {i} est la", "fr") for i in range(30)])
+    langs, m = langid.fit(docs)
+    texts = ["the chat", "le cat EST", "zq\nthe the le", "é"]
+
+    def likelihood(w, k):
+        f = [1.0]
+        for d in range(1, len(w) + 1):
+            f.append(sum(f[d - n] * math.exp(m.logp[m.ids[w[d - n : d]], k]) for n in range(1, min(d, m.longest) + 1) if w[d - n : d] in m.ids))
+        return math.log(f[-1])
+
+    got = {r.doc_id: r for r in langid.predict(table(spark, [(i, t, None) for i, t in enumerate(texts)]), (langs, m)).collect()}
+    for i, t in enumerate(texts):
+        x = np.array([sum(likelihood(lattice.MARK + w, k) for w in t.lower().encode().split()) for k in range(len(langs))])
+        post = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert got[i].lang_pred == langs[int(x.argmax())] and got[i].score == pytest.approx(post.max())
+    tie = langid.predict(table(spark, [(1, "zz", None)]), (["a", "b"], lattice.Lattice(m.vocab, np.zeros((len(m.vocab), 2)) - 9))).first()
+    assert tie.lang_pred == "a" and tie.score == pytest.approx(0.5)
+
+
 def test_language_id_of_rare_words(spark):
     rare = "".join(chr(0x1F600 + k) for k in range(11))
     docs = table(spark, [(i, f"the cat sat number {i}", "en") for i in range(50)] + [(100 + i, f"le chat {i} est la", "fr") for i in range(50)])

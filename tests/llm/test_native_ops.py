@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,46 @@ def test_mix_keeps_repeated_rows(spark):
     rows = [(1, "same", "en", "a")] * 50 + [(2, None, "en", None)] * 3
     got = mixing.mix(table(spark, rows), block=4).select("row.doc_id", "slot", "place").collect()
     assert Counter(r.doc_id for r in got) == {1: 50, 2: 3} and len({(r.slot, r.place) for r in got}) == 53
+
+
+def edf(weights, sizes, block):
+    """Slot by slot: of the blocks released by now, the one with the earliest deadline; empty slots are closed up."""
+    w = [Fraction(x) / sum(map(Fraction, weights)) for x in weights]
+    blocks, done, out, t = [-(-n // block) for n in sizes], [0] * len(w), [], 0
+    while any(d < b for d, b, x in zip(done, blocks, w, strict=True) if x):
+        ready = [(math.ceil((done[i] + 1) / x), -x, i) for i, x in enumerate(w) if x and done[i] < blocks[i] and math.floor(done[i] / x) <= t]
+        if not ready:  # the earliest release comes next
+            i = min((math.floor(done[i] / x), i) for i, x in enumerate(w) if x and done[i] < blocks[i])[1]
+            ready = [(0, 0, i)]
+        i = min(ready)[2]
+        out.append(i)
+        done[i] += 1
+        t += 1
+    return out + [i for i, x in enumerate(w) if not x for _ in range(blocks[i])]
+
+
+def test_schedule_against_slot_by_slot():
+    r = random.Random(7)
+    for _ in range(60):
+        n = r.randrange(1, 7)
+        weights = [r.choice([1, 2, 3, 0.5, 0.3, 7, r.random()]) for _ in range(n)]
+        sizes = [r.randrange(1, 90) for _ in range(n)]
+        picks, horizon = mixing.schedule([float(x) for x in weights], sizes, 3)
+        want = edf([float(x) for x in weights], sizes, 3)
+        assert sorted(picks.tolist()) == sorted(want) and 0 <= horizon <= len(want)
+        assert picks.tolist()[:horizon] == want[:horizon]
+        done, total = [0] * n, sum(map(Fraction, map(float, weights)))
+        for t, i in enumerate(picks.tolist()[:horizon]):
+            done[i] += 1
+            assert all(abs(d - (t + 1) * Fraction(float(x)) / total) < 1 for d, x in zip(done, weights, strict=True))
+
+
+def test_schedule_over_a_million_slots():
+    weights = [0.1, 0.37, 0.0123, 1 / 3, 0.000517]
+    total = sum(map(Fraction, weights))
+    picks, horizon = mixing.schedule(weights, [int(x / float(total) * 1_000_000) + 5 for x in weights], 1)
+    assert horizon > 990_000
+    for i, x in enumerate(weights):
+        share = float(Fraction(x) / total)
+        off = np.cumsum(picks[:horizon] == i) - share * np.arange(1, horizon + 1)
+        assert np.abs(off).max() < 1 + 1e-6
