@@ -316,3 +316,20 @@ def brute_force(rows: list[tuple], threshold: float = THRESHOLD) -> list[tuple]:
         head = min((j for j in range(len(rows)) if group[j] == group[i]), key=order)
         out.append((doc_id, rows[min(same, key=order)][0], rows[head][0], len(near[i]), len({sets[j] for j in near[i]} - {sets[i]})))
     return out
+
+
+#: All pairs that share a shingle; the ids of the tables are unique. Exact, so it equals the operator where no link is missed.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM w WHERE len(w) > 0) AS x),
+d AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS cls, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT cls, min(doc_id) AS first, count(*) AS size, any_value(n) AS n FROM d GROUP BY cls),
+r AS (SELECT c.cls, s.g FROM c JOIN s ON s.doc_id = c.first),
+p AS (SELECT a.cls AS a, b.cls AS b, count(*) AS both FROM r a JOIN r b ON a.g = b.g AND a.cls <> b.cls GROUP BY a.cls, b.cls),
+l AS (SELECT p.a, p.b, y.size FROM p JOIN c x ON x.cls = p.a JOIN c y ON y.cls = p.b WHERE p.both >= 0.8 * (x.n + y.n - p.both) - 1e-9),
+t AS (SELECT a AS cls, count(*) AS links, sum(size) AS docs FROM l GROUP BY a),
+reach AS (SELECT cls, cls AS other FROM c UNION SELECT reach.cls, l.b FROM reach JOIN l ON l.a = reach.other),
+h AS (SELECT reach.cls, min(c.first) AS head FROM reach JOIN c ON c.cls = reach.other GROUP BY reach.cls)
+SELECT w.doc_id, coalesce(c.first, w.doc_id) AS copy_of, coalesce(h.head, w.doc_id) AS class_id, (coalesce(c.size, 1) - 1 + coalesce(t.docs, 0))::BIGINT AS n_links, coalesce(t.links, 0)::BIGINT AS n_class_links
+FROM w LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN c ON c.cls = d.cls LEFT JOIN h ON h.cls = d.cls LEFT JOIN t ON t.cls = d.cls
+"""

@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.sql(), "op8_decontaminate": decontam.OP8_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {
+        "op3_warc_index": warc.OP3_SQL,
+        "op4_ngram_join": ngram_join.OP4_SQL,
+        "op7_quality_rules": quality.sql(),
+        "op8_decontaminate": decontam.OP8_SQL,
+        "op10_line_dedup": line_dedup.OP10_SQL,
+    }

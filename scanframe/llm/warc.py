@@ -342,3 +342,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages, then looks the url of every page up in the index and reads what was archived for it."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return lookup(write_archives(pages), pages, payloads=False).drop("payload", "url")
+
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_QUARTERS = " || ".join(f"substr('{_B32}', (((('0x' || substr(s, {5 * k + 1}, 5))::INT >> {shift}) & 31) + 1)::INT, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+#: The rows of the query from the table alone; the ids of the tables are unique.
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages), r AS (SELECT s, max(page_id) AS top FROM p GROUP BY s)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, {_QUARTERS.replace("substr(s,", "substr(p.s,")} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM p JOIN r ON p.s = r.s
+"""
