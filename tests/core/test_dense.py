@@ -20,10 +20,10 @@ def run(spark):
     return lambda name: catalog.queries()[name](spark, SF).toPandas()
 
 
-def view(name):
+def view(name, sf=SF):
     con = duckdb.connect()
     for t in ("events", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con.execute(views.oracle(f"SELECT * FROM {{{name}}}")).df()
 
 
@@ -33,9 +33,8 @@ def feats():
     return f.assign(grp=f["modality"] + "/" + f["scanner"]), np.stack(f["embedding"].to_numpy()).astype(float)
 
 
-@pytest.fixture(scope="module")
-def volumes():
-    v = view("vox")
+def dense_volumes(sf=SF):
+    v = view("vox", sf)
     out = {}
     for vol, f in v.groupby("vol"):
         a, lab = np.zeros((2, f["z"].max() + 1, f["y"].max() + 1, f["x"].max() + 1))
@@ -44,6 +43,11 @@ def volumes():
     return out
 
 
+@pytest.fixture(scope="module")
+def volumes():
+    return dense_volumes()
+
+
 def axes(x):
     _, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
     return s**2 / len(x), v
@@ -284,3 +288,35 @@ def test_whole_volume_generators(run, volumes):
         for vol, (a, lab, f) in volumes.items():
             want = pd.Series(fn(a, lab, A.Draws(42, vol))[f["z"], f["y"], f["x"]], f["i"])
             assert got.loc[vol].reindex(want.index).to_numpy() == pytest.approx(want.to_numpy(), abs=1e-5)
+
+
+def test_multi_scale_gradient_loss(spark):
+    """On volumes without a partial last slice."""
+    sf = "/root/testdata/sf0.01"
+    got = catalog.queries()["loss_ms_grad"](spark, sf).toPandas().set_index("vol")["loss"]
+    whole = {vol: x for vol, x in dense_volumes(sf).items() if len(x[2]) == x[0].size}
+    assert len(whole) > 5
+
+    def along(a, k, axis):
+        r = len(k) // 2
+        p = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(3)])
+        return sum(w * p.take(range(o, o + a.shape[axis]), axis=axis) for o, w in enumerate(k))
+
+    def size(a):
+        out = np.full(a.shape, 1e-6)
+        for axis in range(3):
+            g = a
+            for b in range(3):
+                g = along(g, [-1, 0, 1] if b == axis else [1, 2, 1], b)
+            out += g**2
+        return np.sqrt(out)
+
+    for vol, (a, lab, _) in whole.items():
+        want = 0.0
+        for s, w in ((1.0, 1.0), (2.0, 1.0), (4.0, 0.5)):
+            r = max(3, int(s * 4) | 1) // 2
+            k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * s * s))
+            k /= k.sum()
+            smooth = [along(along(along(x, k, 0), k, 1), k, 2) for x in (a, a * a + lab * 0.05)]
+            want += w * np.abs(size(smooth[0]) - size(smooth[1])).mean()
+        assert got[vol] == pytest.approx(want, abs=1e-5)
