@@ -21,28 +21,31 @@ def guidance(d: DataFrame, pred: str, target: str, sigma: float = 2.0, radius: i
     return b.groupBy("vol").agg(F.avg(F.abs("v")).alias("loss"))
 
 
-def _magnitude(d: DataFrame, value: str, name: str) -> DataFrame:
-    s = Wn.sobel(_only(d, F.col(value)))
-    return s.select(*_AT, F.sqrt(F.col("gz") ** 2 + F.col("gy") ** 2 + F.col("gx") ** 2 + 1e-6).alias(name))
+def _magnitudes(d: DataFrame) -> DataFrame:
+    """a and b: the gradients' magnitudes of p and t, side by side without a join."""
+    for c, name in (("p", "a"), ("t", "b")):
+        d = Wn.sobel(d, c, f"_{c}")
+        d = d.withColumn(name, F.sqrt(sum((F.col(f"_{c}g{x}") ** 2 for x in Wn.AXES), F.lit(0.0)) + 1e-6)).drop(*[f"_{c}g{x}" for x in Wn.AXES])
+    return d
+
+
+def _both(d: DataFrame, pred: str, target: str) -> DataFrame:
+    return d.select(*_AT, F.col(pred).alias("p"), F.col(target).alias("t"))
 
 
 def dice_edge(d: DataFrame, pred: str, target: str, scale: float = 12.0, threshold: float = 0.05, eps: float = 1e-6) -> DataFrame:
     """L1 plus soft Dice loss of sigmoid edge maps."""
-    j = _magnitude(d, pred, "a").join(_magnitude(d, target, "b"), _AT)
     a, b = (1 / (1 + F.exp(-scale * (F.col(c) - threshold))) for c in ("a", "b"))
-    return j.groupBy("vol").agg((F.avg(F.abs(a - b)) + 1 - (2 * F.sum(a * b) + eps) / (F.sum(a) + F.sum(b) + eps)).alias("loss"))
+    return _magnitudes(_both(d, pred, target)).groupBy("vol").agg((F.avg(F.abs(a - b)) + 1 - (2 * F.sum(a * b) + eps) / (F.sum(a) + F.sum(b) + eps)).alias("loss"))
 
 
 def multi_scale_gradient(d: DataFrame, pred: str, target: str, sigmas: tuple = (1.0, 2.0, 4.0), weights: tuple = (1.0, 1.0, 0.5)) -> DataFrame:
-    parts = {}
-    for s, w in zip(sigmas, weights, strict=True):
-        radius = max(3, int(s * 4) | 1) // 2
-        blurred = Wn.blur(_only(d, F.col(pred)), s, radius).join(Wn.blur(_only(d, F.col(target), "v"), s, radius).withColumnRenamed("v", "t"), _AT)
-        j = _magnitude(blurred, "v", "a").join(_magnitude(blurred, "t", "b"), _AT)
-        parts[s] = j.groupBy("vol").agg((F.avg(F.abs(F.col("a") - F.col("b"))) * w).alias("loss"))
+    """Weighted sum over scales of the mean absolute difference of gradient magnitudes of the blurred maps."""
     out = None
-    for p in parts.values():
-        out = p if out is None else out.unionByName(p)
+    for s, w in zip(sigmas, weights, strict=True):
+        smooth = Wn.blur(_both(d, pred, target), s, max(3, int(s * 4) | 1) // 2, value=("p", "t"))
+        part = _magnitudes(smooth).groupBy("vol").agg((F.avg(F.abs(F.col("a") - F.col("b"))) * w).alias("loss"))
+        out = part if out is None else out.unionByName(part)
     return out.groupBy("vol").agg(F.sum("loss").alias("loss"))
 
 

@@ -65,13 +65,15 @@ def gradient(d: DataFrame, value: str = "v", names: dict[str, str] | None = None
     return d
 
 
-def filter_lines(d: DataFrame, weights: list[float], mode: str = "zero", value: str = "v", axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Separable filter: along each axis, lines become arrays, are filtered and become rows again.
+def filter_lines(d: DataFrame, weights: list[float], mode: str = "zero", value: str | tuple[str, ...] = "v", axes: tuple[str, ...] = AXES) -> DataFrame:
+    """Separable filter: along each axis, lines become arrays, are filtered and become rows again. Several values go along together;
+    rows that are partitioned by vol stay where they are.
 
     mode: zero (nothing beyond the ends), replicate (the end value) or reflect (mirrored, the end value twice).
     """
     r = len(weights) // 2
-    rest = [c for c in d.columns if c not in ("vol", *AXES, value)]
+    values = (value,) if isinstance(value, str) else value
+    rest = [c for c in d.columns if c not in ("vol", *AXES, *values)]
 
     def place(i: Column, n: Column) -> Column:
         if mode == "replicate":
@@ -83,19 +85,20 @@ def filter_lines(d: DataFrame, weights: list[float], mode: str = "zero", value:
 
     for a in axes:
         others = [x for x in AXES if x != a]
-        g = d.groupBy("vol", *others).agg(F.array_sort(F.collect_list(F.struct(a, value, *rest))).alias("line"))
-        g = g.withColumn("vals", F.transform("line", lambda e: e[value]))
-        n = F.size("vals")
+        g = d.groupBy("vol", *others).agg(F.array_sort(F.collect_list(F.struct(a, *values, *rest))).alias("line"))
+        g = g.select("vol", *others, "line", *[F.col("line")[v].alias(f"_line_{v}") for v in values])
+        n = F.size("line")
 
-        def at(i: Column, o: int) -> Column:
-            return F.coalesce(F.get(F.col("vals"), place(i + o, n)), F.lit(0.0)) * weights[o + r]  # noqa: B023
+        def filtered(v: str, i: Column) -> Column:
+            line = F.col(f"_line_{v}")
+            return sum((F.coalesce(F.get(line, place(i + o, n)), F.lit(0.0)) * weights[o + r] for o in range(-r, r + 1)), F.lit(0.0))  # noqa: B023
 
-        new = F.transform("line", lambda e, i: F.struct(e[a].alias(a), sum((at(i, o) for o in range(-r, r + 1)), F.lit(0.0)).alias(value), *[e[c].alias(c) for c in rest]))  # noqa: B023
+        new = F.transform("line", lambda e, i: F.struct(e[a].alias(a), *[filtered(v, i).alias(v) for v in values], *[e[c].alias(c) for c in rest]))  # noqa: B023
         d = g.select("vol", *others, F.inline(new))
-    return d.select("vol", *AXES, value, *rest)
+    return d.select("vol", *AXES, *values, *rest)
 
 
-def blur(d: DataFrame, sigma: float, radius: int | None = None, mode: str = "zero", value: str = "v") -> DataFrame:
+def blur(d: DataFrame, sigma: float, radius: int | None = None, mode: str = "zero", value: str | tuple[str, ...] = "v") -> DataFrame:
     """Gaussian blur; the radius is int(3 * sigma + 0.5) unless given."""
     return filter_lines(d, gaussian(radius if radius is not None else max(1, int(3 * sigma + 0.5)), sigma), mode, value)
 
@@ -104,16 +107,16 @@ def box_mean(d: DataFrame, side: int, mode: str = "zero", value: str = "v") -> D
     return filter_lines(d, [1 / side] * side, mode, value)
 
 
-def sobel(d: DataFrame, value: str = "v") -> DataFrame:
-    """gz, gy, gx: derivative along one axis, [1, 2, 1] along the others, zeros beyond the ends."""
+def sobel(d: DataFrame, value: str = "v", prefix: str = "") -> DataFrame:
+    """gz, gy, gx (behind prefix): derivative along one axis, [1, 2, 1] along the others, zeros beyond the ends."""
     rest = [c for c in d.columns if c != value]
     base = d.withColumn("_v", F.col(value))
     for a in AXES:
         base = base.withColumn(value, F.col("_v"))
         for b in AXES:
             base = filter_lines(base, [-1.0, 0.0, 1.0] if a == b else [1.0, 2.0, 1.0], "zero", value, (b,))
-        base = base.withColumn(f"g{a}", F.col(value))
-    return base.withColumn(value, F.col("_v")).select(*rest, value, *[f"g{a}" for a in AXES])
+        base = base.withColumn(f"{prefix}g{a}", F.col(value))
+    return base.withColumn(value, F.col("_v")).select(*rest, value, *[f"{prefix}g{a}" for a in AXES])
 
 
 def total_variation(d: DataFrame, by: list[str], value: str = "v") -> DataFrame:
