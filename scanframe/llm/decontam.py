@@ -342,11 +342,12 @@ def brute_force(docs: list[tuple], items: list[tuple], slop: int = SLOP) -> list
     out = []
     for doc_id, text in docs:
         ws, hit, got, near = words(text), set(), set(), set()
+        have = set(ws)
         for item, t in items:
             b = words(t)
             for k in range(max(1, len(b) - WINDOW + 1) if b else 0):
                 w = b[k : k + WINDOW]
-                for s in range(-slop, len(ws) + slop):
+                for s in range(-slop, len(ws) + slop) if have.issuperset(w) else ():
                     if ws[max(s, 0) : s + len(w)] == w and s >= 0:
                         hit.update(range(s, s + len(w)))
                         got.add(item)
