@@ -70,7 +70,7 @@ def test_quality_rules_all_bind(spark):
         "low mean_word": lines([x[-3:] for x in plain(5)]),
     }
     rows = clean + [(1000 + i, t, "en", "a") for i, t in enumerate(odd.values())] + [(2000 + i, "z " * 50, "en", "a") for i in range(60)]
-    m = quality.quality_metrics(table(spark, rows))
+    m = common.materialize(quality.quality_metrics(table(spark, rows)), "metrics")
     fences = quality.thresholds(m).first()
     got = {r.doc_id: r for r in quality.judge(m, quality.thresholds(m)).collect()}
     assert all(got[i].kept for i, *_ in clean)
@@ -104,7 +104,7 @@ def test_quality_groups(spark):
     """Own fences from 100 documents on, the language's below, everyone's below that; verdicts by plain comparison."""
     base = lambda i, mark="": " ".join(f"{mark}word{(i * 7 + k * k) % 97}" for k in range(40))
     rows = [(i, base(i), "en", "a") for i in range(150)] + [(1000 + i, base(i, "##"), "en", "b") for i in range(150)] + [(2000 + i, base(i), "en", "c") for i in range(20)] + [(3000 + i, base(i, "#####"), "xx", None) for i in range(5)]
-    m = quality.quality_metrics(table(spark, rows))
+    m = common.materialize(quality.quality_metrics(table(spark, rows)), "metrics")
     f = {(x.lang, x.source): x for x in quality.thresholds(m).collect()}
     assert f["en", "a"].high_symbol_ratio < f["en", "b"].high_symbol_ratio and f["en", "a"].n == 150
     assert f["en", "c"].high_symbol_ratio not in (f["en", "a"].high_symbol_ratio, f["xx", None].high_symbol_ratio) or f["en", "c"].high_symbol_ratio >= f["en", "b"].high_symbol_ratio
